@@ -38,6 +38,7 @@ PRIORITY_SCORES = (10, 9, 8, 7, 6, 5)
 PRIORITY_SAFETY_SHARE, PRIORITY_REORDER_SHARE = Decimal("0.5"), Decimal("0.75")
 URGENT_SCORE = 8
 DISPLAY_DAYS_CAP = 60
+HALF_REORDER = Decimal("0.5")
 CRITICAL_SHARE, LOW_SHARE = Decimal("0.3"), Decimal("0.5")
 RISK_ALERT_FLOOR = 70
 LOW_TRIAL_SHARE = Decimal("0.8")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from larder import constants as K
 
 # Characters after which a title-cased word starts anew.
+PUNCTUATION = "\t\n\r\f!?@\"^#$&~_,.:;+-*%/|\\[](){}<>"
 WORD_BREAKS = r"""[\s!?@"^#$&~_,.:;+\-*%/|\\\[\](){}<>]"""
 
 
@@ -29,10 +30,15 @@ def trimmed(name: str) -> Column:
 
 
 def title_case(name: str) -> Column:
-    """Capitalise after punctuation as well as after blanks (``initcap`` knows blanks only)."""
-    words = F.split(F.lower(text(name)), f"(?<={WORD_BREAKS})")
+    """Capitalise after punctuation as well as after blanks (``initcap`` knows blanks only).
+
+    Most values hold no punctuation, so only the others pay for the split.
+    """
+    value = text(name)
+    words = F.split(F.lower(value), f"(?<={WORD_BREAKS})")
     raised = F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2))))
-    return F.trim(F.array_join(raised, ""))
+    is_plain = F.translate(value, PUNCTUATION, "") == value
+    return F.trim(F.when(is_plain, F.initcap(value)).otherwise(F.array_join(raised, "")))
 
 
 def abc_class(name: str) -> Column:

@@ -88,6 +88,15 @@ def stock_status_basic(above_reorder: str) -> Column:
     )
 
 
+def half_reorder_status() -> Column:
+    """Three-way status by the reorder point alone, both bounds exclusive."""
+    return ladder(
+        (on_hand() < reorder_point() * F.lit(K.HALF_REORDER), K.CRITICAL),
+        (on_hand() < reorder_point(), K.LOW),
+        default=K.HEALTHY,
+    )
+
+
 def trend_status(stock: str = "current_stock") -> Column:
     """Three-way status of a snapshot row."""
     return ladder(

@@ -20,9 +20,9 @@ def round_to(value: Column, digits: int = 0) -> Column:
     ``F.round`` on a double goes through a BigDecimal object per row; this stays in
     primitive arithmetic inside the generated code.
     """
-    scale = 10**digits
-    magnitude = F.floor(F.abs(value) * scale * F.lit(_TIE) + 0.5)
-    return (F.when(value < 0, -magnitude).otherwise(magnitude) / F.lit(float(scale))).cast("double")
+    scale = float(10**digits)
+    signed = F.signum(value) * F.floor(F.abs(value) * scale * F.lit(_TIE) + 0.5)
+    return (signed + 0.0) / F.lit(scale)  # adding 0.0 turns -0.0 into 0.0
 
 
 def ratio(top: Column, bottom: Column) -> Column:

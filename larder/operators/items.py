@@ -14,6 +14,8 @@ from larder import constants as K
 from larder.functions import metrics as M
 from larder.functions import predicates as P
 
+# bookkeeping of a change row, kept when present (see streaming)
+CARRIED = ("change_weight",)
 _ITEM = ("sku_id", "sku_name", "category", "location")
 _STOCK = ("quantity_on_hand", "quantity_reserved", "quantity_committed")
 
@@ -28,6 +30,7 @@ def _table(rows: DataFrame, stamp: tuple[str, str | None], *columns: str | tuple
         else column[1].alias(column[0])
         for column in columns
     ]
+    built += [F.col(name) for name in CARRIED if name in rows.columns]
     name, at = stamp
     if at is not None:
         built.append(F.lit(at).cast("timestamp_ntz").alias(name))

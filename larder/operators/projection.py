@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder import constants as K
 from larder.functions.numeric import as_double, ladder, round_to
+from larder.functions.predicates import one_of
 
 
 def _stock() -> Column:
@@ -92,13 +94,16 @@ def stock_projection_mc(
     return _project(health, horizon, total / (horizon * paths))
 
 
-def projection_compare(projection: DataFrame, items: DataFrame | None = None) -> DataFrame:
+def projection_compare(projection: DataFrame, items: DataFrame | Sequence[str] | None = None) -> DataFrame:
     """Current against predicted stock, for chosen item names or for all.
 
-    The choice is a one-column frame: Spark broadcasts it only while it is small.
+    A few names are a filter; a long choice comes as a one-column frame, which Spark
+    broadcasts only while it is small.
     """
-    if items is not None:
+    if isinstance(items, DataFrame):
         projection = projection.join(items, "item_name", "left_semi")
+    elif items is not None:
+        projection = projection.where(one_of("item_name", items))
     return projection.select("item_name", "location", "current_stock", "predicted_stock")
 
 

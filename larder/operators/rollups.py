@@ -8,6 +8,8 @@ as ``count(distinct case ...)`` would make Spark copy every row once per count.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,35 +37,27 @@ def _above_reorder() -> Column:
     return M.on_hand() > M.reorder_point()
 
 
-def _bands() -> dict[str, Column]:
-    """Bands of on-hand stock that exclude each other."""
-    return {
-        "empty_rows": count_when(M.is_empty()),
-        "critical_rows": count_when(_above_zero_at_safety()),
-        "low_rows": count_when(_between_safety_and_reorder()),
-        "healthy_rows": count_when(_above_reorder()),
-    }
-
-
-def _up_to() -> dict[str, Column]:
-    """Cumulative bands: each includes the ones below it."""
+def _band_tests() -> dict[str, Column]:
+    """Bands of on-hand stock: four that exclude each other, two that are cumulative."""
     return {
-        "safety_rows": count_when(M.at_safety()),
-        "reorder_rows": count_when(M.at_reorder()),
+        "empty_rows": M.is_empty(),
+        "critical_rows": _above_zero_at_safety(),
+        "low_rows": _between_safety_and_reorder(),
+        "healthy_rows": _above_reorder(),
+        "safety_rows": M.at_safety(),
+        "reorder_rows": M.at_reorder(),
     }
 
 
-def _volumes() -> dict[str, Column]:
-    return {
-        "rows": F.count(F.lit(1)),
-        "units": F.sum("quantity_on_hand"),
-        "value": F.sum("total_inventory_value_usd"),
-    }
-
-
-def _mean_parts(*columns: str) -> dict[str, Column]:
-    parts = {f"{c}__sum": F.sum(c) for c in columns}
-    return parts | {f"{c}__n": F.count(c) for c in columns}
+def _counters(weight: Column | None) -> tuple[Column, Callable[[Column], Column], Callable[[Column], Column]]:
+    """Row count, conditional row count and sum; with a weight each row counts that often."""
+    if weight is None:
+        return F.count(F.lit(1)), count_when, F.sum
+    return (
+        F.sum(weight),
+        lambda condition: F.sum(F.when(condition, weight).otherwise(F.lit(0))),
+        lambda column: F.sum(column * weight),
+    )
 
 
 def _agg(df: DataFrame, keys: tuple[str, ...], measures: dict[str, Column]) -> DataFrame:
@@ -80,7 +74,7 @@ def _health(critical_rows: Column, skus: Column) -> Column:
 
 
 def location_category_summary(inventory: DataFrame) -> DataFrame:
-    bands = _bands()
+    bands = _band_tests()
     return (
         located(inventory)
         .groupBy("location", "category")
@@ -90,24 +84,34 @@ def location_category_summary(inventory: DataFrame) -> DataFrame:
             as_double(F.sum("quantity_on_hand")).alias("total_stock"),
             as_double(F.sum(M.available_stock())).alias("available_stock"),
             round_to(ratio(F.sum("days_of_inventory"), F.count("days_of_inventory")), 1).alias("avg_days_inventory"),
-            bands["empty_rows"].alias("out_of_stock_count"),
-            bands["critical_rows"].alias("critical_count"),
-            bands["low_rows"].alias("low_count"),
-            bands["healthy_rows"].alias("healthy_count"),
+            count_when(bands["empty_rows"]).alias("out_of_stock_count"),
+            count_when(bands["critical_rows"]).alias("critical_count"),
+            count_when(bands["low_rows"]).alias("low_count"),
+            count_when(bands["healthy_rows"]).alias("healthy_count"),
             round_to(ratio(F.sum(M.risk_step()), F.count(F.lit(1))), 1).alias("avg_risk_score"),
             as_double(F.sum("total_inventory_value_usd")).alias("total_value_usd"),
         )
     )
 
 
-def _location_cells(inventory: DataFrame) -> DataFrame:
+LOCATION_KEYS = ("location", "warehouse_id", "category", "sku_id")
+_LOCATION_MEANS = ("days_of_inventory", "supplier_ontime_pct", "demand_forecast_accuracy_pct")
+
+
+def location_cells(rows: DataFrame, weight: Column | None = None) -> DataFrame:
+    """One row per (location, warehouse, category, sku) with summed measures."""
+    count_rows, rows_where, summed = _counters(weight)
     return _agg(
-        located(inventory),
-        ("location", "warehouse_id", "category", "sku_id"),
-        _volumes()
-        | _bands()
-        | _up_to()
-        | _mean_parts("days_of_inventory", "supplier_ontime_pct", "demand_forecast_accuracy_pct"),
+        rows,
+        LOCATION_KEYS,
+        {
+            "rows": count_rows,
+            "units": summed(M.on_hand()),
+            "value": summed(F.col("total_inventory_value_usd")),
+        }
+        | {name: rows_where(condition) for name, condition in _band_tests().items()}
+        | {f"{c}__sum": summed(F.col(c)) for c in _LOCATION_MEANS}
+        | {f"{c}__n": rows_where(F.col(c).isNotNull()) for c in _LOCATION_MEANS},
     )
 
 
@@ -126,7 +130,7 @@ def _location_measures() -> dict[str, Column]:
 def warehouse_performance(inventory: DataFrame) -> DataFrame:
     """Issue counts are cumulative here: a critical item also counts as low."""
     return _agg(
-        _location_cells(inventory),
+        location_cells(located(inventory)),
         ("location", "warehouse_id"),
         _location_measures()
         | {
@@ -138,10 +142,10 @@ def warehouse_performance(inventory: DataFrame) -> DataFrame:
     )
 
 
-def location_performance(inventory: DataFrame) -> DataFrame:
+def location_from_cells(cells: DataFrame) -> DataFrame:
     """Issue counts exclude each other here."""
     return _agg(
-        _location_cells(inventory),
+        cells.where(F.col("rows") > 0),
         ("location", "warehouse_id"),
         _location_measures()
         | {
@@ -155,8 +159,11 @@ def location_performance(inventory: DataFrame) -> DataFrame:
     )
 
 
+def location_performance(inventory: DataFrame) -> DataFrame:
+    return location_from_cells(location_cells(located(inventory)))
+
+
 def abc_analysis(inventory: DataFrame) -> DataFrame:
-    up_to = _up_to()
     return (
         located(inventory)
         .groupBy("location", "abc_class", "category")
@@ -164,8 +171,8 @@ def abc_analysis(inventory: DataFrame) -> DataFrame:
             F.count_distinct("sku_id").alias("sku_count"),
             as_double(F.sum("total_inventory_value_usd")).alias("total_value_usd"),
             as_double(F.sum("quantity_on_hand")).alias("total_units"),
-            up_to["safety_rows"].alias("critical_count"),
-            up_to["reorder_rows"].alias("low_stock_count"),
+            count_when(M.at_safety()).alias("critical_count"),
+            count_when(M.at_reorder()).alias("low_stock_count"),
         )
         .withColumn("critical_pct", round_to(ratio(F.col("critical_count") * 100, F.col("sku_count")), 1))
     )
@@ -180,28 +187,19 @@ def heatmap_cells(rows: DataFrame, weight: Column | None = None) -> DataFrame:
     Counts rather than flags: they add up, so the cells of a change batch (rows weighted
     +1 and -1) can be added to earlier cells instead of reading the table again.
     """
-    w = F.lit(1).cast("long") if weight is None else weight
-
-    def rows_where(condition: Column) -> Column:
-        return F.sum(F.when(condition, w).otherwise(F.lit(0)))
-
+    count_rows, rows_where, summed = _counters(weight)
     return _agg(
         rows,
         HEATMAP_KEYS,
         {
-            "rows": F.sum(w),
-            "empty_rows": rows_where(M.is_empty()),
-            "critical_rows": rows_where(_above_zero_at_safety()),
-            "low_rows": rows_where(_between_safety_and_reorder()),
-            "healthy_rows": rows_where(_above_reorder()),
-            "safety_rows": rows_where(M.at_safety()),
-            "reorder_rows": rows_where(M.at_reorder()),
-            "units": F.sum(M.on_hand() * w),
-            "value": F.sum(F.col("total_inventory_value_usd") * w),
-            "days": F.sum(F.col("days_of_inventory") * w),
+            "rows": count_rows,
+            "units": summed(M.on_hand()),
+            "value": summed(F.col("total_inventory_value_usd")),
+            "days": summed(F.col("days_of_inventory")),
             "days_rows": rows_where(F.col("days_of_inventory").isNotNull()),
-            "risk": F.sum(M.risk_step() * w),
-        },
+            "risk": summed(M.risk_step()),
+        }
+        | {name: rows_where(condition) for name, condition in _band_tests().items()},
     )
 
 
@@ -234,10 +232,10 @@ def heatmap_from_cells(cells: DataFrame) -> DataFrame:
     )
 
 
-def add_cells(cells: DataFrame) -> DataFrame:
+def add_cells(cells: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Sum cells of several batches."""
-    measures = [c for c in cells.columns if c not in HEATMAP_KEYS]
-    return cells.groupBy(*HEATMAP_KEYS).agg(*[F.sum(c).alias(c) for c in measures])
+    measures = [c for c in cells.columns if c not in keys]
+    return cells.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in measures])
 
 
 def category_heatmap(inventory: DataFrame) -> DataFrame:

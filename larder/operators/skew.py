@@ -41,12 +41,31 @@ def row_digest(*columns: str) -> Column:
 
 @dataclass(frozen=True)
 class Prepared:
-    """Rows laid out for a trailing window, the window to use, and whether any key was cut."""
+    """Rows laid out for a trailing window, the window to use, and whether any key was cut.
+
+    Only when a key was cut do the rows carry the bookkeeping columns.
+    """
 
     rows: DataFrame
     order: WindowSpec
     sliced: bool
 
+    def finish(self, df: DataFrame) -> DataFrame:
+        """Drop the rows that only led in a slice."""
+        return df.where(~F.col(LEAD_IN)) if self.sliced else df
+
+    def weighed(self, column: Column) -> Column:
+        """A summand, counted once per original row."""
+        return column * F.col(WEIGHT) if self.sliced else column
+
+    def counted(self, column: Column) -> Column:
+        """How many original rows have the column."""
+        return F.sum(F.when(column.isNotNull(), F.col(WEIGHT))) if self.sliced else F.count(column)
+
+    def repeat(self, df: DataFrame) -> DataFrame:
+        """Back to one output row per original row."""
+        return repeat_by_weight(df) if self.sliced else df
+
 
 def windowed(
     df: DataFrame,
@@ -68,21 +87,21 @@ def windowed(
     * led in by the ``before`` rows that precede each slice, marked ``_lead_in``.
 
     After computing the window the caller drops ``_lead_in`` rows and counts each row
-    ``_weight`` times.
+    ``_weight`` times, both through ``Prepared``.
     """
     names = df.columns
     order = [F.col(day), F.col(tie), F.col(COPY)]
-    plain = df.select(
+    hot = hot_values(df, key, rows_per_task)
+    if not hot:
+        return Prepared(df, Window.partitionBy(key).orderBy(F.col(day), F.col(tie)), False)
+
+    cold = df.where(~is_one_of(key, hot)).select(
         "*",
         F.lit("").alias(SLICE),
         F.lit(1).alias(COPY),
         F.lit(1).cast("long").alias(WEIGHT),
         F.lit(False).alias(LEAD_IN),
     )
-    hot = hot_values(df, key, rows_per_task)
-    if not hot:
-        return Prepared(plain, Window.partitionBy(key).orderBy(F.col(day), F.col(tie)), False)
-
     distinct = df.where(is_one_of(key, hot)).groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
     busiest_day = distinct.groupBy(key, day).count().agg(F.max("count")).first()[0]
     digits = max(0, math.ceil(math.log(max(1.0, busiest_day / rows_per_task), 16)))
@@ -122,7 +141,7 @@ def windowed(
             F.lit(True).alias(LEAD_IN),
         )
     )
-    rows = plain.where(~is_one_of(key, hot)).unionByName(sliced).unionByName(lead_in)
+    rows = cold.unionByName(sliced).unionByName(lead_in)
     return Prepared(rows, Window.partitionBy(key, SLICE).orderBy(*order), True)
 
 

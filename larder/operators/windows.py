@@ -18,6 +18,11 @@ from larder.operators import skew
 TIE_COLUMNS = ("batch_id", "supplier_id", "warehouse_location", "quantity_on_hand", "total_inventory_value_usd")
 
 
+def _settled(value: Column) -> Column:
+    """Ten decimals: a deviation's last bits must not decide which side of a limit it is on."""
+    return round_to(value, 10)
+
+
 def _recent(inventory: DataFrame, as_of: str, lookback_days: int, *columns: str) -> DataFrame:
     rows = inventory.where(P.within_days("audit_date", as_of, lookback_days))
     return rows.select("sku_id", "audit_date", skew.row_digest(*TIE_COLUMNS).alias("tie"), *columns)
@@ -25,16 +30,14 @@ def _recent(inventory: DataFrame, as_of: str, lookback_days: int, *columns: str)
 
 def _changes(
     inventory: DataFrame, as_of: str, lookback_days: int, rows_per_task: int, *columns: str
-) -> tuple[DataFrame, bool]:
+) -> tuple[DataFrame, skew.Prepared]:
     recent = _recent(inventory, as_of, lookback_days, "quantity_on_hand", *columns)
     prepared = skew.windowed(recent, "sku_id", "audit_date", "tie", 1, rows_per_task)
     previous = F.lag("quantity_on_hand").over(prepared.order)
-    rows = (
-        prepared.rows.withColumn("prev_qty", previous)
-        .withColumn("qty_change", F.col("quantity_on_hand") - F.col("prev_qty"))
-        .where(~F.col(skew.LEAD_IN))
+    rows = prepared.rows.withColumn("prev_qty", previous).withColumn(
+        "qty_change", F.col("quantity_on_hand") - F.col("prev_qty")
     )
-    return rows, prepared.sliced
+    return prepared.finish(rows), prepared
 
 
 def audit_changes(
@@ -44,8 +47,8 @@ def audit_changes(
     rows_per_task: int = skew.ROWS_PER_TASK,
 ) -> DataFrame:
     """On-hand stock against the item's previous audit row."""
-    rows, _ = _changes(inventory, as_of, lookback_days, rows_per_task, "warehouse_location")
-    return skew.repeat_by_weight(rows.drop("tie")).withColumns(
+    rows, prepared = _changes(inventory, as_of, lookback_days, rows_per_task, "warehouse_location")
+    return prepared.repeat(rows.drop("tie")).withColumns(
         {"prev_qty": as_double("prev_qty"), "qty_change": as_double("qty_change")}
     )
 
@@ -73,8 +76,8 @@ def _with_item_statistics(changes: DataFrame, sliced: bool) -> DataFrame:
     change = as_double("qty_change")
     whole_item = Window.partitionBy("sku_id")
     here = changes.where(F.col(skew.SLICE) == "") if sliced else changes
-    result = here.withColumn("mean_change", F.avg(change).over(whole_item)).withColumn(
-        "stddev_change", F.stddev_samp(change).over(whole_item)
+    result = here.withColumns(
+        {"mean_change": F.avg(change).over(whole_item), "stddev_change": F.stddev_samp(change).over(whole_item)}
     )
     if not sliced:
         return result
@@ -86,19 +89,32 @@ def _with_item_statistics(changes: DataFrame, sliced: bool) -> DataFrame:
     return result.unionByName(joined)
 
 
+def _scored(
+    inventory: DataFrame, as_of: str, lookback_days: int, rows_per_task: int
+) -> tuple[DataFrame, skew.Prepared]:
+    """Every change with its item's mean, deviation and z-score."""
+    rows, prepared = _changes(
+        inventory, as_of, lookback_days, rows_per_task, "sku_name", "category", "warehouse_location"
+    )
+    scored = _with_item_statistics(rows.where(F.col("qty_change").isNotNull()), prepared.sliced)
+    score = ratio(as_double("qty_change") - F.col("mean_change"), F.col("stddev_change"))
+    return scored.withColumn("z_score", _settled(score)), prepared
+
+
 def change_statistics(
     inventory: DataFrame,
     as_of: str,
     lookback_days: int = K.LOOKBACK_DAYS,
     rows_per_task: int = skew.ROWS_PER_TASK,
 ) -> DataFrame:
-    """Every change with its item's mean, deviation and z-score."""
-    rows, sliced = _changes(
-        inventory, as_of, lookback_days, rows_per_task, "sku_name", "category", "warehouse_location"
+    """All changes, usual or not, beside the statistics of their item."""
+    rows, prepared = _scored(inventory, as_of, lookback_days, rows_per_task)
+    return prepared.repeat(rows).select(
+        "sku_id",
+        "audit_date",
+        as_double("qty_change").alias("qty_change"),
+        *[round_to(F.col(c), 4).alias(c) for c in ("mean_change", "stddev_change", "z_score")],
     )
-    scored = _with_item_statistics(rows.where(F.col("qty_change").isNotNull()), sliced)
-    z = ratio(as_double("qty_change") - F.col("mean_change"), F.col("stddev_change"))
-    return scored.withColumn("z_score", z)
 
 
 def inventory_anomalies(
@@ -111,11 +127,11 @@ def inventory_anomalies(
 
     An item whose changes never vary has no z-score and is left out.
     """
+    scored, prepared = _scored(inventory, as_of, lookback_days, rows_per_task)
     z = F.abs("z_score")
     severe, moderate, normal = K.ANOMALY_SEVERITIES
     rise, fall = K.CHANGE_TEXT
-    unusual = change_statistics(inventory, as_of, lookback_days, rows_per_task).where(z > K.Z_MODERATE)
-    return skew.repeat_by_weight(unusual).select(
+    return prepared.repeat(scored.where(z > K.Z_MODERATE)).select(
         "sku_id",
         "sku_name",
         "category",
@@ -138,16 +154,15 @@ _FORECAST_GROUP = (
 
 def _trailing(
     inventory: DataFrame, as_of: str, lookback_days: int, rows_per_task: int, *columns: str
-) -> DataFrame:
+) -> tuple[DataFrame, skew.Prepared]:
     recent = _recent(inventory, as_of, lookback_days, *columns)
     prepared = skew.windowed(recent, "sku_id", "audit_date", "tie", K.TRAILING_ROWS - 1, rows_per_task)
     trailing = prepared.order.rowsBetween(1 - K.TRAILING_ROWS, Window.currentRow)
     sales = as_double("avg_daily_sales")
-    return (
-        prepared.rows.withColumn("moving_avg_30d", F.avg(sales).over(trailing))
-        .withColumn("demand_volatility", F.stddev_samp(sales).over(trailing))
-        .where(~F.col(skew.LEAD_IN))
+    rows = prepared.rows.withColumns(
+        {"moving_avg_30d": F.avg(sales).over(trailing), "demand_volatility": F.stddev_samp(sales).over(trailing)}
     )
+    return prepared.finish(rows), prepared
 
 
 def trailing_demand(
@@ -157,8 +172,8 @@ def trailing_demand(
     rows_per_task: int = skew.ROWS_PER_TASK,
 ) -> DataFrame:
     """Mean and deviation of daily sales over the last 30 audit rows of the item."""
-    rows = _trailing(inventory, as_of, lookback_days, rows_per_task, "avg_daily_sales", "warehouse_location")
-    return skew.repeat_by_weight(rows.drop("tie")).withColumns(
+    rows, prepared = _trailing(inventory, as_of, lookback_days, rows_per_task, "avg_daily_sales", "warehouse_location")
+    return prepared.repeat(rows.drop("tie")).withColumns(
         {
             "avg_daily_sales": as_double("avg_daily_sales"),
             "moving_avg_30d": round_to(F.col("moving_avg_30d"), 4),
@@ -178,18 +193,17 @@ def demand_forecast(
     The grouping has three keys that are not shown, so equal rows can appear; the final
     ``distinct`` folds them.
     """
-    rows = _trailing(
+    rows, prepared = _trailing(
         inventory, as_of, lookback_days, rows_per_task,
         *_FORECAST_GROUP[1:], "avg_daily_sales", "forecast_next_30d",
     )
-    weight = F.col(skew.WEIGHT)
-    volatility = F.col("demand_volatility")
+    sales, volatility = F.col("avg_daily_sales"), F.col("demand_volatility")
     grouped = rows.groupBy(*_FORECAST_GROUP).agg(
-        ratio(F.sum(F.col("avg_daily_sales") * weight), F.sum(F.when(F.col("avg_daily_sales").isNotNull(), weight))).alias("demand"),
-        ratio(F.sum(volatility * weight), F.sum(F.when(volatility.isNotNull(), weight))).alias("spread"),
+        ratio(F.sum(prepared.weighed(sales)), prepared.counted(sales)).alias("demand"),
+        ratio(F.sum(prepared.weighed(volatility)), prepared.counted(volatility)).alias("spread"),
         F.max("forecast_next_30d").alias("forecast_30d"),
     )
-    variation = ratio(F.col("spread"), F.col("demand"))
+    variation = _settled(ratio(F.col("spread"), F.col("demand")))
     high, medium, low = K.CONFIDENCES
     risk = K.RISK_CLASSES
     advice = K.DEMAND_ADVICE

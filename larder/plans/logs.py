@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -120,14 +122,21 @@ def _append(rows: DataFrame, path: str, stamp: str) -> int:
     return counted.get["rows"]
 
 
+def recent_days(spark: SparkSession, path: str, contract: StructType, as_of: str, days: int) -> DataFrame:
+    """The log of the last days only: other days are neither listed nor read."""
+    last = datetime.fromisoformat(as_of).date()
+    wanted = ",".join(str(last - timedelta(days=back)) for back in range(days + 1))
+    return open_log(spark, f"{path}/log_date={{{wanted}}}", contract)
+
+
 def generate_alerts(spark: SparkSession, inventory: DataFrame, history_path: str, as_of: str) -> int:
     """Append the due alerts; run again for the same moment it adds nothing."""
-    history = open_log(spark, history_path, schema.ALERT_HISTORY)
+    history = recent_days(spark, history_path, schema.ALERT_HISTORY, as_of, 1)
     return _append(new_alerts(inventory, history, as_of), history_path, "alert_timestamp")
 
 
 def generate_reorders(spark: SparkSession, inventory: DataFrame, log_path: str, as_of: str) -> int:
-    log = open_log(spark, log_path, schema.REORDER_LOG)
+    log = recent_days(spark, log_path, schema.REORDER_LOG, as_of, K.REORDER_QUIET_DAYS)
     return _append(new_reorders(inventory, log, as_of), log_path, "action_timestamp")
 
 

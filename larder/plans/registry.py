@@ -92,6 +92,7 @@ def _register_items() -> None:
         "sliced_health",
         _on(lambda h: P.slice_by(h, location="NATION_1", category="ECONOMY", status=K.CRITICAL), _health),
     )
+    _add("half_reorder_status", _on(lambda i: i.where(P.is_active()).groupBy(M.half_reorder_status().alias("stock_status")).count().withColumnRenamed("count", "item_count")))
     _add("sliced_alerts", _on(lambda a: P.slice_by(a, location="NATION_1", category="All"), _alerts))
 
 
@@ -158,6 +159,7 @@ def _register_rollups() -> None:
 def _register_windows() -> None:
     for suffix, days in (("", K.LOOKBACK_DAYS), ("_long", LONG_LOOKBACK)):
         _add(f"audit_changes{suffix}", _on(lambda i, d=days: windows.audit_changes(i, AS_OF, d)))
+        _add(f"change_statistics{suffix}", _on(lambda i, d=days: windows.change_statistics(i, AS_OF, d)))
         _add(f"inventory_anomalies{suffix}", _on(lambda i, d=days: windows.inventory_anomalies(i, AS_OF, d)))
         _add(f"trailing_demand{suffix}", _on(lambda i, d=days: windows.trailing_demand(i, AS_OF, d)))
         _add(f"demand_forecast{suffix}", _on(lambda i, d=days: windows.demand_forecast(i, AS_OF, d)))
@@ -176,6 +178,7 @@ def _register_projection_and_trends() -> None:
         return projection.projection_compare(rows, chosen)
 
     _add("projection_compare", compare)
+    _add("projection_compare_named", _on(lambda p: projection.projection_compare(p, ["small ring", "cold anvil"]), _projection))
     for dimension in ("category", "location"):
         _add(f"forecast_risk_by_{dimension}", _on(lambda p, d=dimension: projection.forecast_risk_by(p, d), _projection))
     _add("forecast_summary", _on(projection.forecast_summary, _projection))
@@ -339,6 +342,7 @@ def _register_jobs() -> None:
         return sinks.export_frame(reorders, "NATION_1")
 
     _add("export_reorder", _on(export, items.reorder_recommendations))
+    _add("export_shown_list", _on(lambda r: sinks.shown_list(r, include_all=False), items.reorder_recommendations))
 
     def export_row(spark: SparkSession, sf_dir: str) -> DataFrame:
         reorders = items.reorder_recommendations(derived.inventory(spark, sf_dir))
@@ -379,22 +383,28 @@ def later_state(inventory: DataFrame) -> DataFrame:
 
 
 def _register_streams() -> None:
-    def heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
-        """Load, then a batch of changes, through the stream; equals the batch heatmap of the later state."""
-        base = scratch_path(spark, "heatmap-stream")
-        old = derived.inventory(spark, sf_dir)
-        for publish in (
-            lambda: stream.publish_load(old, f"{base}/feed"),
-            lambda: stream.publish_changes(old, later_state(old), f"{base}/feed"),
-        ):
-            publish()
-            feed = stream.read_changes(spark, f"{base}/feed")
-            stream.stream_category_heatmap(
-                feed, f"{base}/cells", f"{base}/heatmap", f"{base}/checkpoint", lag=None
-            ).awaitTermination()
-        return spark.read.parquet(f"{base}/heatmap")
+    def refreshed(name: str) -> Query:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            """Load, then a batch of changes, through the stream; equals the batch table of the later state."""
+            base = scratch_path(spark, f"{name}-stream")
+            old = derived.inventory(spark, sf_dir)
+            for publish in (
+                lambda: stream.publish_load(old, f"{base}/feed"),
+                lambda: stream.publish_changes(old, later_state(old), f"{base}/feed"),
+            ):
+                publish()
+                feed = stream.read_changes(spark, f"{base}/feed")
+                stream.stream_refresh(
+                    feed, name, f"{base}/state", f"{base}/table", f"{base}/checkpoint", AS_OF, lag=None
+                ).awaitTermination()
+            if name in stream.ROLLUPS:
+                return spark.read.parquet(f"{base}/table")
+            return stream.current_items(spark, f"{base}/table")
+
+        return run
 
-    _add("stream_category_heatmap", heatmap)
+    for table in jobs.TARGET_LAG:
+        _add(f"stream_{table}", refreshed(table))
 
     def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
         """Two batches of rows; the second is checked against the alerts of the first."""
@@ -408,7 +418,7 @@ def _register_streams() -> None:
         logged = spark.read.parquet(f"{base}/history")
         return logged.select("batch_id", "sku_id", "location", "alert_type", "priority", "quantity_on_hand")
 
-    _add("stream_alerts", alerts)
+    _add("stream_alert_log", alerts)
 
 
 for _register in (

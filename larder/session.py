@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -15,6 +16,10 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # The JVM interprets, and never compiles, methods beyond 8,000 bytecodes. Wide metric
+    # projections fused with their scan grow past that; under this limit Spark generates
+    # them operator by operator, in small methods, which runs several times faster.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # lets a 10,000-row ordered reader prune inside each task before its shuffle
     "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
 }
@@ -29,18 +34,18 @@ def build_session(app: str = "larder", master: str | None = None, **overrides: s
     return builder.getOrCreate()
 
 
+@cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="larder-")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only a session without that setting (a test) gets a folder of its own.
+    Only where that setting is absent (a test on one machine) a folder of its own.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir"
-    )
-    if not named:
-        named = tempfile.mkdtemp(prefix="larder-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return named or _own_folder()
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder import schema
+from larder.operators.ranking import ranked
 
 # Headings of the exported reorder list.
 EXPORT_HEADINGS = {
@@ -32,15 +33,42 @@ EXPORT_HEADINGS = {
 }
 
 
+# Headings of the list as shown on screen; other columns keep their names.
+SHOWN_HEADINGS = {
+    "sku_id": "SKU ID",
+    "sku_name": "Item Name",
+    "category": "Category",
+    "location": "Location",
+    "quantity_on_hand": "Current Stock",
+    "reorder_point": "Reorder Point",
+    "recommended_order_qty": "Recommended Qty",
+    "unit_cost_usd": "Unit Cost (USD)",
+    "supplier_name": "Supplier",
+    "priority_score": "Priority Score",
+}
+
+
+def shown_list(reorders: DataFrame, include_all: bool = True, first: int = 100) -> DataFrame:
+    """The reorder list with its on-screen headings, whole or its first rows."""
+    if not include_all:
+        reorders = ranked(reorders, first, F.desc("priority_score"), F.desc_nulls_last("estimated_order_value_usd"))
+    return reorders.withColumnsRenamed(SHOWN_HEADINGS)
+
+
 def materialize(df: DataFrame, path: str, partition_by: str | None = "location", clustered_by: tuple[str, ...] = ()) -> None:
     """Replace a derived table.
 
-    ``clustered_by`` range-partitions and sorts the rows, so that files cover narrow
-    ranges and a filter on those columns skips the others. Range partitioning splits a
-    frequent location over several tasks once another column follows it.
+    Rows of one partition value (or cluster) are brought together first; otherwise every
+    task would leave a small file in every partition. The rebalance hint lets the
+    adaptive planner split a value that holds much of the table over several tasks and
+    merge small ones. ``clustered_by`` also sorts within the tasks, so that files cover
+    narrow ranges and a filter on those columns skips the others.
     """
+    together = [*([partition_by] if partition_by else []), *clustered_by]
+    if together:
+        df = df.hint("rebalance", *[F.col(name) for name in together])
     if clustered_by:
-        df = df.repartitionByRange(*clustered_by).sortWithinPartitions(*clustered_by)
+        df = df.sortWithinPartitions(*together)
     writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
     if partition_by:
         writer = writer.partitionBy(partition_by)
@@ -59,8 +87,12 @@ def export_frame(reorders: DataFrame, location: str | None = None) -> DataFrame:
 
 
 def export_reorder(reorders: DataFrame, path: str, location: str | None = None) -> None:
-    """CSV parts in list order; a distributed sort, so part files follow one another."""
-    ordered = export_frame(reorders, location).orderBy(*export_order())
+    """CSV parts in list order; a distributed sort, so part files follow one another.
+
+    All columns take part in the order: equal scores then spread over several tasks.
+    """
+    rows = export_frame(reorders, location)
+    ordered = rows.orderBy(*export_order(), *[F.col(f"`{name}`") for name in rows.columns])
     ordered.write.mode("overwrite").option("header", "true").csv(path)
 
 

@@ -1,4 +1,4 @@
-"""Change rows as a stream, and the two tables kept current from it.
+"""Change rows as a stream, and the tables and the alert log kept current from it.
 
 A change row is a full inventory row with a weight: +copies when it enters the table,
 -copies when it leaves. Every micro-batch writes under its own batch number with
@@ -8,8 +8,8 @@ overwrite, so a batch that runs again after a failure replaces its own output.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,10 +18,11 @@ from pyspark.sql.streaming import StreamingQuery
 from larder import schema
 from larder.operators import rollups
 from larder.plans.changes import inventory_changes
-from larder.plans.jobs import TARGET_LAG
-from larder.plans.logs import new_alerts
+from larder.plans.jobs import TARGET_LAG, derived_tables
+from larder.plans.logs import new_alerts, recent_days
 
 WEIGHT = "change_weight"
+LOGGED_ALERTS = T.StructType([*schema.ALERT_HISTORY.fields, T.StructField("batch_id", T.LongType())])
 CHANGE_ROWS = T.StructType([*schema.INVENTORY.fields, T.StructField(WEIGHT, T.LongType())])
 
 
@@ -57,47 +58,85 @@ def _start(
     return writer.start()
 
 
-def _earlier_batches(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path).where(F.col("batch_id") < batch_id)
-    except AnalysisException as problem:
-        if problem.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        return None
+@dataclass(frozen=True)
+class Rollup:
+    """How a scorecard is kept as additive cells."""
 
+    cells: Callable[..., DataFrame]
+    keys: tuple[str, ...]
+    table: Callable[[DataFrame], DataFrame]
 
-def stream_category_heatmap(
-    stream: DataFrame,
-    cells_path: str,
-    heatmap_path: str,
-    checkpoint: str,
-    lag: str | None = TARGET_LAG["category_heatmap"],
+
+ROLLUPS = {
+    "category_heatmap": Rollup(rollups.heatmap_cells, rollups.HEATMAP_KEYS, rollups.heatmap_from_cells),
+    "location_performance": Rollup(rollups.location_cells, rollups.LOCATION_KEYS, rollups.location_from_cells),
+}
+
+
+def stream_rollup(
+    stream: DataFrame, name: str, cells_path: str, table_path: str, checkpoint: str, lag: str | None = None
 ) -> StreamingQuery:
-    """Keep the heatmap current without reading the inventory again.
+    """Keep a scorecard current without reading the inventory again.
 
-    A batch is reduced to cells per (location, category, sku) that carry signed row
-    counts, written beside the cells of earlier batches, and the heatmap is made from
-    their sum. A count that returns to 0 means the item has left its band. The work
-    grows with the batch and the number of cells, not with the inventory rows.
+    A batch is reduced to cells per item that carry signed row counts, written beside the
+    cells of earlier batches, and the table is made from their sum. A count that returns
+    to 0 means the item has left its band. The work grows with the batch and the number
+    of cells, not with the inventory rows.
     """
+    rollup = ROLLUPS[name]
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        cells = rollups.heatmap_cells(rollups.located(batch), F.col(WEIGHT))
+        cells = rollup.cells(rollups.located(batch), F.col(WEIGHT))
         cells.write.mode("overwrite").parquet(f"{cells_path}/batch_id={batch_id}")
         known = spark.read.parquet(cells_path).drop("batch_id")
-        heatmap = rollups.heatmap_from_cells(rollups.add_cells(known))
-        heatmap.write.mode("overwrite").parquet(heatmap_path)
+        table = rollup.table(rollups.add_cells(known, rollup.keys))
+        table.write.mode("overwrite").parquet(table_path)
 
     return _start(stream, step, checkpoint, lag)
 
 
-def compact_cells(spark: SparkSession, cells_path: str, new_path: str, up_to_batch: int) -> None:
+def compact_cells(spark: SparkSession, name: str, cells_path: str, new_path: str, up_to_batch: int) -> None:
     """Fold the cells of finished batches into one, at a new path."""
     done = spark.read.parquet(cells_path).where(F.col("batch_id") <= up_to_batch).drop("batch_id")
-    rollups.add_cells(done).where(F.col("rows") != 0).write.mode("errorifexists").parquet(
-        f"{new_path}/batch_id={up_to_batch}"
-    )
+    folded = rollups.add_cells(done, ROLLUPS[name].keys).where(F.col("rows") != 0)
+    folded.write.mode("errorifexists").parquet(f"{new_path}/batch_id={up_to_batch}")
+
+
+def stream_items(
+    stream: DataFrame, name: str, table_path: str, checkpoint: str, as_of: str, lag: str | None = None
+) -> StreamingQuery:
+    """Keep a row-level table as weighted rows: a narrow map over the changed rows alone.
+
+    ``as_of`` dates what depends on the day; start anew when the day must move on.
+    """
+    build = derived_tables(as_of)[name]
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        build(batch).write.mode("overwrite").parquet(f"{table_path}/batch_id={batch_id}")
+
+    return _start(stream, step, checkpoint, lag)
+
+
+def current_items(spark: SparkSession, table_path: str) -> DataFrame:
+    """The rows a weighted table stands for; sums combine map-side."""
+    weighted = spark.read.parquet(table_path).drop("batch_id")
+    columns = [c for c in weighted.columns if c != WEIGHT]
+    net = weighted.groupBy(*columns).agg(F.sum(WEIGHT).alias("_net")).where(F.col("_net") > 0)
+    return net.select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_net"))).alias("_i")).drop("_i")
+
+
+def stream_refresh(
+    stream: DataFrame, name: str, state_path: str, table_path: str, checkpoint: str, as_of: str, lag: str | None = ""
+) -> StreamingQuery:
+    """Keep one of the five derived tables current, by default at its target lag.
+
+    ``lag=None`` takes in what is there and stops.
+    """
+    lag = TARGET_LAG[name] if lag == "" else lag
+    if name in ROLLUPS:
+        return stream_rollup(stream, name, state_path, table_path, checkpoint, lag)
+    return stream_items(stream, name, table_path, checkpoint, as_of, lag)
 
 
 def stream_alerts(
@@ -111,18 +150,17 @@ def stream_alerts(
 
     The log itself is the state: each batch is checked against the alerts of earlier
     batches, so a resolved alert re-arms its item, which dropping duplicates within a
-    watermark could not do. ``clock`` gives the time of a batch and must give the same
-    time when the batch runs again.
+    watermark could not do. Only the log of today and yesterday is opened. ``clock``
+    gives the time of a batch and must give the same time when the batch runs again.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        history = _earlier_batches(spark, history_path, batch_id)
-        if history is None:
-            history = spark.createDataFrame([], schema.ALERT_HISTORY)
+        as_of = clock(batch_id)
+        log = recent_days(batch.sparkSession, history_path, LOGGED_ALERTS, as_of, 1)
+        history = log.where(F.col("batch_id") < batch_id)
         entering = batch.where(F.col(WEIGHT) > 0)
         rows = entering.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col(WEIGHT))))
-        alerts = new_alerts(rows, history, clock(batch_id))
-        alerts.write.mode("overwrite").parquet(f"{history_path}/batch_id={batch_id}")
+        alerts = new_alerts(rows, history, as_of)
+        alerts.write.mode("overwrite").parquet(f"{history_path}/log_date={as_of[:10]}/batch_id={batch_id}")
 
     return _start(stream, step, checkpoint, lag)

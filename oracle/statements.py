@@ -195,7 +195,7 @@ def _anomaly_ctes(days: int) -> list[str]:
         _recent(days),
         f"changed AS (SELECT *, {dbl(f'quantity_on_hand - lag(quantity_on_hand) OVER {_BY_ITEM}')} AS qty_change FROM recent)",
         "scored AS (SELECT *, avg(qty_change) OVER (PARTITION BY sku_id) AS mu, stddev_samp(qty_change) OVER (PARTITION BY sku_id) AS sd FROM changed WHERE qty_change IS NOT NULL)",
-        "z AS (SELECT *, (qty_change - mu) / nullif(sd, 0) AS z FROM scored)",
+        f"z AS (SELECT *, {rnd('(qty_change - mu) / nullif(sd, 0)', 10)} AS z FROM scored)",
         f"""anomalies AS (SELECT sku_id, sku_name, category, warehouse_location, audit_date, qty_change, {rnd("mu", 2)} AS avg_change, {rnd("sd", 2)} AS stddev,
   CASE WHEN abs(z) > 3 THEN 'SEVERE' WHEN abs(z) > 2 THEN 'MODERATE' ELSE 'NORMAL' END AS anomaly_severity,
   CASE WHEN qty_change > 0 THEN 'Unusual stock increase detected' ELSE 'Unusual stock decrease detected' END AS anomaly_type, {rnd("z", 2)} AS z_score
@@ -203,6 +203,13 @@ def _anomaly_ctes(days: int) -> list[str]:
     ]
 
 
+def change_statistics(days: int) -> str:
+    return plain(
+        f"SELECT sku_id, audit_date, qty_change, {rnd('mu', 4)} AS mean_change, {rnd('sd', 4)} AS stddev_change, {rnd('z', 4)} AS z_score FROM z",
+        *_anomaly_ctes(days)[:-1],
+    )
+
+
 def inventory_anomalies(days: int) -> str:
     return plain("SELECT * FROM anomalies", *_anomaly_ctes(days))
 
@@ -223,7 +230,7 @@ def _forecast_ctes(days: int) -> list[str]:
         f"rolled AS (SELECT *, stddev_samp(CAST(avg_daily_sales AS DOUBLE)) OVER {_TRAIL} AS sd FROM recent)",
         f"grouped AS (SELECT {group}, {mean('avg_daily_sales')} AS mu, avg(sd) AS spread, max(forecast_next_30d) AS forecast_30d FROM rolled GROUP BY {group})",
         f"""forecast AS (SELECT DISTINCT sku_id, sku_name, category, warehouse_location, abc_class, {rnd("mu", 2)} AS avg_daily_demand, {rnd("spread", 2)} AS volatility, forecast_30d,
-  CASE WHEN spread / nullif(mu, 0) < 0.2 THEN 'HIGH' WHEN spread / nullif(mu, 0) < 0.5 THEN 'MEDIUM' ELSE 'LOW' END AS forecast_confidence,
+  CASE WHEN {rnd('spread / nullif(mu, 0)', 10)} < 0.2 THEN 'HIGH' WHEN {rnd('spread / nullif(mu, 0)', 10)} < 0.5 THEN 'MEDIUM' ELSE 'LOW' END AS forecast_confidence,
   CASE WHEN quantity_on_hand <= safety_stock THEN 'HIGH RISK' WHEN quantity_on_hand <= reorder_point THEN 'MODERATE RISK' ELSE 'LOW RISK' END AS stockout_risk,
   CASE WHEN quantity_on_hand <= safety_stock THEN 'URGENT: Order immediately' WHEN quantity_on_hand <= reorder_point THEN 'WARNING: Plan reorder soon' ELSE 'OK: Monitor' END AS recommendation
   FROM grouped)""",
@@ -393,6 +400,9 @@ def statements() -> dict[str, str]:
     s["item_scatter_risk"] = over(scatter.format(c="risk_score"), "health")
     s["risk_alert_fallback"] = over("SELECT sku_id, sku_name, location, risk_score FROM health WHERE risk_score >= 70", "health")
     s["sliced_health"] = over("SELECT * FROM health WHERE location = 'NATION_1' AND category = 'ECONOMY' AND stock_status = 'CRITICAL'", "health")
+    s["half_reorder_status"] = over(
+        "SELECT CASE WHEN q < rp * 0.5 THEN 'CRITICAL' WHEN q < rp THEN 'LOW' ELSE 'HEALTHY' END AS stock_status, count(*) AS item_count FROM x WHERE active GROUP BY 1"
+    )
     s["sliced_alerts"] = over("SELECT * FROM alerts WHERE location = 'NATION_1'", "alerts")
 
     # scorecards
@@ -415,7 +425,11 @@ FROM x WHERE active GROUP BY location, abc_class, category"""
     )
     s["location_performance"] = over("SELECT * FROM performance", "performance")
     s["category_heatmap"] = over("SELECT * FROM heatmap", "heatmap")
-    s["stream_category_heatmap"] = over("SELECT * FROM heatmap", "heatmap", source="later", before=_LATER)
+    for name, view in (
+        ("stock_health", "health"), ("active_alerts", "alerts"), ("reorder_recommendations", "reorders"),
+        ("location_performance", "performance"), ("category_heatmap", "heatmap"),
+    ):
+        s[f"stream_{name}"] = over(f"SELECT * FROM {view}", view, source="later", before=_LATER)
     s["overview_counts"] = plain(
         "SELECT (SELECT count(*) FROM inventory) AS total_records, (SELECT count(*) FROM (SELECT DISTINCT warehouse_location FROM inventory)) AS total_locations, "
         "(SELECT count(*) FROM (SELECT DISTINCT category FROM inventory)) AS total_categories, (SELECT count(*) FROM (SELECT DISTINCT sku_id FROM inventory)) AS total_skus"
@@ -516,6 +530,7 @@ FROM (SELECT *, {rnd("total_value / (sum(total_value) OVER ()) * 100", 1)} AS va
     # windows
     for suffix, days in (("", 90), ("_long", 3650)):
         s[f"audit_changes{suffix}"] = audit_changes(days)
+        s[f"change_statistics{suffix}"] = change_statistics(days)
         s[f"inventory_anomalies{suffix}"] = inventory_anomalies(days)
         s[f"trailing_demand{suffix}"] = trailing_demand(days)
         s[f"demand_forecast{suffix}"] = demand_forecast(days)
@@ -532,6 +547,9 @@ FROM (SELECT *, {rnd("total_value / (sum(total_value) OVER ()) * 100", 1)} AS va
     s["projection_compare"] = over(
         "SELECT item_name, location, current_stock, predicted_stock FROM projection WHERE item_name IN (SELECT DISTINCT item_name FROM projection ORDER BY item_name LIMIT 5)", "projection"
     )
+    s["projection_compare_named"] = over(
+        "SELECT item_name, location, current_stock, predicted_stock FROM projection WHERE item_name IN ('small ring', 'cold anvil')", "projection"
+    )
     for dimension in ("category", "location"):
         s[f"forecast_risk_by_{dimension}"] = over(f"SELECT {dimension}, stockout_risk, count(*) AS item_count FROM projection GROUP BY {dimension}, stockout_risk", "projection")
     s["forecast_summary"] = over(
@@ -633,7 +651,7 @@ ORDER BY priority_score DESC, sku_name, location, category, quantity_on_hand, re
 
     # jobs
     s["generate_alerts"] = over(f"SELECT {_NEW_ALERT_COLUMNS} FROM x WHERE active AND attention AND NOT {_QUIET}", before=_HISTORY)
-    s["stream_alerts"] = over(
+    s["stream_alert_log"] = over(
         """SELECT batch_id, sku_id, location, alert_type, priority, quantity_on_hand FROM (
 SELECT 0 AS batch_id, * FROM x WHERE active AND attention AND stock_age_days % 2 = 0 UNION ALL
 SELECT 1 AS batch_id, * FROM x WHERE active AND attention AND stock_age_days % 2 <> 0
@@ -671,6 +689,15 @@ FROM log l LEFT JOIN (SELECT sku_id, warehouse_location AS location, max(CASE ab
     s["applied_changes"] = plain(f"SELECT warehouse_location, category, count(*) AS rows, {total('quantity_on_hand')} AS units FROM new_state GROUP BY warehouse_location, category", _NEW)
     headings = ", ".join(f'{name} AS "{heading}"' for name, heading in sinks.EXPORT_HEADINGS.items())
     s["export_reorder"] = over(f"SELECT {headings} FROM reorders WHERE location = 'NATION_1'", "reorders")
+    shown = (
+        "sku_id, sku_name, category, location, warehouse_id, abc_class, quantity_on_hand, quantity_reserved, quantity_committed, available_stock, reorder_point, safety_stock, lead_time_days, "
+        "avg_daily_sales, forecast_next_30d, recommended_order_qty, economic_order_qty, priority_score, unit_cost_usd, estimated_order_value_usd, supplier_name, supplier_id, "
+        "supplier_ontime_pct, days_of_inventory, order_frequency_per_month"
+    )
+    renamed = ", ".join(f'{n} AS "{sinks.SHOWN_HEADINGS[n]}"' if n in sinks.SHOWN_HEADINGS else n for n in shown.split(", "))
+    s["export_shown_list"] = over(
+        f"SELECT {renamed} FROM (SELECT * FROM reorders ORDER BY priority_score DESC, estimated_order_value_usd DESC NULLS LAST, {shown} LIMIT 100)", "reorders"
+    )
     s["export_log"] = over(
         """SELECT 'REORDER_LIST' AS export_type, count(*) AS record_count, 'user' AS exported_by, 'CSV' AS file_format, '{"category": "All", "location": "All"}' AS filters_applied FROM reorders""",
         "reorders",

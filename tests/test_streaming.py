@@ -24,7 +24,7 @@ def test_heatmap_stream_follows_inserts_updates_and_deletes(spark, inventory, tm
 
     def run():
         feed = stream.read_changes(spark, f"{base}/feed")
-        stream.stream_category_heatmap(feed, f"{base}/cells", f"{base}/map", f"{base}/ck", lag=None).awaitTermination()
+        stream.stream_rollup(feed, "category_heatmap", f"{base}/cells", f"{base}/map", f"{base}/ck").awaitTermination()
 
     stream.publish_load(inventory, f"{base}/feed")
     run()
@@ -33,7 +33,7 @@ def test_heatmap_stream_follows_inserts_updates_and_deletes(spark, inventory, tm
     run()
     assert _same(spark.read.parquet(f"{base}/map"), rollups.category_heatmap(later))
 
-    stream.compact_cells(spark, f"{base}/cells", f"{base}/compact", up_to_batch=1)
+    stream.compact_cells(spark, "category_heatmap", f"{base}/cells", f"{base}/compact", up_to_batch=1)
     folded = spark.read.parquet(f"{base}/compact").drop("batch_id")
     assert _same(rollups.heatmap_from_cells(folded), rollups.category_heatmap(later))
 
@@ -42,7 +42,7 @@ def test_many_small_batches_give_the_same_map(spark, inventory, tmp_path):
     base = str(tmp_path)
     stream.publish_load(inventory.repartition(4), f"{base}/feed")
     feed = stream.read_changes(spark, f"{base}/feed", files_per_batch=1)
-    query = stream.stream_category_heatmap(feed, f"{base}/cells", f"{base}/map", f"{base}/ck", lag=None)
+    query = stream.stream_rollup(feed, "category_heatmap", f"{base}/cells", f"{base}/map", f"{base}/ck")
     query.awaitTermination()
     assert spark.read.parquet(f"{base}/cells").select("batch_id").distinct().count() >= 2
     assert _same(spark.read.parquet(f"{base}/map"), rollups.category_heatmap(inventory))
