@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
 import re
 
 import pytest
@@ -31,8 +33,11 @@ def test_item_tables_are_narrow(inventory, table):
 
 
 def test_filters_and_columns_reach_the_scan(inventory):
-    text = plan(items.reorder_recommendations(inventory).select("sku_id", "recommended_order_qty"))
-    scanned = re.search(r"FileScan parquet \[([^\]]*)\]", text).group(1)
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        items.reorder_recommendations(inventory).select("sku_id", "recommended_order_qty").explain("formatted")
+    text = out.getvalue()
+    scanned = re.search(r"ReadSchema: (.*)", text).group(1)
     assert "sku_name" not in scanned and "notes" not in scanned
     assert "Not(In(inventory_status, [Discontinued,Obsolete]))" in text
 
