@@ -398,7 +398,7 @@ def _register_streams() -> None:
                     feed, name, f"{base}/state", f"{base}/table", f"{base}/checkpoint", AS_OF, lag=None
                 ).awaitTermination()
             if name in stream.ROLLUPS:
-                return spark.read.parquet(f"{base}/table")
+                return stream.current_table(spark, f"{base}/table")
             return stream.current_items(spark, f"{base}/table")
 
         return run

@@ -81,7 +81,8 @@ def stream_rollup(
     A batch is reduced to cells per item that carry signed row counts, written beside the
     cells of earlier batches, and the table is made from their sum. A count that returns
     to 0 means the item has left its band. The work grows with the batch and the number
-    of cells, not with the inventory rows.
+    of cells, not with the inventory rows. Each batch publishes its own version of the
+    table, so readers never meet a half-replaced one (see ``current_table``).
     """
     rollup = ROLLUPS[name]
 
@@ -91,11 +92,18 @@ def stream_rollup(
         cells.write.mode("overwrite").parquet(f"{cells_path}/batch_id={batch_id}")
         known = spark.read.parquet(cells_path).drop("batch_id")
         table = rollup.table(rollups.add_cells(known, rollup.keys))
-        table.write.mode("overwrite").parquet(table_path)
+        table.write.mode("overwrite").parquet(f"{table_path}/batch_id={batch_id}")
 
     return _start(stream, step, checkpoint, lag)
 
 
+def current_table(spark: SparkSession, table_path: str) -> DataFrame:
+    """The newest published version; only its folder is read."""
+    versions = spark.read.parquet(table_path)
+    newest = versions.agg(F.max("batch_id")).scalar()
+    return versions.where(F.col("batch_id") == newest).drop("batch_id")
+
+
 def compact_cells(spark: SparkSession, name: str, cells_path: str, new_path: str, up_to_batch: int) -> None:
     """Fold the cells of finished batches into one, at a new path."""
     done = spark.read.parquet(cells_path).where(F.col("batch_id") <= up_to_batch).drop("batch_id")

@@ -28,10 +28,10 @@ def test_heatmap_stream_follows_inserts_updates_and_deletes(spark, inventory, tm
 
     stream.publish_load(inventory, f"{base}/feed")
     run()
-    assert _same(spark.read.parquet(f"{base}/map"), rollups.category_heatmap(inventory))
+    assert _same(stream.current_table(spark, f"{base}/map"), rollups.category_heatmap(inventory))
     stream.publish_changes(inventory, later, f"{base}/feed")
     run()
-    assert _same(spark.read.parquet(f"{base}/map"), rollups.category_heatmap(later))
+    assert _same(stream.current_table(spark, f"{base}/map"), rollups.category_heatmap(later))
 
     stream.compact_cells(spark, "category_heatmap", f"{base}/cells", f"{base}/compact", up_to_batch=1)
     folded = spark.read.parquet(f"{base}/compact").drop("batch_id")
@@ -45,7 +45,7 @@ def test_many_small_batches_give_the_same_map(spark, inventory, tmp_path):
     query = stream.stream_rollup(feed, "category_heatmap", f"{base}/cells", f"{base}/map", f"{base}/ck")
     query.awaitTermination()
     assert spark.read.parquet(f"{base}/cells").select("batch_id").distinct().count() >= 2
-    assert _same(spark.read.parquet(f"{base}/map"), rollups.category_heatmap(inventory))
+    assert _same(stream.current_table(spark, f"{base}/map"), rollups.category_heatmap(inventory))
 
 
 def test_alert_batch_that_runs_again_replaces_itself(spark, rows, tmp_path):
