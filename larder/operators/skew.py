@@ -27,7 +27,7 @@ def hot_values(df: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK) -> l
     """
     counted = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     hot = counted.where((F.col("n") > rows_per_task) & F.col(key).isNotNull())
-    return [row[0] for row in hot.select(key).toLocalIterator()]
+    return [row[0] for row in hot.select(key).collect()]
 
 
 def is_one_of(key: str, values: Sequence) -> Column:
@@ -174,19 +174,19 @@ def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
-def exact_median(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Exact median of a two-decimal amount per group, as DOUBLE.
+def amount_counts(df: DataFrame, group: str, value: str) -> DataFrame:
+    """How often each amount occurs per group; combines map-side."""
+    counted = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("n"))
+    return counted.withColumn("unit", F.floor(value))
 
-    ``median`` would hold every distinct amount of a group in one task. Here amounts are
-    counted first, a running count over whole units finds the unit that holds the middle,
-    and only the (at most 100) amounts inside that unit are looked at.
+
+def exact_median(counts: DataFrame, group: str, value: str) -> DataFrame:
+    """Exact median of a two-decimal amount per group, as DOUBLE, from its counts.
+
+    ``median`` would hold every distinct amount of a group in one task. Here a running
+    count over whole units finds the unit that holds the middle, and only the (at most
+    100) amounts inside that unit are looked at.
     """
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(group, value)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("unit", F.floor(value))
-    )
     by_unit = Window.partitionBy(group).orderBy("unit")
     middle_low, middle_high = F.floor((F.col("size") + 1) / 2), F.ceil((F.col("size") + 1) / 2)
     holds_middle = (F.col("upto") - F.col("n") < middle_high) & (F.col("upto") >= middle_low)
@@ -198,9 +198,12 @@ def exact_median(df: DataFrame, group: str, value: str) -> DataFrame:
         .where(holds_middle)
         .select(F.col(group).alias("_g"), F.col("unit").alias("_u"), (F.col("upto") - F.col("n")).alias("below"), "size")
     )
+    # null-safe on both columns: no filter is inferred for one side, so both sides stay
+    # the same plan and Spark reuses the shuffled counts
+    same_unit = F.col(group).eqNullSafe(F.col("_g")) & F.col("unit").eqNullSafe(F.col("_u"))
     by_amount = Window.partitionBy(group, "unit").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        counts.join(units, F.col(group).eqNullSafe(F.col("_g")) & (F.col("unit") == F.col("_u")))
+        counts.join(units, same_unit)
         .withColumn("upto", F.col("below") + F.sum("n").over(by_amount))
         .where(holds_middle)
         .groupBy(group)

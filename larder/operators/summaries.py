@@ -18,7 +18,7 @@ from larder.functions.numeric import (
     round_to,
 )
 from larder.operators.ranking import ranked
-from larder.operators.skew import exact_median
+from larder.operators.skew import amount_counts, exact_median
 
 
 def _is(status: str) -> Column:
@@ -193,11 +193,13 @@ def abc_value_share(health: DataFrame) -> DataFrame:
 
 
 def abc_cost_stats(health: DataFrame) -> DataFrame:
-    costs = health.groupBy("abc_class").agg(
-        round_to(mean("unit_cost_usd"), 2).alias("avg_cost"),
-        F.count("unit_cost_usd").alias("item_count"),
+    """Mean, exact median and number of unit costs per class, all from one count per cost."""
+    counts = amount_counts(health, "abc_class", "unit_cost_usd")
+    costs = counts.groupBy("abc_class").agg(
+        round_to(ratio(F.sum(F.col("unit_cost_usd") * F.col("n")), F.sum("n")), 2).alias("avg_cost"),
+        F.sum("n").alias("item_count"),
     )
-    medians = exact_median(health, "abc_class", "unit_cost_usd").select(
+    medians = exact_median(counts, "abc_class", "unit_cost_usd").select(
         F.col("abc_class").alias("_class"), round_to(F.col("median"), 2).alias("median_cost")
     )
     return costs.join(medians, F.col("abc_class").eqNullSafe(F.col("_class")), "left").drop("_class")

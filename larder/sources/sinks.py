@@ -55,8 +55,8 @@ def shown_list(reorders: DataFrame, include_all: bool = True, first: int = 100)
     return reorders.withColumnsRenamed(SHOWN_HEADINGS)
 
 
-def materialize(df: DataFrame, path: str, partition_by: str | None = "location", clustered_by: tuple[str, ...] = ()) -> None:
-    """Replace a derived table.
+def laid_out(df: DataFrame, partition_by: str | None, clustered_by: tuple[str, ...]) -> DataFrame:
+    """Rows placed for writing.
 
     Rows of one partition value (or cluster) are brought together first; otherwise every
     task would leave a small file in every partition. The rebalance hint lets the
@@ -67,9 +67,12 @@ def materialize(df: DataFrame, path: str, partition_by: str | None = "location",
     together = [*([partition_by] if partition_by else []), *clustered_by]
     if together:
         df = df.hint("rebalance", *[F.col(name) for name in together])
-    if clustered_by:
-        df = df.sortWithinPartitions(*together)
-    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
+    return df.sortWithinPartitions(*together) if clustered_by else df
+
+
+def materialize(df: DataFrame, path: str, partition_by: str | None = "location", clustered_by: tuple[str, ...] = ()) -> None:
+    """Replace a derived table."""
+    writer = laid_out(df, partition_by, clustered_by).write.mode("overwrite").option("partitionOverwriteMode", "static")
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)

@@ -70,6 +70,21 @@ def test_insight_context_shares_no_cross_join(inventory):
     assert "CartesianProduct" not in plan(df) and "BroadcastNestedLoopJoin" not in plan(df)
 
 
+def test_writes_bring_rows_together_by_rebalancing(inventory):
+    from larder.sources import sinks
+
+    health = items.stock_health(inventory)
+    for layout in (("location", ()), (None, ("location", "category"))):
+        assert "REBALANCE_PARTITIONS_BY_COL" in plan(sinks.laid_out(health, *layout))
+
+
+def test_cost_statistics_scan_once(inventory):
+    df = summaries.abc_cost_stats(items.stock_health(inventory))
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("FileScan") == 1 and "ReusedExchange" in final
+
+
 def test_no_query_runs_python_per_row_or_pairs_rows_blindly(spark):
     writes_files = {"loaded_inventory", "materialized_stock_health", "restored_counts"}
     for name, query in QUERIES.items():
