@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import cache
@@ -42,10 +43,15 @@ def _own_folder() -> str:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (a test on one machine) a folder of its own.
+    Where that setting is absent, a session whose tasks all run on this machine gets a folder of its own;
+    on a cluster there is none that all executors would see, so it must be set.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or _own_folder()
+    if named:
+        return named
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
+    return _own_folder()
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
