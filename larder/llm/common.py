@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from larder.session import scratch_path
+
 #: ASCII white space, the only white space that normalisation and word splitting look at.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -34,11 +35,9 @@ def keyed_texts(docs: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and all executors reach."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        raise ValueError("spark.checkpoint.dir is unset: name a folder that driver and executors share")
-    return f"{root.rstrip('/')}/text-{uuid.uuid4().hex}"
+    """A new folder below the one that driver and all executors reach, with its scheme."""
+    folder = scratch_path(spark, "text")
+    return folder if "://" in folder else f"file://{folder}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

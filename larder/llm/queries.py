@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import bpe, exact, packing, warc
+from larder.llm import bpe, exact, jaccard, multiset, packing, pii, secrets, suffix, toxicity, warc
 from larder.llm.common import read
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.deduplicated(read(spark, sf_dir, "documents"), digests=True)
+
+
+def op2_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset.compare(read(spark, sf_dir, "documents"))
+
+
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(read(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(read(spark, sf_dir, "documents"))
 
@@ -20,13 +32,36 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read(spark, sf_dir, "documents"), digests=True)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.assess(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(read(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(read(spark, sf_dir, "pages")).drop("payload")
 
 
+def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonyms(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op4_exact_dedup, op5_packing, op6_byte_bpe, op9_warc)
+    for f in (
+        op1_suffix_array_dedup,
+        op2_multiset_fingerprints,
+        op3_secret_scans,
+        op4_exact_dedup,
+        op5_packing,
+        op6_byte_bpe,
+        op7_toxicity,
+        op8_ngram_jaccard_join,
+        op9_warc,
+        op10_pii_pseudonyms,
+    )
 }
 
 STATEMENTS = {

@@ -209,7 +209,9 @@ def read_bundles(index: DataFrame) -> DataFrame:
                             rows.append((_page(headers["WARC-Record-ID"]), size, digest, kind, refers_to, payload if kind == "response" else None))
                         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names=names)
 
-    return index.select("bundle").distinct().mapInArrow(run, schema)
+    bundles = index.select("bundle").distinct()
+    # a name is a few bytes and stands for a whole bundle: a partition for each, which Spark doesn't merge by size
+    return bundles.repartition(max(1, bundles.count()), "bundle").mapInArrow(run, schema)
 
 
 def archive(pages: DataFrame, folder: str | None = None, min_payload: int = 0) -> DataFrame:
