@@ -24,6 +24,17 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def settled(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of `docs`, with the same rows at the same places each time they are read.
+
+    A scan is that already. Behind a shuffle rows may come in another order when fewer columns are asked
+    for or a task runs again, so such a frame is written first.
+    """
+    texts = docs.select("doc_id", whole_text().alias("text"))
+    plan = texts._jdf.queryExecution().executedPlan().toString()
+    return written(texts, "texts") if "Exchange" in plan else texts
+
+
 def keyed_texts(docs: DataFrame) -> DataFrame:
     """(row, doc_id, text): `row` names the input row, so repeated and null ids stay apart.
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.llm.common import arrow_schema, keyed_texts, per_batch, written
+from larder.llm.common import arrow_schema, keyed_texts, per_batch, settled, written
 from larder.llm.hashing import BASE, mixed, powers
 
 WORDS = 3
@@ -218,7 +218,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     rows have equal sets and one component; a null id takes part but never names a component unless all
     its ids are null. An empty table gives an empty result. Sets are compared by 64-bit hashes.
     """
-    texts = keyed_texts(docs)
+    texts = keyed_texts(settled(docs))
     described = written(_described(texts, words), "described")
     rows = described.where("n is not null")
     counts = described.where("n is null").groupBy("row").agg(F.sum("a").alias("n"))

@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.llm.common import arrow_schema, keyed_texts, per_batch, written
+from larder.llm.common import arrow_schema, keyed_texts, per_batch, settled, written
 from larder.llm.hashing import mixed, powers
 
 LENGTH = 100
@@ -277,7 +277,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most:
     A null id comes first; of rows that repeat an id the one that the scan meets first comes first. An empty
     table gives an empty result. Bytes that are left need not be valid UTF-8.
     """
-    texts = keyed_texts(docs).select("row", "doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), "text")
+    texts = keyed_texts(settled(docs)).select("row", "doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), "text")
     spans = repeats(texts.select("row", "doc", "text"), length, gram, most)
     spans = spans.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
