@@ -11,13 +11,25 @@ from larder.llm.common import keyed_texts, whole_text, written
 BREAK = r"[\r\n]+|(?<=[.!?])\x20+"
 #: 64-bit hashes of a paragraph from which the vector's components come: each of the 64 bits is one.
 HASHES = 2
-#: One bit of each 16-bit field of a long; the sums of 65,535 paragraphs stay apart, beyond that they carry over.
+#: One bit of each 16-bit field of a long; the counts of 65,535 paragraphs stay apart, beyond that they carry over into the next.
 FIELD = 0x0001000100010001
 SUMS = [f"s{h}_{k}" for h in range(HASHES) for k in range(16)]
 #: Two more components modulo 2^64, for equality alone.
 WIDE = ["w0", "w1"]
 
 
+def _wrapped(total: Column) -> Column:
+    """A decimal modulo 2^64, as the long with the same bits."""
+    whole, half = (F.lit(str(1 << bits)).cast("decimal(38,0)") for bits in (64, 63))
+    rest = F.pmod(total.cast("decimal(38,0)"), whole)
+    return F.when(rest >= half, rest - whole).otherwise(rest).cast("long")
+
+
+def _sum(value: Column) -> Column:
+    """Sum modulo 2^64; added up as a decimal, which any number of paragraphs leaves exact."""
+    return _wrapped(F.sum(value.cast("decimal(19,0)")))
+
+
 def paragraphs(text: Column) -> Column:
     """The paragraphs of a text; one without characters has none."""
     return F.filter(F.split(text, BREAK, -1), lambda p: F.length(p) > 0)
@@ -38,9 +50,9 @@ def vectors(parts: DataFrame, *keys: str) -> DataFrame:
     )
     field = F.lit(FIELD)
     bits = [
-        F.sum(F.shiftrightunsigned(f"h{h}", k).bitwiseAND(field)).alias(f"s{h}_{k}") for h in range(HASHES) for k in range(16)
+        _sum(F.shiftrightunsigned(f"h{h}", k).bitwiseAND(field)).alias(f"s{h}_{k}") for h in range(HASHES) for k in range(16)
     ]
-    return hashed.groupBy(*keys).agg(F.sum("real").alias("parts"), *bits, *[F.sum(w).alias(w) for w in WIDE])
+    return hashed.groupBy(*keys).agg(F.sum("real").alias("parts"), *bits, *[_sum(F.col(w)).alias(w) for w in WIDE])
 
 
 def changed(fingerprints: DataFrame, difference: DataFrame, key: str, sign: int = 1) -> DataFrame:
@@ -48,7 +60,11 @@ def changed(fingerprints: DataFrame, difference: DataFrame, key: str, sign: int
     names = ["parts", *SUMS, *WIDE]
     other = difference.select(F.col(key).alias("at"), *[F.col(n).alias(f"d_{n}") for n in names])
     return fingerprints.join(other, F.col(key).eqNullSafe(F.col("at")), "left").select(
-        key, *[(F.col(n) + F.lit(sign) * F.coalesce(f"d_{n}", F.lit(0))).alias(n) for n in names]
+        key,
+        *[
+            _wrapped(F.col(n).cast("decimal(20,0)") + F.coalesce(f"d_{n}", F.lit(0)).cast("decimal(20,0)") * sign).alias(n)
+            for n in names
+        ],
     )
 
 
