@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# A decimal tie such as 1.025 has no exact double; this relative nudge (about 45 ulp)
-# lets it round the way the decimal would.
-_TIE = 1 + 1e-14
+# Decimals at which a computed double is settled first, so that a decimal tie such as
+# 1.025, which no double holds exactly, rounds the way the decimal would.
+_SETTLED = 10
 
 
 def as_double(column: Column | str) -> Column:
@@ -17,12 +17,11 @@ def as_double(column: Column | str) -> Column:
 def round_to(value: Column, digits: int = 0) -> Column:
     """Round half away from zero, as DOUBLE.
 
-    ``F.round`` on a double goes through a BigDecimal object per row; this stays in
-    primitive arithmetic inside the generated code.
+    Spark rounds the shortest decimal that stands for the double, whatever its size.
     """
-    scale = float(10**digits)
-    signed = F.signum(value) * F.floor(F.abs(value) * scale * F.lit(_TIE) + 0.5)
-    return (signed + 0.0) / F.lit(scale)  # adding 0.0 turns -0.0 into 0.0
+    settled = F.round(as_double(value), _SETTLED)
+    rounded = settled if digits >= _SETTLED else F.round(settled, digits)
+    return rounded + 0.0  # turns -0.0 into 0.0
 
 
 def ratio(top: Column, bottom: Column) -> Column:

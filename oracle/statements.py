@@ -14,10 +14,8 @@ NOW = "TIMESTAMP '2001-08-01 00:00:00'"
 
 
 def rnd(value: str, digits: int = 0) -> str:
-    """Half away from zero, with the nudge that lets a decimal tie round up."""
-    scale = 10**digits
-    whole = f"CAST(floor(abs({value}) * {scale} * CAST(1.00000000000001 AS DOUBLE) + 0.5) AS BIGINT)"
-    return f"(CASE WHEN ({value}) < 0 THEN -{whole} ELSE {whole} END / CAST({scale} AS DOUBLE))"
+    """Half away from zero, in decimal arithmetic."""
+    return f"CAST(round(CAST({value} AS DECIMAL(38,10)), {digits}) AS DOUBLE)"
 
 
 def dbl(value: str) -> str:
@@ -586,7 +584,7 @@ FROM (SELECT *, {rnd("total_value / (sum(total_value) OVER ()) * 100", 1)} AS va
         extra=f", {rnd('CAST(quantity_on_hand AS DOUBLE) * CAST(unit_cost_usd AS DOUBLE)', 2)} AS total_value",
     )
     s["top_reorders"] = top("sku_name, location, quantity_on_hand, reorder_point, recommended_order_qty, priority_score, estimated_order_value_usd", "reorders", "priority_score DESC", 10)
-    s["worst_locations"] = top("location, total_skus, critical_count, low_stock_count, health_score, items_needing_reorder", "performance", "health_score ASC NULLS LAST", 10)
+    s["worst_locations"] = top("location, total_skus, critical_count, low_stock_count, health_score, items_needing_reorder", "performance", "health_score ASC NULLS LAST", None)
     s["top_heatmap_cells"] = top("location, category, total_skus, critical_skus, avg_risk_score, overall_status", "heatmap", "avg_risk_score DESC NULLS LAST", 20)
     s["first_alerts"] = top("sku_name, location, category, abc_class, priority, quantity_on_hand, reorder_point, safety_stock, days_until_stockout", "alerts", _BY_SEVERITY, 20)
     s["reorder_list"] = top(
@@ -612,9 +610,9 @@ GROUP BY audit_date ORDER BY audit_date DESC LIMIT 7"""
     )
     s["location_picker"] = over("SELECT DISTINCT location FROM health", "health")
     s["category_picker"] = over("SELECT DISTINCT category FROM health", "health")
-    s["read_stock_health"] = top(", ".join(tables.HEALTH_COLUMNS), "health", "risk_score DESC NULLS LAST, abc_class, category", 10000)
-    s["read_active_alerts"] = top(", ".join(tables.ALERT_COLUMNS), "alerts", _BY_SEVERITY, 5000)
-    s["read_reorder"] = top(", ".join(tables.REORDER_COLUMNS), "reorders", "priority_score DESC, estimated_order_value_usd DESC NULLS LAST", 5000)
+    s["read_stock_health"] = top(", ".join(tables.HEALTH_COLUMNS), "health", "risk_score DESC NULLS LAST, abc_class, category", None)
+    s["read_active_alerts"] = top(", ".join(tables.ALERT_COLUMNS), "alerts", _BY_SEVERITY, None)
+    s["read_reorder"] = top(", ".join(tables.REORDER_COLUMNS), "reorders", "priority_score DESC, estimated_order_value_usd DESC NULLS LAST", None)
     s["read_location"] = over(f"SELECT {', '.join(tables.LOCATION_COLUMNS)} FROM performance", "performance")
     s["read_heatmap"] = over(f"SELECT {', '.join(tables.HEATMAP_COLUMNS)} FROM heatmap", "heatmap")
     s["result_preview"] = top("sku_id, location, priority, days_until_stockout", "alerts", _BY_SEVERITY, 20, extra=", (SELECT greatest(0, count(*) - 20) FROM alerts) AS more_rows")
@@ -628,7 +626,7 @@ GROUP BY audit_date ORDER BY audit_date DESC LIMIT 7"""
     s["question_top_items_by_value"] = top("total_inventory_value_usd, sku_id, sku_name, location, category, quantity_on_hand", "health", "total_inventory_value_usd DESC NULLS LAST", 5)
     s["question_critical_value"] = over(f"SELECT count(*) AS critical_items, {total('total_inventory_value_usd')} AS critical_value FROM health WHERE {crit}", "health")
     s["question_best_suppliers"] = over(
-        f"SELECT * FROM (SELECT supplier_name, {rnd(mean('supplier_ontime_pct'), 1)} AS avg_ontime_pct FROM health GROUP BY supplier_name) ORDER BY avg_ontime_pct DESC NULLS LAST, supplier_name LIMIT 10", "health"
+        f"SELECT * FROM (SELECT supplier_name, {rnd(mean('supplier_ontime_pct'), 1)} AS avg_ontime_pct FROM health GROUP BY supplier_name) ORDER BY avg_ontime_pct DESC NULLS LAST, supplier_name", "health"
     )
     s["question_class_a_low"] = over(
         "SELECT sku_id, sku_name, location, quantity_on_hand, reorder_point, stock_status FROM health WHERE abc_class = 'A' AND stock_status IN ('OUT_OF_STOCK', 'CRITICAL', 'LOW')", "health"
