@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -68,32 +67,6 @@ def stock_projection(health: DataFrame, horizon: int = K.HORIZON_DAYS) -> DataFr
     return _project(health, horizon, _demand())
 
 
-def _unit_draw(*parts: Column) -> Column:
-    """Uniform number in (0, 1) that depends only on its arguments."""
-    return (F.pmod(F.xxhash64(*parts), F.lit(2**52)).cast("double") + 0.5) / float(2**52)
-
-
-def stock_projection_mc(
-    health: DataFrame, horizon: int = K.HORIZON_DAYS, paths: int = 1, seed: int = 42
-) -> DataFrame:
-    """Projection at sampled demand: the mean of ``paths`` x ``horizon`` normal draws.
-
-    The draws come from hashes of the row, the path and the day. A task that runs again
-    after a lost executor therefore draws the same numbers, and nothing is exploded or
-    shuffled.
-    """
-    row = [F.col(c) for c in ("sku_id", "location", "quantity_on_hand", "avg_daily_sales", "safety_stock")]
-
-    def day_demand(step: Column) -> Column:
-        radius = F.sqrt(F.log(_unit_draw(F.lit(seed), step, F.lit(0), *row)) * -2)
-        angle = _unit_draw(F.lit(seed), step, F.lit(1), *row) * (2 * math.pi)
-        return F.greatest(F.lit(0.0), _demand() * (1 + _volatility() * radius * F.cos(angle)))
-
-    steps = F.sequence(F.lit(1), F.lit(horizon * paths))
-    total = F.aggregate(steps, F.lit(0.0), lambda acc, step: acc + day_demand(step))
-    return _project(health, horizon, total / (horizon * paths))
-
-
 def projection_compare(projection: DataFrame, items: DataFrame | Sequence[str] | None = None) -> DataFrame:
     """Current against predicted stock, for chosen item names or for all.
 

@@ -54,7 +54,7 @@ def critical_value(health: DataFrame) -> DataFrame:
     )
 
 
-def best_suppliers(health: DataFrame, k: int = 10) -> DataFrame:
+def best_suppliers(health: DataFrame, k: int | None = None) -> DataFrame:
     means = health.groupBy("supplier_name").agg(
         round_to(ratio(F.sum("supplier_ontime_pct"), F.count("supplier_ontime_pct")), 1).alias("avg_ontime_pct")
     )

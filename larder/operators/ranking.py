@@ -15,9 +15,10 @@ from larder.functions import predicates as P
 from larder.operators.skew import top_k
 
 
-def ranked(df: DataFrame, k: int, *order: Column) -> DataFrame:
-    ties = [F.asc_nulls_last(name) for name in df.columns]
-    return top_k(df, [*order, *ties], k)
+def ranked(df: DataFrame, k: int | None, *order: Column) -> DataFrame:
+    """The first ``k`` rows in order, or all of them."""
+    keys = [*order, *[F.asc_nulls_last(name) for name in df.columns]]
+    return df.orderBy(*keys) if k is None else top_k(df, keys, k)
 
 
 def top_critical_items(health: DataFrame, k: int = 10) -> DataFrame:
@@ -36,7 +37,7 @@ def top_reorders(reorders: DataFrame, k: int = 10) -> DataFrame:
     return ranked(reorders.select(*columns), k, F.desc("priority_score"))
 
 
-def worst_locations(performance: DataFrame, k: int = 10) -> DataFrame:
+def worst_locations(performance: DataFrame, k: int | None = None) -> DataFrame:
     columns = ("location", "total_skus", "critical_count", "low_stock_count", "health_score", "items_needing_reorder")
     return ranked(performance.select(*columns), k, F.asc_nulls_last("health_score"))
 

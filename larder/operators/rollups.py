@@ -117,21 +117,38 @@ def location_cells(rows: DataFrame, weight: Column | None = None) -> DataFrame:
 
 def _location_measures() -> dict[str, Column]:
     return {
-        "total_skus": F.count_distinct("sku_id"),
-        "total_categories": F.count_distinct("category"),
+        "total_skus": F.count("sku_id"),
         "total_units": as_double(F.sum("units")),
         "total_value_usd": as_double(F.sum("value")),
         "avg_days_coverage": round_to(_mean_of_parts("days_of_inventory"), 1),
-        "health_score": _health(F.sum("safety_rows"), F.count_distinct("sku_id")),
+        "health_score": _health(F.sum("safety_rows"), F.count("sku_id")),
         "avg_forecast_accuracy": round_to(_mean_of_parts("demand_forecast_accuracy_pct"), 1),
     }
 
 
+def _by_location(cells: DataFrame, measures: dict[str, Column]) -> DataFrame:
+    """``measures`` per (location, warehouse) over one row per item, and the number of categories.
+
+    Two distinct counts side by side would make Spark copy every cell. Items are counted on a level of
+    their own, categories on the small set of a location's categories, and the two are joined.
+    """
+    keys = LOCATION_KEYS[:2]
+    per_item = add_cells(cells.drop("category"), (*keys, "sku_id"))
+    places = _agg(per_item, keys, measures)
+    categories = cells.select(*keys, "category").distinct().groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(
+        F.count("category").alias("total_categories")
+    )
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    first, *rest = [c for c in places.columns if c not in keys]
+    return places.join(categories, same).select(*keys, first, "total_categories", *rest)
+
+
 def warehouse_performance(inventory: DataFrame) -> DataFrame:
     """Issue counts are cumulative here: a critical item also counts as low."""
-    return _agg(
+    return _by_location(
         location_cells(located(inventory)),
-        ("location", "warehouse_id"),
         _location_measures()
         | {
             "out_of_stock_items": F.sum("empty_rows"),
@@ -144,9 +161,8 @@ def warehouse_performance(inventory: DataFrame) -> DataFrame:
 
 def location_from_cells(cells: DataFrame) -> DataFrame:
     """Issue counts exclude each other here."""
-    return _agg(
+    return _by_location(
         cells.where(F.col("rows") > 0),
-        ("location", "warehouse_id"),
         _location_measures()
         | {
             "out_of_stock_count": F.sum("empty_rows"),

@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 # "hot", so there are at most (rows of the table / ROWS_PER_TASK) hot keys.
 ROWS_PER_TASK = 4_000_000
 
-# An ordered limit up to this size is merged by one task from every map task.
-DIRECT_LIMIT = 1_000
-
 SLICE, LEAD_IN, COPY, WEIGHT = "_slice", "_lead_in", "_copy", "_weight"
 
 
@@ -155,23 +152,20 @@ def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
     """Ordered limit that stays parallel for a long list.
 
     Spark merges an ordered limit in one task, which receives up to ``k`` rows from each
-    map task: nothing for a top 10, far too much for a 10,000-row reader over a big
-    table. Beyond ``DIRECT_LIMIT`` the rows first pass through lanes, each of which
-    keeps its own best ``k``; the map tasks already prune to ``k`` before that shuffle.
-    Which lane a row takes does not affect the result.
+    map task. Here the rows first pass through lanes, each of which keeps its own best
+    ``k``; where the session lets a window prune to ``k`` rows
+    (``spark.sql.optimizer.windowGroupLimitThreshold``), the map tasks do so before that
+    shuffle. Which lane a row takes does not affect the result.
     """
-    spark = df.sparkSession
-    prunes_up_to = int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
-    if DIRECT_LIMIT < k <= prunes_up_to:
-        lanes = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        names = df.columns
-        df = (
-            df.withColumn("_lane", F.spark_partition_id() % lanes)
-            .withColumn("_place", F.row_number().over(Window.partitionBy("_lane").orderBy(*order)))
-            .where(F.col("_place") <= k)
-            .select(*names)
-        )
-    return df.orderBy(*order).limit(k)
+    lanes = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = df.columns
+    best = (
+        df.withColumn("_lane", F.spark_partition_id() % lanes)
+        .withColumn("_place", F.row_number().over(Window.partitionBy("_lane").orderBy(*order)))
+        .where(F.col("_place") <= k)
+        .select(*names)
+    )
+    return best.orderBy(*order).limit(k)
 
 
 def amount_counts(df: DataFrame, group: str, value: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from larder import constants as K
 from larder.functions import metrics as M
 from larder.functions import predicates as P
-from larder.functions.numeric import as_double, ratio, round_to
+from larder.functions.numeric import as_double, exact_sum, ratio, round_to
 from larder.operators.windows import latest_by_location_category, latest_snapshot
 
 
@@ -50,11 +50,11 @@ def back_cast(health: DataFrame, as_of: str, days: int = K.HISTORY_DAYS) -> Data
 def trend_by_category(snapshots: DataFrame, measure: str, as_of: str, days: int = K.HISTORY_DAYS) -> DataFrame:
     """Daily total of ``current_stock`` or ``consumption`` per category."""
     recent = snapshots.where(P.within_days("snapshot_date", as_of, days))
-    return recent.groupBy("snapshot_date", "category").agg(F.sum(measure).alias(measure))
+    return recent.groupBy("snapshot_date", "category").agg(exact_sum(F.col(measure), 2).alias(measure))
 
 
 def stock_by_location(snapshots: DataFrame) -> DataFrame:
-    totals = snapshots.groupBy("location").agg(F.sum("current_stock").alias("current_stock"))
+    totals = snapshots.groupBy("location").agg(exact_sum(F.col("current_stock"), 2).alias("current_stock"))
     return totals.orderBy(F.asc("current_stock"), "location")
 
 

@@ -141,7 +141,8 @@ def _register_rollups() -> None:
     def pivot(metric: str) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             heatmap = rollups.category_heatmap(derived.inventory(spark, sf_dir))
-            return summaries.heatmap_pivot(heatmap, metric, [f"NATION_{n}" for n in range(25)])
+            places = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_name").orderBy("n_name")
+            return summaries.heatmap_pivot(heatmap, metric, [r[0] for r in places.collect()])  # the table of places
 
         return run
 
@@ -169,7 +170,6 @@ def _register_windows() -> None:
 
 def _register_projection_and_trends() -> None:
     _add("stock_projection", _on(_projection))
-    _add("stock_projection_mc", _on(lambda h: projection.stock_projection_mc(h, paths=2), _health))
     _add("projection_compare_all", _on(projection.projection_compare, _projection))
 
     def compare(spark: SparkSession, sf_dir: str) -> DataFrame:

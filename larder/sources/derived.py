@@ -124,21 +124,11 @@ UNION ALL SELECT concat(sku_id, '-N') AS sku_id, batch_id, warehouse_location, c
 """
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of a table that comes in fewer pieces than there are cores.
-
-    Only small test tables do; a large table has many splits and is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = {
         name: spark.read.schema(columns).parquet(f"{sf_dir}/{name}.parquet")
         for name, columns in _TABLES.items()
     }
-    frames["lineitem"] = _spread(frames["lineitem"])
     return spark.sql(INVENTORY_SQL, **frames)
 
 

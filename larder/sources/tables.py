@@ -49,15 +49,15 @@ def _columns(table: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     return schema.require(table, columns).select(*columns)
 
 
-def health_list(table: DataFrame, limit: int = K.HEALTH_LIMIT) -> DataFrame:
+def health_list(table: DataFrame, limit: int | None = None) -> DataFrame:
     return ranked(_columns(table, HEALTH_COLUMNS), limit, F.desc_nulls_last("risk_score"), F.asc_nulls_last("abc_class"), F.asc_nulls_last("category"))
 
 
-def alert_list(table: DataFrame, limit: int = K.ALERT_LIMIT) -> DataFrame:
+def alert_list(table: DataFrame, limit: int | None = None) -> DataFrame:
     return ranked(_columns(table, ALERT_COLUMNS), limit, *by_severity())
 
 
-def reorder_list(table: DataFrame, limit: int = K.REORDER_LIMIT) -> DataFrame:
+def reorder_list(table: DataFrame, limit: int | None = None) -> DataFrame:
     return ranked(_columns(table, REORDER_COLUMNS), limit, F.desc("priority_score"), F.desc_nulls_last("estimated_order_value_usd"))
 
 
@@ -69,15 +69,15 @@ def heatmap_list(table: DataFrame) -> DataFrame:
     return _columns(table, HEATMAP_COLUMNS).orderBy(F.desc_nulls_last("avg_risk_score"), "location", "category")
 
 
-def read_stock_health(spark: SparkSession, path: str, limit: int = K.HEALTH_LIMIT) -> DataFrame:
+def read_stock_health(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     return health_list(open_table(spark, path), limit)
 
 
-def read_active_alerts(spark: SparkSession, path: str, limit: int = K.ALERT_LIMIT) -> DataFrame:
+def read_active_alerts(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     return alert_list(open_table(spark, path), limit)
 
 
-def read_reorder(spark: SparkSession, path: str, limit: int = K.REORDER_LIMIT) -> DataFrame:
+def read_reorder(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     return reorder_list(open_table(spark, path), limit)
 
 

@@ -48,6 +48,11 @@ def test_conditional_distinct_counts_copy_no_rows(inventory):
     assert shuffles(rollups.category_heatmap(inventory)) == 2
 
 
+@pytest.mark.parametrize("table", [rollups.location_performance, rollups.warehouse_performance])
+def test_counts_of_items_and_categories_copy_no_rows(inventory, table):
+    assert "Expand" not in plan(table(inventory))
+
+
 def test_anomalies_sort_and_shuffle_once(inventory):
     df = windows.inventory_anomalies(inventory, AS_OF, 3650)
     assert shuffles(df) == 1

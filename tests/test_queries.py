@@ -5,10 +5,12 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
+from larder.plans.registry import QUERIES
+from oracle.statements import statements
 from tests.conftest import SMALL
 from tests.parity import compare, connect
 
-STATEMENTS = entry.oracle_sql()
+STATEMENTS = statements()
 
 
 @pytest.fixture(scope="module")
@@ -16,9 +18,9 @@ def duck():
     return connect(SMALL)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    df = entry.queries()[name](spark, SMALL)
+    df = QUERIES[name](spark, SMALL)
     if name in STATEMENTS:
         assert compare(df, duck, STATEMENTS[name]) is None
     else:
@@ -29,5 +31,6 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-def test_only_sampled_projection_lacks_a_statement():
-    assert set(entry.queries()) - set(STATEMENTS) == {"stock_projection_mc"}
+def test_every_query_has_a_statement_and_is_registered():
+    assert set(QUERIES) == set(STATEMENTS)
+    assert set(QUERIES) <= set(entry.queries())
