@@ -37,6 +37,12 @@ def top_reorders(reorders: DataFrame, k: int = 10) -> DataFrame:
     return ranked(reorders.select(*columns), k, F.desc("priority_score"))
 
 
+def reorders_in_table_order(reorders: DataFrame, k: int | None = None) -> DataFrame:
+    """All recommendations as their table keeps them: priority, class, order value."""
+    order = (F.desc("priority_score"), F.asc_nulls_last("abc_class"), F.desc_nulls_last("estimated_order_value_usd"))
+    return ranked(reorders, k, *order)
+
+
 def worst_locations(performance: DataFrame, k: int | None = None) -> DataFrame:
     columns = ("location", "total_skus", "critical_count", "low_stock_count", "health_score", "items_needing_reorder")
     return ranked(performance.select(*columns), k, F.asc_nulls_last("health_score"))

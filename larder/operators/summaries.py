@@ -146,8 +146,12 @@ def alert_summary(alerts: DataFrame) -> DataFrame:
     )
 
 
-def reorder_summary(reorders: DataFrame, value_from: str = "estimate") -> DataFrame:
-    """Order totals; ``value_from="reorder_point"`` prices whole reorder points instead."""
+def reorder_summary(reorders: DataFrame, value_from: str = "estimate", urgent_from: str = "score") -> DataFrame:
+    """Order totals; ``value_from="reorder_point"`` prices whole reorder points instead.
+
+    ``urgent_from="stock"`` counts items at or below their safety stock, for lists without a score.
+    """
+    urgent = F.col("priority_score") >= K.URGENT_SCORE if urgent_from == "score" else M.at_safety()
     if value_from == "estimate":
         value = exact_sum(F.col("estimated_order_value_usd"), 2)
     else:
@@ -155,7 +159,7 @@ def reorder_summary(reorders: DataFrame, value_from: str = "estimate") -> DataFr
     return reorders.agg(
         F.count(F.lit(1)).alias("items_to_reorder"),
         F.coalesce(value, F.lit(0.0)).alias("total_order_value"),
-        count_when(F.col("priority_score") >= K.URGENT_SCORE).alias("urgent_items"),
+        count_when(urgent).alias("urgent_items"),
         F.count_distinct("supplier_name").alias("suppliers"),
     )
 
@@ -224,6 +228,16 @@ def heatmap_pivot(heatmap: DataFrame, metric: str, locations: list[str] | None =
     return cells.groupBy("category").pivot("location", locations).agg(F.avg("value"))
 
 
+def category_by_location(health: DataFrame) -> DataFrame:
+    """Cells of the category by location matrix from item rows: mean risk, mean days, share of critical rows."""
+    placed = health.where(F.col("category").isNotNull() & F.col("location").isNotNull())
+    return placed.groupBy("category", "location").agg(
+        exact_mean(F.col("risk_score"), 0).alias("avg_risk"),
+        exact_mean(F.col("days_until_stockout"), 1).alias("avg_days"),
+        ratio(count_when(_is(K.CRITICAL)) * 100, F.count(F.lit(1))).alias("critical_pct"),
+    )
+
+
 def status_counts(health: DataFrame) -> DataFrame:
     return health.groupBy("stock_status").agg(F.count(F.lit(1)).alias("item_count"))
 

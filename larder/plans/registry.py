@@ -138,6 +138,12 @@ def _register_rollups() -> None:
         _on(lambda r: summaries.reorder_summary(r, "reorder_point"), items.reorder_recommendations),
     )
 
+    _add(
+        "reorder_summary_by_stock",
+        _on(lambda r: summaries.reorder_summary(r, urgent_from="stock"), items.reorder_recommendations),
+    )
+    _add("category_by_location", _on(summaries.category_by_location, _health))
+
     def pivot(metric: str) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             heatmap = rollups.category_heatmap(derived.inventory(spark, sf_dir))
@@ -206,6 +212,7 @@ def _register_lists() -> None:
     reorders = items.reorder_recommendations
     _add("top_critical_items", _on(ranking.top_critical_items, _health))
     _add("top_reorders", _on(ranking.top_reorders, reorders))
+    _add("reorders_in_table_order", _on(lambda r: ranking.reorders_in_table_order(r.select(*tables.REORDER_COLUMNS)), reorders))
     _add("worst_locations", _on(ranking.worst_locations, rollups.location_performance))
     _add("top_heatmap_cells", _on(ranking.top_heatmap_cells, rollups.category_heatmap))
     _add("first_alerts", _on(ranking.first_alerts, _alerts))
@@ -360,6 +367,16 @@ def _register_jobs() -> None:
 
     _add("materialized_stock_health", materialized)
 
+    def daily_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Today's figures appended twice: the second run replaces the first."""
+        path = scratch_path(spark, "daily-insights")
+        inventory = derived.inventory(spark, sf_dir)
+        for _ in range(2):
+            jobs.append_daily_insight(spark, inventory, path, AS_OF)
+        return spark.read.parquet(path).drop("log_date")
+
+    _add("appended_daily_insight", daily_log)
+
     def restored(spark: SparkSession, sf_dir: str) -> DataFrame:
         saved, table = scratch_path(spark, "backup"), scratch_path(spark, "table")
         sinks.backup(derived.inventory(spark, sf_dir), saved)

@@ -463,6 +463,7 @@ FROM (SELECT quantity_on_hand, sku_name, location FROM x WHERE q <= ss ORDER BY
 
     # figures over the item tables
     crit, low = "stock_status = 'CRITICAL'", "stock_status = 'LOW'"
+    s["appended_daily_insight"] = s["daily_insight_row"]
     s["health_by_location_category"] = over(
         f"SELECT * FROM (SELECT location, category, count(*) AS items, {tally(crit)} AS critical_items, {tally(low)} AS low_items FROM health GROUP BY location, category) "
         "ORDER BY critical_items DESC, location, category LIMIT 10",
@@ -521,6 +522,13 @@ FROM (SELECT *, {rnd("total_value / (sum(total_value) OVER ()) * 100", 1)} AS va
     summary = "SELECT count(*) AS items_to_reorder, {v} AS total_order_value, {u} AS urgent_items, count(DISTINCT supplier_name) AS suppliers FROM reorders"
     s["reorder_summary"] = over(summary.format(v=value, u=tally("priority_score >= 8")), "reorders")
     s["reorder_summary_by_point"] = over(summary.format(v=total("reorder_point * unit_cost_usd"), u=tally("priority_score >= 8")), "reorders")
+    s["reorder_summary_by_stock"] = over(summary.format(v=value, u=tally("quantity_on_hand <= safety_stock")), "reorders")
+    s["category_by_location"] = over(
+        f"SELECT category, location, {mean('CAST(risk_score AS DECIMAL(18,0))')} AS avg_risk, {mean('CAST(days_until_stockout AS DECIMAL(18,1))')} AS avg_days, "
+        f"CAST({tally("stock_status = 'CRITICAL'")} * 100 AS DOUBLE) / CAST(count(*) AS DOUBLE) AS critical_pct FROM health "
+        "WHERE category IS NOT NULL AND location IS NOT NULL GROUP BY category, location",
+        "health",
+    )
     for metric in ("risk", "cover", "critical_pct"):
         s[f"heatmap_pivot_{metric}"] = pivot(metric)
     s["insight_context"] = _facts()
@@ -584,6 +592,7 @@ FROM (SELECT *, {rnd("total_value / (sum(total_value) OVER ()) * 100", 1)} AS va
         extra=f", {rnd('CAST(quantity_on_hand AS DOUBLE) * CAST(unit_cost_usd AS DOUBLE)', 2)} AS total_value",
     )
     s["top_reorders"] = top("sku_name, location, quantity_on_hand, reorder_point, recommended_order_qty, priority_score, estimated_order_value_usd", "reorders", "priority_score DESC", 10)
+    s["reorders_in_table_order"] = top(", ".join(tables.REORDER_COLUMNS), "reorders", "priority_score DESC, abc_class ASC NULLS LAST, estimated_order_value_usd DESC NULLS LAST", None)
     s["worst_locations"] = top("location, total_skus, critical_count, low_stock_count, health_score, items_needing_reorder", "performance", "health_score ASC NULLS LAST", None)
     s["top_heatmap_cells"] = top("location, category, total_skus, critical_skus, avg_risk_score, overall_status", "heatmap", "avg_risk_score DESC NULLS LAST", 20)
     s["first_alerts"] = top("sku_name, location, category, abc_class, priority, quantity_on_hand, reorder_point, safety_stock, days_until_stockout", "alerts", _BY_SEVERITY, 20)
