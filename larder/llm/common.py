@@ -57,9 +57,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     Later steps start from files, so a lost executor costs the tasks it held and not the whole
     lineage, and a frame that is used twice is computed once.
     """
-    path = f"{shared_folder(df.sparkSession)}/{name}"
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}"
+    # Spark deletes the shuffle files of finished jobs once the driver's garbage is collected
+    spark.sparkContext._jvm.System.gc()
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def arrow_schema(schema: str):

@@ -118,43 +118,72 @@ def prefixes(hashes, classes, size: int):
         yield hashes[np.argsort(key, kind="stable")[:size]].astype(np.int64)
 
 
-def _prefixed(texts: DataFrame, counts: DataFrame, words: int, percent: int) -> DataFrame:
-    """(row, n, first, second, third): the prefixes of each text under the orders. `counts` has a fixed number of rows."""
+def _classes(counts: DataFrame):
+    """The order of magnitude of each bucket's count, for all tasks. `counts` has a fixed number of rows."""
     import numpy as np
 
     totals = np.zeros(1 << BUCKET_BITS, np.int64)
     for r in counts.collect():  # at most 2^BUCKET_BITS rows
         totals[r["row"]] = r["n"]
-    classes = texts.sparkSession.sparkContext.broadcast(np.log2(totals + 1).astype(np.uint8))
+    return counts.sparkSession.sparkContext.broadcast(np.log2(totals + 1).astype(np.uint8))
+
+
+def _prefixed(texts: DataFrame, classes, words: int, percent: int) -> DataFrame:
+    """(row, n, first): the prefix of each text under the first order."""
 
     def run(batch):
-        out = {"row": [], "n": [], "first": [], "second": [], "third": []}
+        out = {"row": [], "n": [], "first": []}
         for row, s in zip(batch["row"].to_pylist(), shingle_sets(batch["text"].to_pylist(), words)):
             if len(s):
-                for k, v in zip(out, (row, len(s), *prefixes(s, classes.value, prefix_size(len(s), percent)))):
+                first = next(prefixes(s, classes.value, prefix_size(len(s), percent)))
+                for k, v in zip(out, (row, len(s), first)):
                     out[k].append(v)
         return out
 
-    return per_batch(run, "row long, n int, first array<long>, second array<long>, third array<long>")(texts.select("row", "text"))
+    return per_batch(run, "row long, n int, first array<long>")(texts.select("row", "text"))
+
+
+def meet(x: list, y: list) -> bool:
+    """Whether two sets' prefixes share tokens under every order."""
+    import numpy as np
+
+    return all(np.intersect1d(p, q, assume_unique=True).size for p, q in zip(x, y))
+
+
+def _close(n: Column, other: Column, percent: int) -> Column:
+    return F.least(n, other) * 100 >= F.greatest(n, other) * percent
 
 
-def _close(a: Column, b: Column, percent: int) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+def _enough(shared: Column, n: Column, other: Column, percent: int) -> Column:
+    """Whether sets of these sizes whose prefixes share so many tokens can be similar enough.
 
+    All common tokens up to the end of the prefix that ends first are among the shared ones; the others
+    lie in the rest of that set.
+    """
+    rest = F.greatest(F.ceil(n * percent / 100.0 - 1e-9), F.ceil(other * percent / 100.0 - 1e-9)) - 1
+    return shared + rest >= F.ceil((n + other) * percent / (100.0 + percent) - 1e-6)
+
+
+def verified(pairs: DataFrame, texts: DataFrame, classes, words: int, percent: int) -> DataFrame:
+    """The (a, b) of `pairs`, which share a token under the first order, whose texts' sets are similar enough.
+
+    Pairs must share prefix tokens under the other orders too before their sets are compared.
+    """
+    def orders(s):
+        return list(prefixes(s, classes.value, prefix_size(len(s), percent)))[1:]
 
-def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The (a, b) of `pairs` whose texts' sets are similar enough."""
     def run(batches):
         import pyarrow as pa
 
-        known, known_set = None, None
+        known, known_set, known_orders = None, None, None
         for batch in batches:
             a, b, left = batch["a"].to_pylist(), batch["b"].to_pylist(), batch["left"]
             keep = []
             for k, s in enumerate(shingle_sets(batch["right"].to_pylist(), words)):
                 if a[k] != known:
                     known, known_set = a[k], shingle_sets([left[k].as_py()], words)[0]
-                keep.append(similar(known_set, s, percent))
+                    known_orders = orders(known_set)
+                keep.append(meet(known_orders, orders(s)) and similar(known_set, s, percent))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x for x, y in zip(c, keep) if y], pa.int64()) for c in (a, b)], names=["a", "b"]
             )
@@ -209,8 +238,9 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
 
     1. One pass describes each set and counts tokens in a fixed number of hashed buckets; the counts'
        order of magnitude gives the orders, rare tokens first. Equal sets fold to one node.
-    2. A second pass takes each set's prefix under three orders. Nodes that share a first-order prefix
-       token are candidates if they share prefix tokens under the other orders too.
+    2. A second pass takes each set's prefix under the first order. Nodes that share a token of it are
+       candidates if they share enough of them; their sets are compared if they share prefix tokens
+       under the other orders too.
     3. In each token's size band the node with the smallest number meets the others; after the links'
        components are known, candidate pairs between different components are verified.
 
@@ -225,9 +255,10 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     nodes = rows.where("n > 0").groupBy("n", "a", "b").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"))
     nodes = written(nodes, "nodes")
 
-    prefixed = written(_prefixed(texts, counts, words, percent), "prefixes")
+    classes = _classes(counts)
+    prefixed = written(_prefixed(texts, classes, words, percent), "prefixes")
     own = prefixed.join(nodes.select(F.col("node").alias("row")), "row", "left_semi")
-    tokens = own.select("row", "n", F.posexplode("first").alias("place", "token")).withColumn(
+    tokens = own.select("row", "n", F.explode("first").alias("token")).withColumn(
         "band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
     )
     tokens = tokens.repartition("token")
@@ -235,33 +266,29 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     tokens = written(tokens.join(shared.select("token"), "token", "left_semi"), "tokens")
 
     leaders = tokens.groupBy("token", "band").agg(F.min(F.struct("row", "n")).alias("leader"))
+    # only a start: what a leader shares by tokens of other leaders isn't counted here
     stars = (
         tokens.join(leaders, ["token", "band"])
         .where((F.col("row") != F.col("leader.row")) & _close(F.col("n"), F.col("leader.n"), percent))
-        .select(F.col("leader.row").alias("a"), F.col("row").alias("b")).distinct()
+        .groupBy(F.col("leader.row").alias("a"), F.col("row").alias("b"), F.col("leader.n").alias("a_n"), F.col("n").alias("b_n"))
+        .agg(F.count(F.lit(1)).alias("shared"))
+        .where(_enough(F.col("shared"), F.col("a_n"), F.col("b_n"), percent)).select("a", "b")
     )
-    wanted = tokens.select("row").distinct()
-    near = written(texts.select("row", "text").join(wanted, "row", "left_semi"), "near")
-    orders = own.select("row", "second", "third").join(wanted, "row", "left_semi")
-    orders = written(orders, "orders")
-
-    first = written(verified(_share_all(stars, orders), near, words, percent), "links")
+    stars = written(stars, "stars")
+    first = written(verified(stars, texts, classes, words, percent), "links")
     roots = components(first)
     placed = tokens.join(roots.select(F.col("node").alias("row"), "root"), "row", "left").withColumn("root", F.coalesce("root", "row"))
     mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     placed = written(placed.join(mixed.select("token"), "token", "left_semi"), "placed")
-    left, right = (placed.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("row", "n", "place", "root")]) for s in "xy")
-    # a shared token at places i and j leaves at most the rest of both sets in common
-    most = F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place"))
-    least = F.ceil((F.col("x_n") + F.col("y_n")) * percent / (100.0 + percent) - 1e-6)
+    left, right = (placed.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("row", "n", "root")]) for s in "xy")
     rest = (
         left.join(right, "token")
-        .where((F.col("x_row") < F.col("y_row")) & (F.col("x_root") != F.col("y_root")))
-        .where(_close(F.col("x_n"), F.col("y_n"), percent) & (F.least("x_place", "y_place") + most >= least))
-        .select(F.col("x_row").alias("a"), F.col("y_row").alias("b")).distinct()
+        .where((F.col("x_row") < F.col("y_row")) & (F.col("x_root") != F.col("y_root")) & _close(F.col("x_n"), F.col("y_n"), percent))
+        .groupBy(F.col("x_row").alias("a"), F.col("y_row").alias("b"), "x_n", "y_n").agg(F.count(F.lit(1)).alias("shared"))
+        .where(_enough(F.col("shared"), F.col("x_n"), F.col("y_n"), percent)).select("a", "b")
         .join(stars, ["a", "b"], "left_anti")
     )
-    second = written(verified(_share_all(rest, orders), near, words, percent), "links")
+    second = written(verified(rest, texts, classes, words, percent), "links")
 
     ends = components(first.union(second))
     named = nodes.join(ends, "node", "left").select("n", "a", "b", "least", F.coalesce("root", "node").alias("root"))
@@ -272,13 +299,6 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     )
 
 
-def _share_all(pairs: DataFrame, orders: DataFrame) -> DataFrame:
-    """Pairs whose prefixes meet under the second and the third order too."""
-    left = orders.select(F.col("row").alias("a"), F.col("second").alias("a2"), F.col("third").alias("a3"))
-    right = orders.select(F.col("row").alias("b"), F.col("second").alias("b2"), F.col("third").alias("b3"))
-    return pairs.join(left, "a").join(right, "b").where(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select("a", "b")
-
-
 def without_near_copies(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """`docs` with one row of each component of similar texts, that with the smallest id; all columns are kept.
 
