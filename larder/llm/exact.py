@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.llm.common import SPACE, whole_text
+from larder.llm.common import SPACE, whole_text, written
 
 
 def normalised(text: Column) -> Column:
@@ -35,6 +35,7 @@ def exact_groups(docs: DataFrame, content_hash: Callable[[Column], Column] = F.m
     groups = rows.groupBy("hash").agg(F.min("doc_id").alias("smallest"), F.count(F.lit(1)).alias("copies"))
     # the join key is another form of the hash: both sides are then dealt out anew, and Spark may split a hot hash
     shared = groups.where("copies > 1").select(F.encode("hash", "utf-8").alias("key"), "smallest", "copies")
+    shared = written(shared, "shared")
 
     texts = docs.select(
         F.encode(content_hash(text), "utf-8").alias("key"), "doc_id", text.alias("text")
@@ -45,13 +46,12 @@ def exact_groups(docs: DataFrame, content_hash: Callable[[Column], Column] = F.m
         .where("low <> high")
         .select("hash")
     )
+    clashes = written(clashes, "clashes")
 
-    by_hash = (
-        rows.join(clashes, "hash", "left_anti")
-        .withColumn("key", F.encode("hash", "utf-8"))
-        .join(shared, "key", "left")
-        .select("doc_id", "text_sha256", "smallest", "copies")
-    )
+    by_hash = rows.withColumn("key", F.encode("hash", "utf-8")).join(shared, "key", "left")
+    if clashes.isEmpty():  # nothing to tell apart: the texts need not be read again
+        return _decided(by_hash)
+    by_hash = by_hash.join(clashes, "hash", "left_anti").select("doc_id", "text_sha256", "smallest", "copies")
     clashing = (
         texts.withColumn("hash", F.decode("key", "utf-8"))
         .join(clashes, "hash", "left_semi")
@@ -60,8 +60,12 @@ def exact_groups(docs: DataFrame, content_hash: Callable[[Column], Column] = F.m
     by_text = clashing.groupBy("text").agg(F.min("doc_id").alias("smallest"), F.count(F.lit(1)).alias("copies"))
     by_bytes = clashing.join(by_text, "text").select("doc_id", "text_sha256", "smallest", "copies")
 
+    return _decided(by_hash.unionByName(by_bytes))
+
+
+def _decided(grouped: DataFrame) -> DataFrame:
     keep = F.coalesce("smallest", "doc_id")
-    return by_hash.unionByName(by_bytes).select(
+    return grouped.select(
         "doc_id",
         keep.alias("keep_id"),
         F.coalesce("copies", F.lit(1)).cast("long").alias("group_size"),
