@@ -148,7 +148,9 @@ def compare(docs: DataFrame) -> DataFrame:
     )
     begins = (
         by_id.join(wanted, F.col("id") == F.col("at"), "left").where("before is not null")
-        .groupBy("before").agg(F.min(F.substring("text", F.lit(1), F.col("wanted"))).alias("begin"))
+        # row and doc_id come along so that both joins ask for the same columns and share one shuffle of the texts
+        .groupBy("before").agg(F.min(F.struct(F.substring("text", F.lit(1), F.col("wanted")).alias("begin"), "row", "doc_id")).alias("least"))
+        .select("before", "least.begin")
     )
     edited = by_id.join(begins, F.col("id") == F.col("before"), "left").select(
         "row", "id", "doc_id", "text",
