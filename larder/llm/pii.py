@@ -43,7 +43,7 @@ def permuted_pair(key: str, kind: str, left: Column, right: Column, a: int, b: i
 
 
 def _shifted(text: Column, low: Column, noise: Column, sign: int) -> Column:
-    """Each character moved by a noise byte inside its class: digits (from `low` on), small and capital letters."""
+    """Each character moved by a noise byte inside its class: digits from `low` on, digits below it, small and capital letters."""
     def one(i: Column) -> Column:
         c = F.substring(text, i, F.lit(1))
         code = F.ascii(c)
@@ -54,7 +54,7 @@ def _shifted(text: Column, low: Column, noise: Column, sign: int) -> Column:
             return F.char(F.pmod(code - first + move, F.lit(size) if isinstance(size, int) else size) + first)
 
         return (
-            F.when(code.between(48, 57), turn(base + 48, F.lit(10) - base))
+            F.when(code.between(48, 57), F.when(code - 48 < base, turn(48, base)).otherwise(turn(base + 48, F.lit(10) - base)))
             .when(code.between(97, 122), turn(97, 26))
             .when(code.between(65, 90), turn(65, 26))
             .otherwise(c)
@@ -66,7 +66,7 @@ def _shifted(text: Column, low: Column, noise: Column, sign: int) -> Column:
 def permuted_text(key: str, kind: str, text: Column, low: Column | None = None, inverse: bool = False) -> Column:
     """Feistel rounds over the halves of a short text (64 characters at most): each character stays in its class.
 
-    `low` gives the smallest digit allowed at each place, as text; 0 where it is not given.
+    `low` gives a digit for each place, as text, 0 where it is not given: smaller ones stay below it, others do not get there.
     """
     sign, half = (-1 if inverse else 1), F.floor(F.length(text) / 2).cast("int")
     rest = F.length(text) - half
@@ -127,14 +127,12 @@ def _card(match: Column, key: str, inverse: bool) -> Column:
 
 
 def _phone(match: Column, key: str, inverse: bool) -> Column:
-    # area and exchange codes start with 2 or more
+    # valid area and exchange codes start with 2 or more: valid numbers stay valid, others are permuted among their like
     def permute(digits: Column) -> Column:
         new = permuted_text(key, "phone", F.substring(digits, F.lit(2), F.lit(10)), F.lit("2002000000"), inverse)
         return _inserted(match, F.concat(F.substring(digits, F.lit(1), F.lit(1)), new))
 
-    valid = F.regexp_extract(match, r"^\+1[ .-]?\(?([2-9])", 1) != ""
-    exchange = F.substring(_digits(match), F.lit(5), F.lit(1)) >= "2"
-    return F.when(valid & exchange, _let(_digits(match), permute)).otherwise(match)
+    return _let(_digits(match), permute)
 
 
 def _address(match: Column, key: str, inverse: bool) -> Column:
@@ -232,11 +230,20 @@ class Kind:
     change: Callable[[Column, str, bool], Column]
 
 
+# A card is a whole group of digits, whatever number stands beside it, or groups parted by a blank or hyphen. Which digits
+# belong together follows from the lengths of the groups alone, which pseudonyms keep, so the key finds the same places.
+_FOURS = r"[0-9]{4}(?:[ -][0-9]{4}){3}"
+_LONG = r"(?<![0-9A-Za-z+])(?<!(?<![0-9])[.-])(?<!(?<![0-9])[0-9]{1,12}\.)[0-9]{13,19}(?![0-9A-Za-z])"
+#: Behind groups: no further number, unless it is an expiry date (whose month is no group of the card) or a long group.
+_BEHIND = r"(?![0-9A-Za-z]|(?<=[ -][0-9]{1,2})/[0-9]|[ .-](?![0-9]{1,2}/[0-9]|[0-9]{13})[0-9])"
+_GROUPS = r"(?![0-9]{13})[0-9](?:[ -](?![0-9]{13})[0-9]|[0-9]){12,18}" + _BEHIND
+_CARD = rf"(?:{_LONG}|(?<![0-9A-Za-z.+-])(?:{_FOURS}(?=(?:[ -]{_FOURS})+{_BEHIND})|{_GROUPS}))"
+
 # The formats. No pattern matches what another kind writes, so the order does not matter.
 KINDS = (
     Kind("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![A-Za-z0-9-])", _email),
     Kind("phone", r"(?<![0-9+])\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])", _phone),
-    Kind("card", r"(?<![0-9A-Za-z.+-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]|[ .-][0-9])", _card),
+    Kind("card", _CARD, _card),
     Kind("address", r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])", _address),
     Kind("date", r"(?<![0-9./-])(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([./-])[0-9]{2}\2[0-9]{4})(?![0-9]|[./-][0-9])", _date),
     Kind("social", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", _social),
@@ -254,7 +261,7 @@ def pseudonymised(text: Column, key: str = KEY, inverse: bool = False) -> Column
 def pseudonyms(docs: DataFrame, key: str = KEY, inverse: bool = False) -> DataFrame:
     """Per row: doc_id, text with pseudonyms, n_<kind> (places in the kind's format).
 
-    A value that fails validation (Luhn sum, modulus 97, calendar, ranges) stays. Equal values get equal
+    A value that fails validation (Luhn sum, modulus 97, calendar, ranges) stays; phone numbers have none, any ten digits count. Equal values get equal
     pseudonyms in all documents, whatever separators stand between their digits; the key undoes them.
 
     Null text counts as empty and stays without values. Repeated rows and ids give a row each. An empty

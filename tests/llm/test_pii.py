@@ -74,3 +74,31 @@ def test_odd_rows_and_native_plan(odd_docs, no_docs):
     assert pii.pseudonyms(no_docs).count() == 0
     plan = pii.pseudonyms(odd_docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_phone_numbers_with_any_area_code_are_replaced(make_docs):
+    texts = {1: "+1 (152) 555-8590", 2: "+1-052-155-8590", 3: "+1 521 055 6210", 4: "+1 (521) 555-6210"}
+    there = make_docs(list(texts.items()))
+    out = dict(masked(there))
+    assert all(out[i] != t and re.sub(r"\d", "0", out[i][2:]) == re.sub(r"\d", "0", t[2:]) for i, t in texts.items())
+    assert re.fullmatch(r"\+1 \([2-9]\d\d\) [2-9]\d\d-\d{4}", out[4])
+    assert dict(masked(make_docs(list(out.items())), inverse=True)) == texts
+
+
+def test_cards_beside_other_numbers_are_replaced(make_docs):
+    texts = {
+        1: "7536784127813050 4845168114407329", 2: "4111111111111111 12/26", 3: "4111111111111111-4111111111111111.4111111111111111",
+        4: "4111 1111 1111 1111 12/26", 5: "4111 1111 1111 1111 4111 1111 1111 1111", 6: "no. 12 4111111111111111 7",
+        7: "2024 4111 1111 1111 1111", 8: "4111 1111 1111 1111 4111111111111111", 9: "0.4111111111111111 and 41111111111111110000",
+    }
+    rows = {r["doc_id"]: r for r in pii.pseudonyms(make_docs(list(texts.items()))).collect()}
+    one = rows[2]["text"].split()[0]
+    assert luhn(one) and one != "4111111111111111" and rows[2]["text"] == f"{one} 12/26"
+    a, b = rows[1]["text"].split()
+    assert luhn(a) and luhn(b) and a != "7536784127813050" and b != "4845168114407329" and rows[1]["n_card"] == 2
+    fours = " ".join(one[k:k + 4] for k in range(0, 16, 4))
+    assert [rows[k]["text"] for k in range(3, 10)] == [
+        f"{one}-{one}.{one}", f"{fours} 12/26", f"{fours} {fours}", f"no. 12 {one} 7", f"2024 {fours}", f"{fours} {one}", texts[9],
+    ]
+    back = pii.pseudonyms(make_docs([(i, r["text"]) for i, r in rows.items()]), inverse=True).collect()
+    assert {r["doc_id"]: r["text"] for r in back} == texts
