@@ -14,14 +14,24 @@ SAMPLE = 10_000  #: labelled documents that the lexicon and the weights are lear
 TERMS = 200  #: terms of the lexicon, at most
 LEAST_CONTEXTS = 5  #: different neighbourhoods in toxic documents that a term needs
 RATIO = 10.0  #: times a term must be more usual in toxic than in other documents
-FUZZY_LETTERS = 5  #: shorter terms are matched as they are
+FUZZY_LETTERS = 5  #: shorter terms are matched as they are, unless the words that clean documents use are known
+GUARDED_LETTERS = 4  #: takes the place of FUZZY_LETTERS where they are
 WINDOW = 25  #: words to each side that count as a hit's context
 QUOTED_WEIGHT = 0.25
 THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W\d_]+")
+#: Words with digits and symbols inside or at their ends, as in 'id1ot' and '$cum'.
+_SIGNS = "$*@!#+"
+_RUN = re.compile(rf"(?:[^\W_]|[{_SIGNS}])+")
+_APOSTROPHE = re.compile(r"(?<=[^\W_])[‘’](?=[^\W_])")
 _QUOTES = "\"“”„«»‘’"
 
 
+def _spellings(run: str) -> list[str]:
+    """What a run of letters, digits and symbols may spell: itself, and itself without symbols around it."""
+    return list(dict.fromkeys((run, run.strip(_SIGNS))))
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether crc32 of the id as text leaves 1 modulo 3; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -69,10 +79,11 @@ class Model:
     weights: dict[str, float]  #: per term
     usual: frozenset[str] = frozenset()  #: words near a term that clean documents use
     coefficients: tuple[float, ...] = (-3.0, 4.0, 2.0, 0.0, 1.0)
+    fuzzy_letters: int = FUZZY_LETTERS  #: letters of the shortest terms whose misspellings count
     _forms: dict[str, tuple[float, bool] | None] = field(default_factory=dict)
 
     def __post_init__(self):
-        long = [t for t in self.weights if len(t) >= FUZZY_LETTERS]
+        long = [t for t in self.weights if len(t) >= self.fuzzy_letters]
         self._trie = Trie(long)
         # of a term with one edit the first or the second half stays
         self._begins, self._ends = {t[:len(t) // 2] for t in long}, {t[len(t) // 2:] for t in long}
@@ -84,7 +95,7 @@ class Model:
         weight = self.weights.get(word)
         if weight is not None:
             return weight, False
-        if len(word) > self._longest or len(word) < FUZZY_LETTERS - 1:
+        if len(word) > self._longest or len(word) < self.fuzzy_letters - 1:
             return None
         if not any(word[:k] in self._begins for k in self._begin_sizes) and not any(word[-k:] in self._ends for k in self._end_sizes):
             return None
@@ -96,26 +107,39 @@ class Model:
         found = self._forms[word] = None if term is None else (self.weights[term], True)
         return found
 
+    def hits(self, run: str) -> tuple[int, list[tuple[int, int, int, tuple[float, bool]]]]:
+        """How many words a run has, and (word, start, stop, form) of the terms: its words', else its own as a whole."""
+        if run.isalpha():
+            form = self.form(run)
+            return 1, [] if form is None else [(0, 0, len(run), form)]
+        words = list(_WORD.finditer(run))
+        found = [(k, *m.span(), form) for k, m in enumerate(words) if (form := self.form(m[0]))]
+        if words and not found:
+            whole = next((f for s in _spellings(run) if (f := self.form(s))), None)
+            found = [] if whole is None else [(0, 0, len(run), whole)]
+        return len(words), found
+
     def features(self, text: str) -> tuple[float, float, float, float]:
         """Sums over hits: as spelled, misspelled, inside quotation marks, and the heaviest window."""
         low = text.lower()
-        if not any(self.form(w) for w in set(_WORD.findall(low))):
+        runs = {run: self.hits(run) for run in set(_RUN.findall(low))}
+        if not any(found for _, found in runs.values()):
             return 0.0, 0.0, 0.0, 0.0
         plain = fuzzy = quoted = heaviest = 0.0
         hits: list[tuple[int, float]] = []
-        for place, m in enumerate(_WORD.finditer(low)):
-            form = self.form(m[0])
-            if form is None:
-                continue
-            weight, misspelled = form
-            if _is_quoted(low, m.start(), m.end()):
-                quoted += weight
-                weight *= QUOTED_WEIGHT
-            elif misspelled:
-                fuzzy += weight
-            else:
-                plain += weight
-            hits.append((place, weight))
+        place = 0
+        for m in _RUN.finditer(low):
+            words, found = runs[m[0]]
+            for nth, start, stop, (weight, misspelled) in found:
+                if _is_quoted(low, m.start() + start, m.start() + stop):
+                    quoted += weight
+                    weight *= QUOTED_WEIGHT
+                elif misspelled:
+                    fuzzy += weight
+                else:
+                    plain += weight
+                hits.append((place + nth, weight))
+            place += words
         first, total = 0, 0.0
         for place, weight in hits:
             total += weight
@@ -133,9 +157,12 @@ class Model:
 
 
 def _is_quoted(text: str, start: int, stop: int, reach: int = 60) -> bool:
-    """Quotation marks open before and close behind a word, in its line and near it."""
-    left = text[max(0, start - reach):start].rpartition("\n")[2]
-    right = text[stop:stop + reach].partition("\n")[0]
+    """Quotation marks open before and close behind a word, in its line and near it. Apostrophes inside words are none."""
+    first = max(0, start - reach)
+    behind = max(0, first - 1)
+    near = _APOSTROPHE.sub("'", text[behind:stop + reach + 1])
+    left = near[first - behind:start - behind].rpartition("\n")[2]
+    right = near[stop - behind:stop + reach - behind].partition("\n")[0]
     return sum(left.count(q) for q in _QUOTES) % 2 == 1 and any(q in right for q in _QUOTES)
 
 
@@ -150,12 +177,12 @@ def _sample(docs: DataFrame, labels: DataFrame, size: int) -> DataFrame:
     return written(texts.join(F.broadcast(known), "doc_id").select("toxic", "text"), "labelled")  # `size` rows at most
 
 
-def _usages(sample: DataFrame) -> DataFrame:
+def _usages(sample: DataFrame, word: str = r"\p{L}+") -> DataFrame:
     """(word, toxic, others): different neighbourhoods in which toxic and other documents use a word.
 
     Neighbourhoods and not documents are counted, so copies of a document do not make its words terms.
     """
-    words = sample.select("toxic", F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)).alias("w"))
+    words = sample.select("toxic", F.regexp_extract_all(F.lower("text"), F.lit(word), F.lit(0)).alias("w"))
     uses = words.select("toxic", F.explode(F.transform(
         "w",
         lambda x, i: F.struct(x.alias("word"), F.xxhash64(F.get("w", i - 1), F.get("w", i + 1)).alias("near")),
@@ -183,13 +210,18 @@ def learn(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
         .where(F.col("odds") >= float(np.log(RATIO))).orderBy(F.desc("odds"), "word").limit(TERMS).collect()
     )
     weights = {r["word"]: min(r["odds"], 6.0) / 6.0 for r in terms}
-    draft = Model(weights)
+    draft = Model(weights, fuzzy_letters=GUARDED_LETTERS)
 
     def usual(batch):
-        return {"word": [w for w in batch["word"].to_pylist() if (f := draft.form(w)) and f[1]]}
+        spelled = [s for w in batch["word"].to_pylist() for s in _spellings(w)]
+        return {"word": [s for s in spelled if (f := draft.form(s)) and f[1]]}
 
-    near = per_batch(usual, "word string")(usages.where("others >= 2 and others * 2 > toxic").select("word"))
-    model = Model(weights, frozenset(r["word"] for r in near.collect()))  # words one edit from a term: few for each term
+    # runs with digits or symbols beside a letter are no terms, but clean documents may use them too
+    mixed = _usages(sample, rf"(?:[\p{{L}}\p{{N}}]|[{_SIGNS}])+").where(r"word rlike '\\p{L}' and word rlike '[^\\p{L}]'")
+    known = usages.unionByName(mixed).where("others >= 2 and others * 2 > toxic").select("word")
+    near = per_batch(usual, "word string")(known).distinct()
+    # words one edit from a term: few for each term
+    model = Model(weights, frozenset(r["word"] for r in near.collect()), fuzzy_letters=GUARDED_LETTERS)
 
     def measure(batch):
         rows = [model.features(t) for t in batch["text"].to_pylist()]
@@ -200,7 +232,7 @@ def learn(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
     ).collect()
     x = np.log1p(np.maximum([[r[f"x{k}"] for k in range(4)] for r in rows], 0.0))
     y = np.array([r["toxic"] == 1 for r in rows], float)
-    return Model(weights, model.usual, _fit(x, y))
+    return Model(weights, model.usual, _fit(x, y), GUARDED_LETTERS)
 
 
 def _fit(x, y, ridge: float = 0.05, steps: int = 40) -> tuple[float, ...]:

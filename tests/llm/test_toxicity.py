@@ -71,3 +71,24 @@ def test_odd_rows(spark, odd_docs, no_docs, make_docs):
     assert toxicity.assess(no_docs, labels).count() == 0
     left = toxicity.without_toxic(odd_docs, labels.limit(0))
     assert left.columns == odd_docs.columns and left.count() == odd_docs.count()
+
+
+def test_digits_and_symbols_in_words_hide_no_term():
+    model = Model({"idiot": 1.0, "moron": 1.0, "stupid": 1.0, "trash": 1.0, "scum": 1.0}, frozenset({"v1scum", "scam"}), fuzzy_letters=4)
+    for word in ("id1ot", "m0ron", "st*pid", "tra$h", "$cum", "1diot", "*id1ot*", "ID1OT!", "scun", "scumm"):
+        assert model.features(f"you {word}, go")[:3] == (0.0, 1.0, 0.0), word
+    assert model.features("*idiot* idiot2 #moron")[:3] == (3.0, 0.0, 0.0)
+    assert model.features("a scam, x1 2001 c++ $50")[:3] == (0.0, 0.0, 0.0)
+
+
+def test_apostrophes_are_no_quotation_marks():
+    model = Model({"idiot": 1.0})
+    assert model.features("You’re an idiot, don’t come back")[:3] == (1.0, 0.0, 0.0)
+    assert model.features("they’d say ‘idiot’ there")[:3] == model.features("they’d say “idiot” there")[:3] == (0.0, 0.0, 1.0)
+    assert model.features("an idiot’s list, isn’t it")[:3] == (1.0, 0.0, 0.0)
+
+
+def test_learned_models_know_misspellings_of_short_terms(spark):
+    sf = "/root/testdata/sf0.01"
+    model = toxicity.learn(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    assert model.form("scum") and model.form("sc*m") == (model.weights["scum"], True)
