@@ -247,6 +247,10 @@ def status_by_category(health: DataFrame) -> DataFrame:
     return health.groupBy("category").pivot("stock_status", statuses).count().na.fill(0)
 
 
+def _scarcity(name: Column, location: Column, quantity: Column) -> Column:
+    return F.concat(name, F.lit(" at "), location, F.lit(" has only "), quantity.cast("string"), F.lit(" units left"))
+
+
 def critical_item_list(inventory: DataFrame, k: int = 10) -> DataFrame:
     """The ``k`` scarcest critical items as one sentence.
 
@@ -258,16 +262,17 @@ def critical_item_list(inventory: DataFrame, k: int = 10) -> DataFrame:
         F.asc("quantity_on_hand"),
     )
     entries = F.sort_array(F.collect_list(F.struct("quantity_on_hand", "sku_name", "warehouse_location")))
-    sentence = F.transform(
-        entries,
-        lambda e: F.concat(
-            e["sku_name"], F.lit(" at "), e["warehouse_location"], F.lit(" has only "),
-            e["quantity_on_hand"].cast("string"), F.lit(" units left"),
-        ),
-    )
+    sentence = F.transform(entries, lambda e: _scarcity(e["sku_name"], e["warehouse_location"], e["quantity_on_hand"]))
     return scarce.agg(F.array_join(sentence, ", ").alias("critical_items"))
 
 
+def critical_item_entries(inventory: DataFrame) -> DataFrame:
+    """All critical items, a row with its part of the sentence each, scarcest first; like the list, without parts that are null."""
+    entry = _scarcity(F.col("sku_name"), F.col("warehouse_location"), F.col("quantity_on_hand")).alias("entry")
+    rows = inventory.where(M.at_safety()).select("quantity_on_hand", "sku_name", "warehouse_location", entry)
+    return ranked(rows.where(F.col("entry").isNotNull()), None, F.asc("quantity_on_hand")).select("quantity_on_hand", "entry")
+
+
 def critical_categories(inventory: DataFrame) -> DataFrame:
     names = F.sort_array(F.collect_set("category"))
     return inventory.where(M.at_safety()).agg(F.array_join(names, ", ").alias("critical_categories"))

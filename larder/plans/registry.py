@@ -109,6 +109,7 @@ def _register_rollups() -> None:
         rollups.mean_days_all,
         rollups.duplicate_keys,
         summaries.critical_item_list,
+        summaries.critical_item_entries,
         summaries.critical_categories,
     ):
         _add(build.__name__, _on(build))

@@ -453,6 +453,10 @@ FROM x WHERE active GROUP BY location, abc_class, category"""
         """SELECT string_agg(sku_name || ' at ' || location || ' has only ' || CAST(quantity_on_hand AS VARCHAR) || ' units left', ', ' ORDER BY quantity_on_hand, sku_name, location) AS critical_items
 FROM (SELECT quantity_on_hand, sku_name, location FROM x WHERE q <= ss ORDER BY quantity_on_hand, sku_name, location LIMIT 10)"""
     )
+    s["critical_item_entries"] = over(
+        "SELECT quantity_on_hand, entry FROM (SELECT quantity_on_hand, sku_name || ' at ' || location || ' has only ' || CAST(quantity_on_hand AS VARCHAR) || ' units left' AS entry "
+        "FROM x WHERE q <= ss) WHERE entry IS NOT NULL"
+    )
     s["critical_categories"] = over("SELECT string_agg(category, ', ' ORDER BY category) AS critical_categories FROM (SELECT DISTINCT category FROM x WHERE q <= ss)")
     s["daily_insight_row"] = over(
         f"""SELECT {DAY} AS insight_date, CAST((SELECT sum(n) FROM c) AS BIGINT) AS critical_count, CAST((SELECT sum(v) FROM c) AS DOUBLE) AS total_value,
