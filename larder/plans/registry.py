@@ -32,6 +32,7 @@ from larder.sources import delimited, derived, sinks, tables
 from larder.streaming import changes as stream
 
 AS_OF = derived.AS_OF
+NEXT_DAY = "2001-08-02 01:00:00"  #: 25 hours after AS_OF
 LONG_LOOKBACK = 3650
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -424,19 +425,20 @@ def _register_streams() -> None:
     for table in jobs.TARGET_LAG:
         _add(f"stream_{table}", refreshed(table))
 
-    def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-        """Two batches of rows; the second is checked against the alerts of the first."""
+    def alerts(spark: SparkSession, sf_dir: str, later: str = AS_OF) -> DataFrame:
+        """Two batches of rows; the second, at `later`, is checked against the alerts of the first."""
         base = scratch_path(spark, "alert-stream")
         inventory = derived.inventory(spark, sf_dir)
         even = F.col("stock_age_days") % 2 == 0
         for part in (even, ~even):
             stream.publish_load(inventory.where(part), f"{base}/feed")
             feed = stream.read_changes(spark, f"{base}/feed")
-            stream.stream_alerts(feed, f"{base}/history", f"{base}/checkpoint", lambda _: AS_OF, lag=None).awaitTermination()
+            stream.stream_alerts(feed, f"{base}/history", f"{base}/checkpoint", lambda k: later if k else AS_OF, lag=None).awaitTermination()
         logged = spark.read.parquet(f"{base}/history")
         return logged.select("batch_id", "sku_id", "location", "alert_type", "priority", "quantity_on_hand")
 
     _add("stream_alert_log", alerts)
+    _add("stream_alert_log_next_day", lambda spark, sf_dir: alerts(spark, sf_dir, NEXT_DAY))
 
 
 for _register in (

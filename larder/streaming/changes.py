@@ -24,6 +24,7 @@ from larder.plans.logs import new_alerts, recent_days
 WEIGHT = "change_weight"
 LOGGED_ALERTS = T.StructType([*schema.ALERT_HISTORY.fields, T.StructField("batch_id", T.LongType())])
 CHANGE_ROWS = T.StructType([*schema.INVENTORY.fields, T.StructField(WEIGHT, T.LongType())])
+STOCK_ROWS = T.StructType([*CHANGE_ROWS.fields, T.StructField("stock_batch", T.LongType())])  #: the stock has a batch_id of its own
 
 
 def weigh(changes: DataFrame) -> DataFrame:
@@ -128,7 +129,10 @@ def stream_items(
 
 def current_items(spark: SparkSession, table_path: str) -> DataFrame:
     """The rows a weighted table stands for; sums combine map-side."""
-    weighted = spark.read.parquet(table_path).drop("batch_id")
+    return _net_rows(spark.read.parquet(table_path).drop("batch_id"))
+
+
+def _net_rows(weighted: DataFrame) -> DataFrame:
     columns = [c for c in weighted.columns if c != WEIGHT]
     net = weighted.groupBy(*columns).agg(F.sum(WEIGHT).alias("_net")).where(F.col("_net") > 0)
     return net.select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_net"))).alias("_i")).drop("_i")
@@ -153,8 +157,13 @@ def stream_alerts(
     checkpoint: str,
     clock: Callable[[int], str],
     lag: str | None = TARGET_LAG["active_alerts"],
+    stock_path: str | None = None,
 ) -> StreamingQuery:
-    """Log alerts for entering rows, quiet for 24 hours per item and location.
+    """Log alerts for the stock of each batch, quiet for 24 hours per item and location.
+
+    The rows of all batches so far are the stock, so an item that stays critical is alerted again when a day
+    has passed, and one that has left is not. They are kept with their weights at ``stock_path``, beside the
+    log unless named. Spark runs no batch while no change arrives: until the next one nothing is alerted.
 
     The log itself is the state: each batch is checked against the alerts of earlier
     batches, so a resolved alert re-arms its item, which dropping duplicates within a
@@ -162,13 +171,15 @@ def stream_alerts(
     gives the time of a batch and must give the same time when the batch runs again.
     """
 
+    stock = stock_path or f"{history_path.rstrip('/')}-stock"
+
     def step(batch: DataFrame, batch_id: int) -> None:
         as_of = clock(batch_id)
         log = recent_days(batch.sparkSession, history_path, LOGGED_ALERTS, as_of, 1)
         history = log.where(F.col("batch_id") < batch_id)
-        entering = batch.where(F.col(WEIGHT) > 0)
-        rows = entering.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col(WEIGHT))))
-        alerts = new_alerts(rows, history, as_of)
+        batch.write.mode("overwrite").parquet(f"{stock}/stock_batch={batch_id}")
+        weighted = batch.sparkSession.read.schema(STOCK_ROWS).parquet(stock).where(F.col("stock_batch") <= batch_id)
+        alerts = new_alerts(_net_rows(weighted.drop("stock_batch")), history, as_of)
         alerts.write.mode("overwrite").parquet(f"{history_path}/log_date={as_of[:10]}/batch_id={batch_id}")
 
     return _start(stream, step, checkpoint, lag)

@@ -667,6 +667,12 @@ ORDER BY priority_score DESC, sku_name, location, category, quantity_on_hand, re
 SELECT 0 AS batch_id, * FROM x WHERE active AND attention AND stock_age_days % 2 = 0 UNION ALL
 SELECT 1 AS batch_id, * FROM x WHERE active AND attention AND stock_age_days % 2 <> 0
   AND NOT EXISTS (SELECT 1 FROM x e WHERE e.active AND e.attention AND e.stock_age_days % 2 = 0 AND e.sku_id = x.sku_id AND e.location = x.location))"""
+    )
+    # the second batch comes 25 hours later: nothing is quiet any more
+    s["stream_alert_log_next_day"] = over(
+        """SELECT batch_id, sku_id, location, alert_type, priority, quantity_on_hand FROM (
+SELECT 0 AS batch_id, * FROM x WHERE active AND attention AND stock_age_days % 2 = 0 UNION ALL
+SELECT 1 AS batch_id, * FROM x WHERE active AND attention AND stock_age_days IS NOT NULL)"""
     )
     s["generate_reorders"] = over(
         f"""SELECT sku_id, sku_name, category, location, order_qty AS recommended_qty, eoq AS economic_order_qty, score AS priority_score, unit_cost_usd, whole_order_value AS total_order_value_usd,

@@ -65,3 +65,21 @@ def test_alert_batch_that_runs_again_replaces_itself(spark, rows, tmp_path):
     assert [tuple(r) for r in run("other")] == [(0, 2), (1, 1)]
     latest = spark.read.parquet(f"{base}/history").where(F.col("batch_id") == 1).first()
     assert latest.sku_id == "S2"
+
+
+def test_unchanged_and_removed_items_in_later_alert_batches(spark, rows, tmp_path):
+    base = str(tmp_path)
+    clocks = ["2001-08-01 00:00:00", "2001-08-02 01:00:00", "2001-08-03 02:00:00"]
+
+    def run():
+        feed = stream.read_changes(spark, f"{base}/feed")
+        stream.stream_alerts(feed, f"{base}/history", f"{base}/ck", clocks.__getitem__, lag=None).awaitTermination()
+        return sorted((r["batch_id"], r["sku_id"]) for r in spark.read.parquet(f"{base}/history").collect())
+
+    one, other = {"quantity_on_hand": 5}, {"quantity_on_hand": 5, "sku_id": "S2"}
+    stream.publish_load(rows(one), f"{base}/feed")
+    assert run() == [(0, "S1")]
+    stream.publish_load(rows(other), f"{base}/feed")
+    assert run() == [(0, "S1"), (1, "S1"), (1, "S2")]
+    stream.publish_changes(rows(one, other), rows(other), f"{base}/feed")
+    assert run() == [(0, "S1"), (1, "S1"), (1, "S2"), (2, "S2")]
