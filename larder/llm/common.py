@@ -59,9 +59,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}"
-    # Spark deletes the shuffle files of finished jobs once the driver's garbage is collected
-    spark.sparkContext._jvm.System.gc()
     df.write.parquet(path)
+    # Spark deletes the shuffle files of finished jobs once the driver's garbage is collected
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
@@ -92,8 +91,52 @@ def per_batch(function: Callable, schema: str) -> Callable[[DataFrame], DataFram
     return apply
 
 
-def kept_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of `docs`, with all their columns, whose doc_id is among `ids` (null matches null)."""
+#: Places of a bitmap of keys: 8 MB, whatever the number of keys.
+PLACES = 1 << 26
+
+
+def _place(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(PLACES)) + 1
+
+
+def bitmap(places: DataFrame) -> DataFrame:
+    """(bucket, bits) of a frame's column `place`, 1 to PLACES: at most PLACES / 32,768 rows of 4 KB."""
+    return places.groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")
+    )
+
+
+def marked(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """`df` with a column `_maybe`: true for each row whose key is among those of `ids`, and for few others.
+
+    The keys' bits come from a bitmap of a fixed size, so rows are told apart where they are read and the plan
+    is the same for any number of keys. With far more keys than PLACES all rows are marked; an exact join of
+    the marked rows tells them apart.
+    """
+    bits = bitmap(ids.select(_place(F.col(key)).alias("place"))).select(F.col("bucket").alias("_bucket"), "bits")
+    at = F.bitmap_bit_position("_place")
+    byte = F.conv(F.hex(F.substring("bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    there = df.withColumn("_place", _place(F.col(key))).withColumn("_bucket", F.bitmap_bucket_number("_place"))
+    hit = there.join(F.broadcast(bits), "_bucket", "left").withColumn(
+        "_maybe", F.col("bits").isNotNull() & (F.getbit(F.coalesce(byte, F.lit(0)), (at % 8).cast("int")) == 1)
+    )
+    return hit.drop("_bucket", "_place", "bits")
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of `docs`, with all their columns, whose doc_id is not among those of `ids` (null equals null)."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("key"))
+    gone = ids.select(F.col("doc_id").alias("key"))
+    rows = marked(packed, "key", gone)
+    there = gone.select(F.col("key").alias("gone")).distinct().hint("merge")
+    some = rows.where("_maybe").join(there, F.col("key").eqNullSafe(F.col("gone")), "left_anti")
+    return rows.where(~F.col("_maybe")).select("row.*").union(some.select("row.*"))
+
+
+def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of `docs`, with all their columns, whose doc_id is among those of `ids` (null equals null)."""
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("key"))
-    wanted = ids.select(F.col("doc_id").alias("wanted"))
-    return packed.join(wanted, F.col("key").eqNullSafe(F.col("wanted")), "left_semi").select("row.*")
+    wanted = ids.select(F.col("doc_id").alias("key"))
+    there = wanted.select(F.col("key").alias("wanted")).distinct().hint("merge")
+    some = marked(packed, "key", wanted).where("_maybe")
+    return some.join(there, F.col("key").eqNullSafe(F.col("wanted")), "left_semi").select("row.*")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.llm.common import SPACE, whole_text, written
+from larder.llm.common import SPACE, among, marked, whole_text, without, written
 
 
 def normalised(text: Column) -> Column:
@@ -37,9 +37,9 @@ def exact_groups(docs: DataFrame, content_hash: Callable[[Column], Column] = F.m
     shared = groups.where("copies > 1").select(F.encode("hash", "utf-8").alias("key"), "smallest", "copies")
     shared = written(shared, "shared")
 
-    texts = docs.select(
-        F.encode(content_hash(text), "utf-8").alias("key"), "doc_id", text.alias("text")
-    ).join(shared.select("key"), "key", "left_semi")
+    # only texts of a group may differ from another; few others come along, and do no harm
+    texts = marked(docs.select(F.encode(content_hash(text), "utf-8").alias("key"), "doc_id", text.alias("text")), "key", shared)
+    texts = texts.where("_maybe").select("key", "doc_id", "text")
     clashes = (
         texts.groupBy(F.decode("key", "utf-8").alias("hash"))
         .agg(F.min("text").alias("low"), F.max("text").alias("high"))
@@ -79,13 +79,20 @@ def without_copies(docs: DataFrame) -> DataFrame:
 
     Of rows that repeat both the id and the text one stays.
     """
-    names = docs.columns
-    packed = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"),
+    decided = written(exact_groups(docs).select("doc_id", "kept", "text_sha256"), "decided")
+    gone = decided.where(~F.col("kept")).select("doc_id")
+    twice = decided.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    twice = written(twice, "twice")
+    if twice.isEmpty():  # each id names one row
+        return without(docs, gone)
+    repeated = among(docs, twice)
+    packed = repeated.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         F.col("doc_id").alias("key"),
         F.sha2(normalised(whole_text()), 256).alias("digest"),
     )
-    keep = exact_groups(docs).where("kept").select(F.col("doc_id").alias("keep"), F.col("text_sha256").alias("kept_digest"))
+    keep = decided.where("kept").select(F.col("doc_id").alias("keep"), F.col("text_sha256").alias("kept_digest"))
     same = F.col("key").eqNullSafe(F.col("keep")) & (F.col("digest") == F.col("kept_digest"))
     nth = F.row_number().over(Window.partitionBy("key", "digest").orderBy(F.xxhash64("row")))
-    return packed.join(keep, same, "left_semi").withColumn("nth", nth).where("nth = 1").select("row.*")
+    once = packed.join(keep, same, "left_semi").withColumn("nth", nth).where("nth = 1").select("row.*")
+    return without(docs, gone.union(twice)).union(once)
