@@ -1,22 +1,33 @@
 """N-gram Jaccard join: candidates share prefix tokens under several global orders and are then verified.
 
-The links' components are found, not all pairs: equal sets fold to one node first, a node of each token's
-size band is compared with the others of the band, and then all remaining candidate pairs between
-different components are. No pair inside a component that is already linked is formed.
+The links' components are found, not all pairs. Every step is exact: a bound drops only what cannot be linked.
+
+* Equal sets fold to one node.
+* A token that no other set holds is *lost*: a set with more lost tokens than a similar one may miss has no
+  partner. Most sets go this way, by the lost tokens among a fixed share of all tokens, then among all.
+* The global orders put lost tokens first and then rare ones. Two similar sets share a token that comes early
+  in both, by their sizes; such tokens make the candidates.
+* A node first tries the leader it shares most of those tokens with, the one with the fewest lost tokens.
+  Pairs are then formed only between different components of what is linked.
+* Candidates must share enough prefix tokens under each order, and their counts in hashed buckets must be as
+  near as the sets would be, before whole sets are compared.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.llm.common import arrow_schema, keyed_texts, per_batch, settled, written
+from larder.llm.common import PLACES, among, arrow_schema, bitmap, per_batch, whole_text, without, written
 from larder.llm.hashing import BASE, mixed, powers
 
 WORDS = 3
 PERCENT = 90  #: two sets are linked when 100 * intersection >= PERCENT * union
 ORDERS = 3
-BUCKET_BITS = 18  #: tokens are counted in so many hashed buckets, whatever the corpus holds
+SHARE = 3  #: lost tokens are counted among one in so many tokens at first
+BUCKETS = 256  #: of a set's token counts; the sum of the counts' differences is at most what the sets differ by
 
 
 def shingle_sets(texts: list[str], words: int = WORDS) -> list:
@@ -76,132 +87,155 @@ def _block_sets(block: list[bytes], words: int) -> list:
 
 
 def _described(texts: DataFrame, words: int) -> DataFrame:
-    """Per text (row, doc_id, n, a, b): the size of its set and two sums that name it; and, with a null n,
-    (row = bucket, a = tokens in it) of each task."""
-    arrow = arrow_schema("row long, doc_id long, n int, a long, b long")
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
+    """Per text (doc_id, n, a, b): the size of its set and two sums that name it."""
 
-        counts = np.zeros(1 << BUCKET_BITS, np.int64)
-        for batch in batches:
-            sets = shingle_sets(batch["text"].to_pylist(), words)
-            names = [[int(mixed(s, k).sum().astype(np.int64)) if len(s) else 0 for s in sets] for k in (2, 3)]
-            if sets:
-                counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(counts))
-            yield pa.RecordBatch.from_arrays(
-                [batch["row"], batch["doc_id"], pa.array([len(s) for s in sets], pa.int32()), *(pa.array(x, pa.int64()) for x in names)],
-                schema=arrow,
-            )
-        used = np.flatnonzero(counts)
-        none = lambda kind: pa.nulls(len(used), kind)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(used), none(pa.int64()), none(pa.int32()), pa.array(counts[used]), none(pa.int64())], schema=arrow
-        )
+    def run(batch):
+        sets = shingle_sets(batch["text"].to_pylist(), words)
+        names = [[int(mixed(s, k).sum().astype("int64")) if len(s) else 0 for s in sets] for k in (2, 3)]
+        return {"doc_id": batch["doc_id"], "n": [len(s) for s in sets], "a": names[0], "b": names[1]}
 
-    return texts.mapInArrow(run, "row long, doc_id long, n int, a long, b long")
+    return per_batch(run, "doc_id long, n int, a long, b long")(texts.select("doc_id", "text"))
 
 
-def prefix_size(n: int, percent: int) -> int:
-    """How many first tokens of a set, in any order, one of which each similar set holds among its own."""
-    return n - -(-n * percent // 100) + 1
+def _some_tokens(texts: DataFrame, words: int) -> DataFrame:
+    """(token, a) for one in SHARE tokens, the same ones everywhere, of all sets."""
+    arrow = arrow_schema("token long, a long")
 
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
 
-def prefixes(hashes, classes, size: int):
-    """The first `size` tokens of a sorted set under each order: rare classes first, then as each order mixes them."""
-    import numpy as np
+        for batch in batches:
+            for s in shingle_sets(batch["text"].to_pylist(), words):
+                if len(s):
+                    some = s[mixed(s, 4) % np.uint64(SHARE) == 0].view(np.int64)
+                    name = np.full(len(some), mixed(s, 2).sum().astype(np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(name)], schema=arrow)
 
-    rank = classes[(hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(58)
-    for turn in range(ORDERS):
-        key = rank | (mixed(hashes, turn) >> np.uint64(6))
-        yield hashes[np.argsort(key, kind="stable")[:size]].astype(np.int64)
+    def merged(batches):
+        import pyarrow as pa
 
+        held, size = [], 0
+        for batch in run(batches):
+            held.append(batch)
+            size += batch.num_rows
+            if size >= 50_000:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, size = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
-def _classes(counts: DataFrame):
-    """The order of magnitude of each bucket's count, for all tasks. `counts` has a fixed number of rows."""
-    import numpy as np
+    return texts.select("text").mapInArrow(merged, "token long, a long")
 
-    totals = np.zeros(1 << BUCKET_BITS, np.int64)
-    for r in counts.collect():  # at most 2^BUCKET_BITS rows
-        totals[r["row"]] = r["n"]
-    return counts.sparkSession.sparkContext.broadcast(np.log2(totals + 1).astype(np.uint8))
 
+def whole_sets(texts: DataFrame, names: DataFrame, words: int) -> DataFrame:
+    """(a, tokens, buckets) of the sets named in `names` (a), once each.
 
-def _prefixed(texts: DataFrame, classes, words: int, percent: int) -> DataFrame:
-    """(row, n, first): the prefix of each text under the first order."""
+    Texts are read where they lie; a bitmap of a fixed size tells which sets to send on, and an exact join
+    drops the few others.
+    """
+    marks = bitmap(names.select((F.col("a").bitwiseAND(F.lit(PLACES - 1)) + 1).alias("place"))).collect()  # at most 8 MB
+    there = texts.sparkSession.sparkContext.broadcast({r["bucket"]: bytes(r["bits"]) for r in marks})
+    schema = "a long, tokens array<long>, buckets array<short>"
 
     def run(batch):
-        out = {"row": [], "n": [], "first": []}
-        for row, s in zip(batch["row"].to_pylist(), shingle_sets(batch["text"].to_pylist(), words)):
+        import numpy as np
+
+        bits = np.zeros(PLACES // 8, np.uint8)
+        for bucket, part in there.value.items():
+            bits[(bucket - 1) * 4096:bucket * 4096] = np.frombuffer(part, np.uint8)
+        out = {"a": [], "tokens": [], "buckets": []}
+        for s in shingle_sets(batch["text"].to_pylist(), words):
             if len(s):
-                first = next(prefixes(s, classes.value, prefix_size(len(s), percent)))
-                for k, v in zip(out, (row, len(s), first)):
-                    out[k].append(v)
+                name = int(mixed(s, 2).sum().astype(np.int64))
+                place = name & (PLACES - 1)
+                if bits[place >> 3] >> (place & 7) & 1:
+                    counts = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=BUCKETS)
+                    for k, v in zip(out, (name, s.view(np.int64), np.minimum(counts, 32767))):
+                        out[k].append(v)
         return out
 
-    return per_batch(run, "row long, n int, first array<long>")(texts.select("row", "text"))
-
+    found = per_batch(run, schema)(texts.select("text")).join(names.select("a").hint("merge"), "a", "left_semi")
+    return found.groupBy("a").agg(F.first("tokens").alias("tokens"), F.first("buckets").alias("buckets"))
 
-def meet(x: list, y: list) -> bool:
-    """Whether two sets' prefixes share tokens under every order."""
-    import numpy as np
 
-    return all(np.intersect1d(p, q, assume_unique=True).size for p, q in zip(x, y))
+def needed(n: Column, other: Column, percent: int) -> Column:
+    """The least intersection of two similar sets of these sizes."""
+    return F.floor(((n.cast("long") + other) * percent + 99 + percent) / (100 + percent)).cast("int")
 
 
-def _close(n: Column, other: Column, percent: int) -> Column:
-    return F.least(n, other) * 100 >= F.greatest(n, other) * percent
+def own_part(n: Column, percent: int) -> Column:
+    """The least number of a set's tokens that a similar set holds."""
+    return F.floor((n.cast("long") * percent + 99) / 100).cast("int")
 
 
-def _enough(shared: Column, n: Column, other: Column, percent: int) -> Column:
-    """Whether sets of these sizes whose prefixes share so many tokens can be similar enough.
-
-    All common tokens up to the end of the prefix that ends first are among the shared ones; the others
-    lie in the rest of that set.
-    """
-    rest = F.greatest(F.ceil(n * percent / 100.0 - 1e-9), F.ceil(other * percent / 100.0 - 1e-9)) - 1
-    return shared + rest >= F.ceil((n + other) * percent / (100.0 + percent) - 1e-6)
+def _lost(texts: DataFrame, words: int) -> DataFrame:
+    """(a, lost): how many of a set's sampled tokens no other set holds. Tokens combine map-side."""
+    holders = _some_tokens(texts, words).groupBy("token").agg(F.min("a").alias("a"), F.max("a").alias("z"))
+    return holders.where("a = z").groupBy("a").agg(F.count(F.lit(1)).cast("int").alias("lost"))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, classes, words: int, percent: int) -> DataFrame:
-    """The (a, b) of `pairs`, which share a token under the first order, whose texts' sets are similar enough.
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(a, n, lost, prefix_0, prefix_1, ..., buckets) of the sets that may have a partner.
 
-    Pairs must share prefix tokens under the other orders too before their sets are compared.
+    Each order has the lost tokens first. The first order goes on by the number of sets that hold a token,
+    the others by its order of magnitude and then by a hash of their own. A prefix lists the tokens after the
+    lost ones, up to the last that can be the first one shared with a similar set.
     """
-    def orders(s):
-        return list(prefixes(s, classes.value, prefix_size(len(s), percent)))[1:]
+    tokens = sets.select("a", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    held = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    ranked = F.struct("sets", "token", *[
+        F.struct(F.floor(F.log2("sets")).alias("c"), F.xxhash64("token", F.lit(k)).alias("h"), "token").alias(f"order_{k}")
+        for k in range(1, ORDERS)
+    ])
+    rest = tokens.join(held, "token").groupBy("a", "n").agg(F.collect_list(ranked).alias("r")).withColumn("lost", F.col("n") - F.size("r"))
+    size = F.col("n") - own_part(F.col("n"), percent) + 1 - F.col("lost")
+    ways = [F.array_sort("r"), *[F.array_sort(F.col(f"r.order_{k}")) for k in range(1, ORDERS)]]
+    firsts = [F.transform(F.slice(way, F.lit(1), F.col("size")), lambda t: t["token"]) for way in ways]
+    kept = rest.withColumn("size", size).where("size > 0")
+    kept = kept.select("a", "n", "lost", *[f.alias(f"prefix_{k}") for k, f in enumerate(firsts)])
+    return kept.join(sets.select("a", "buckets"), "a")
+
+
+def _postings(prefixes: DataFrame) -> DataFrame:
+    """(token, a, n, lost, place): each prefix token and its place in the set under the first order."""
+    spread = prefixes.select("a", "n", "lost", F.posexplode("prefix_0").alias("at", "token"))
+    return spread.select("token", "a", "n", "lost", (F.col("at") + F.col("lost")).alias("place"))
+
+
+def _possible(x: Callable[[str], Column], y: Callable[[str], Column], percent: int) -> Column:
+    """Whether a shared token can be the first one that two similar sets share.
+
+    As many as are needed of each set come at that token or after it, and the lost ones are not shared.
+    """
+    least = needed(x("n"), y("n"), percent)
+    return (
+        (x("place") <= x("n") - least) & (y("place") <= y("n") - least)
+        & (x("n") - x("lost") >= least) & (y("n") - y("lost") >= least)
+    )
 
-    def run(batches):
-        import pyarrow as pa
 
-        known, known_set, known_orders = None, None, None
-        for batch in batches:
-            a, b, left = batch["a"].to_pylist(), batch["b"].to_pylist(), batch["left"]
-            keep = []
-            for k, s in enumerate(shingle_sets(batch["right"].to_pylist(), words)):
-                if a[k] != known:
-                    known, known_set = a[k], shingle_sets([left[k].as_py()], words)[0]
-                    known_orders = orders(known_set)
-                keep.append(meet(known_orders, orders(s)) and similar(known_set, s, percent))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x for x, y in zip(c, keep) if y], pa.int64()) for c in (a, b)], names=["a", "b"]
-            )
-
-    right = pairs.join(texts.select(F.col("row").alias("b"), F.col("text").alias("right")), "b")
-    both = right.join(texts.select(F.col("row").alias("a"), F.col("text").alias("left")), "a")
-    return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
-
-
-def similar(x, y, percent: int) -> bool:
-    import numpy as np
+def verified(pairs: DataFrame, prefixes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar.
 
-    small, large = (x, y) if len(x) <= len(y) else (y, x)
-    if len(small) * 100 < len(large) * percent or not len(small):
-        return False
-    at = np.searchsorted(large, small)
-    common = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-    return 100 * common >= percent * (len(x) + len(y) - common)
+    First by narrow rows: under each order the shared prefix tokens and all that may follow the prefix that
+    ends first must be enough, and the bucket counts must not differ by more than similar sets do. Whole sets
+    are compared for the pairs that are left.
+    """
+    def side(of: DataFrame, name: str, *columns: str) -> DataFrame:
+        return of.select(F.col("a").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
+
+    narrow = ("n", "buckets", *[f"prefix_{k}" for k in range(ORDERS)])
+    near = pairs.join(side(prefixes, "a", *narrow), "a").join(side(prefixes, "b", *narrow), "b")
+    least = needed(F.col("a_n"), F.col("b_n"), percent)
+    after = F.greatest(own_part(F.col("a_n"), percent), own_part(F.col("b_n"), percent)) - 1
+    for k in range(ORDERS):
+        near = near.where(F.size(F.array_intersect(f"a_prefix_{k}", f"b_prefix_{k}")) + after >= least)
+    apart = F.aggregate(F.zip_with("a_buckets", "b_buckets", lambda p, q: F.abs(p.cast("int") - q.cast("int"))), F.lit(0), lambda t, v: t + v)
+    near = near.where(apart <= F.col("a_n") + F.col("b_n") - 2 * least).select("a", "b", least.alias("least"))
+    near = written(near, "near")
+    whole = near.join(side(sets, "a", "tokens"), "a").join(side(sets, "b", "tokens"), "b")
+    return whole.where(F.size(F.array_intersect("a_tokens", "b_tokens")) >= F.col("least")).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -233,67 +267,62 @@ def components(edges: DataFrame) -> DataFrame:
             return roots
 
 
+def _linked(texts: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between sets, enough of them to connect each component."""
+    alone = F.col("n") - own_part(F.col("n"), percent)  # so many tokens of a set a similar one may miss
+    able = nodes.join(_lost(texts, words), "a", "left").where(F.coalesce("lost", F.lit(0)) <= alone).select("a")
+    sets = written(whole_sets(texts, written(able, "able"), words), "sets")
+    prefixes = written(_prefixes(sets, percent), "prefixes")
+    postings = written(_postings(prefixes), "postings")
+
+    # similar sets lie in one band of sizes or in neighbouring ones; those in neighbouring ones meet later
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / min(percent, 99)))).cast("int")
+    by_band = postings.withColumn("band", band)
+    best = F.struct((-F.col("lost") / F.col("n")).alias("whole"), "a", "n", "lost", "place")
+    leaders = by_band.groupBy("token", "band").agg(F.max(best).alias("leader"))
+    offers = by_band.join(leaders, ["token", "band"]).where(
+        (F.col("a") != F.col("leader.a")) & _possible(lambda c: F.col(c), lambda c: F.col(f"leader.{c}"), percent)
+    )
+    shared = offers.groupBy("a", F.col("leader.a").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+    tried = shared.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+    first = written(verified(written(tried, "tried"), prefixes, sets, percent), "links")
+
+    roots = components(first)
+    placed = postings.join(roots.select(F.col("node").alias("a"), "root"), "a", "left").withColumn("root", F.coalesce("root", "a"))
+    mixed_tokens = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    placed = written(placed.join(mixed_tokens.select("token"), "token", "left_semi"), "placed")
+    left, right = (placed.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("a", "n", "lost", "place", "root")]) for s in "xy")
+    rest = (
+        left.join(right, "token")
+        .where((F.col("x_a") < F.col("y_a")) & (F.col("x_root") != F.col("y_root")))
+        .where(_possible(lambda c: F.col(f"x_{c}"), lambda c: F.col(f"y_{c}"), percent))
+        .select(F.col("x_a").alias("a"), F.col("y_a").alias("b")).distinct()
+    )
+    second = verified(written(rest, "rest"), prefixes, sets, percent)
+    return first.union(written(second, "links"))
+
+
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Per row of `docs`: doc_id, n_shingles, component_id (the smallest doc_id that links reach).
 
-    1. One pass describes each set and counts tokens in a fixed number of hashed buckets; the counts'
-       order of magnitude gives the orders, rare tokens first. Equal sets fold to one node.
-    2. A second pass takes each set's prefix under the first order. Nodes that share a token of it are
-       candidates if they share enough of them; their sets are compared if they share prefix tokens
-       under the other orders too.
-    3. In each token's size band the node with the smallest number meets the others; after the links'
-       components are known, candidate pairs between different components are verified.
-
     Null or empty texts and texts without words have no shingles and are linked with nothing. Repeated
     rows have equal sets and one component; a null id takes part but never names a component unless all
-    its ids are null. An empty table gives an empty result. Sets are compared by 64-bit hashes.
+    its ids are null. An empty table gives an empty result. Sets are named and compared by 64-bit hashes of
+    their shingles. Other columns are ignored.
     """
-    texts = keyed_texts(settled(docs))
-    described = written(_described(texts, words), "described")
-    rows = described.where("n is not null")
-    counts = described.where("n is null").groupBy("row").agg(F.sum("a").alias("n"))
-    nodes = rows.where("n > 0").groupBy("n", "a", "b").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"))
+    texts = docs.select("doc_id", whole_text().alias("text"))
+    rows = written(_described(texts, words), "described")
+    nodes = rows.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("least"))
     nodes = written(nodes, "nodes")
+    return named(rows, nodes, _linked(texts, nodes, words, percent))
 
-    classes = _classes(counts)
-    prefixed = written(_prefixed(texts, classes, words, percent), "prefixes")
-    own = prefixed.join(nodes.select(F.col("node").alias("row")), "row", "left_semi")
-    tokens = own.select("row", "n", F.explode("first").alias("token")).withColumn(
-        "band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
-    )
-    tokens = tokens.repartition("token")
-    shared = tokens.groupBy("token").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low <> high")
-    tokens = written(tokens.join(shared.select("token"), "token", "left_semi"), "tokens")
-
-    leaders = tokens.groupBy("token", "band").agg(F.min(F.struct("row", "n")).alias("leader"))
-    # only a start: what a leader shares by tokens of other leaders isn't counted here
-    stars = (
-        tokens.join(leaders, ["token", "band"])
-        .where((F.col("row") != F.col("leader.row")) & _close(F.col("n"), F.col("leader.n"), percent))
-        .groupBy(F.col("leader.row").alias("a"), F.col("row").alias("b"), F.col("leader.n").alias("a_n"), F.col("n").alias("b_n"))
-        .agg(F.count(F.lit(1)).alias("shared"))
-        .where(_enough(F.col("shared"), F.col("a_n"), F.col("b_n"), percent)).select("a", "b")
-    )
-    stars = written(stars, "stars")
-    first = written(verified(stars, texts, classes, words, percent), "links")
-    roots = components(first)
-    placed = tokens.join(roots.select(F.col("node").alias("row"), "root"), "row", "left").withColumn("root", F.coalesce("root", "row"))
-    mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    placed = written(placed.join(mixed.select("token"), "token", "left_semi"), "placed")
-    left, right = (placed.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("row", "n", "root")]) for s in "xy")
-    rest = (
-        left.join(right, "token")
-        .where((F.col("x_row") < F.col("y_row")) & (F.col("x_root") != F.col("y_root")) & _close(F.col("x_n"), F.col("y_n"), percent))
-        .groupBy(F.col("x_row").alias("a"), F.col("y_row").alias("b"), "x_n", "y_n").agg(F.count(F.lit(1)).alias("shared"))
-        .where(_enough(F.col("shared"), F.col("x_n"), F.col("y_n"), percent)).select("a", "b")
-        .join(stars, ["a", "b"], "left_anti")
-    )
-    second = written(verified(rest, texts, classes, words, percent), "links")
 
-    ends = components(first.union(second))
-    named = nodes.join(ends, "node", "left").select("n", "a", "b", "least", F.coalesce("root", "node").alias("root"))
-    least_of = named.groupBy("root").agg(F.min("least").alias("component"))
-    by_set = named.join(least_of, "root").select("n", "a", "b", "component")
+def named(rows: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows with the smallest id of their set's component."""
+    ends = components(links)
+    placed = nodes.join(ends.withColumnRenamed("node", "a"), "a", "left").select("n", "a", "b", "least", F.coalesce("root", "a").alias("root"))
+    least_of = placed.groupBy("root").agg(F.min("least").alias("component"))
+    by_set = placed.join(least_of, "root").select("n", "a", "b", "component")
     return rows.join(by_set, ["n", "a", "b"], "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
     )
@@ -302,13 +331,19 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
 def without_near_copies(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """`docs` with one row of each component of similar texts, that with the smallest id; all columns are kept.
 
-    Rows without words are all kept. Of rows that repeat the smallest id one stays.
+    Rows without words are all kept. Of rows that repeat the smallest id, and of equal texts without words
+    under one id, one stays.
     """
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"))
-    ids = join(docs, words, percent)
-    keep = ids.where((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(
-        F.col("doc_id").alias("keep")
-    ).agg(F.max("n_shingles").alias("shingles"))
-    kept = packed.join(keep, F.col("id").eqNullSafe(F.col("keep")))
+    ids = written(join(docs, words, percent), "decided")
+    stays = (F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id"))
+    gone = ids.where(~stays).select("doc_id")
+    twice = ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    twice = written(twice, "twice")
+    if twice.isEmpty():  # each id names one row
+        return without(docs, gone)
+    packed = among(docs, twice).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"))
+    keep = ids.where(stays).select(F.col("doc_id").alias("keep")).distinct()
+    kept = packed.join(keep, F.col("id").eqNullSafe(F.col("keep")), "left_semi")
     once = Window.partitionBy("id", F.sha2(F.coalesce("row.text", F.lit("")), 256)).orderBy(F.xxhash64("row"))
-    return kept.withColumn("nth", F.row_number().over(once)).where("nth = 1").select("row.*")
+    kept = kept.withColumn("nth", F.row_number().over(once)).where("nth = 1").select("row.*")
+    return without(docs, gone.union(twice)).union(kept)

@@ -5,7 +5,6 @@ import re
 import pytest
 
 from larder.llm import jaccard
-from tests.llm.conftest import SF
 
 
 def shingles(text, words):
@@ -75,20 +74,40 @@ def test_one_row_of_each_component_stays(documents, odd_docs, no_docs):
     assert jaccard.join(no_docs).count() == 0 and jaccard.without_near_copies(no_docs).count() == 0
 
 
-def test_similar_sets_share_prefix_tokens_under_every_order(rng):
-    import numpy as np
-
-    classes = np.zeros(1 << jaccard.BUCKET_BITS, np.uint8)
-    for _ in range(200):
-        x = np.unique(np.array([rng.getrandbits(64) for _ in range(rng.randint(5, 120))], np.uint64))
-        y = np.unique(np.concatenate([x[rng.randint(0, max(1, len(x) // 15)):], np.array([rng.getrandbits(64)], np.uint64)]))
-        if jaccard.similar(x, y, 90):
-            for p, q in zip(jaccard.prefixes(x, classes, jaccard.prefix_size(len(x), 90)), jaccard.prefixes(y, classes, jaccard.prefix_size(len(y), 90))):
-                assert set(p) & set(q)
+def test_many_near_copies_below_the_limit_ship_few_pairs(make_docs, rng, monkeypatch):
+    words = [f"w{rng.randint(0, 10_000)}" for _ in range(300)]
+    pairs = []
+    for k in range(400):
+        copy = list(words)
+        for at in rng.sample(range(300), 3):
+            copy[at] = f"x{k}_{at}"
+        pairs.append((k + 1, " ".join(copy)))
+    shipped = []
+    whole = jaccard.written
+
+    def counted(df, name):
+        out = whole(df, name)
+        if name == "near":
+            shipped.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "written", counted)
+    assert rows(jaccard.join(make_docs(pairs))) == brute(pairs, 3, 90)
+    assert sum(shipped) < 10 * len(pairs)
+
+
+def test_sets_of_any_sizes(make_docs, rng):
+    pairs = []
+    for base in range(60):
+        text = [f"t{base}_{k}" for k in range(rng.randint(1, 14))]
+        for _ in range(4):
+            copy = [w for w in text if rng.random() > 0.08] + [f"u{rng.randint(0, 3)}"] * rng.randint(0, 1)
+            pairs.append((len(pairs), " ".join(copy)))
+    for words, percent in ((2, 80), (1, 50), (1, 100)):
+        assert rows(jaccard.join(make_docs(pairs), words, percent)) == brute(pairs, words, percent)
 
 
 def test_paths_become_components(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(1, 60)] + [(100, 103), (103, 101)], "a long, b long")
     got = {r["node"]: r["root"] for r in jaccard.components(edges).collect()}
     assert got == {**{k: 1 for k in range(1, 61)}, 100: 100, 101: 100, 103: 100}
-    assert SF
