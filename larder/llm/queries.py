@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import bpe, exact, jaccard, multiset, packing, pii, secrets, suffix, toxicity, warc
+from larder.llm import bpe, exact, hamming, jaccard, multiset, packing, pii, secrets, shallot, suffix, toxicity, warc, whitening
 from larder.llm.common import read
 
 
@@ -48,6 +48,18 @@ def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonyms(read(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shallot.cluster(read(spark, sf_dir, "embeddings"))
+
+
+def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming.near_copies(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -61,10 +73,14 @@ QUERIES = {
         op8_ngram_jaccard_join,
         op9_warc,
         op10_pii_pseudonyms,
+        op11_embedding_whitening,
+        op12_centroid_clustering,
+        op13_minhash_near_dedup,
     )
 }
 
 STATEMENTS = {
+    "op12_centroid_clustering": shallot.statement(),
     "op4_exact_dedup": r"""
         WITH t AS (
             SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS n FROM documents
