@@ -70,8 +70,11 @@ def arrow_schema(schema: str):
     return to_arrow_schema(StructType.fromDDL(schema))
 
 
-def per_batch(function: Callable, schema: str) -> Callable[[DataFrame], DataFrame]:
-    """A transformation that applies `function(record batch) -> dict of columns` to Arrow batches."""
+def per_batch(function: Callable, schema: str, rows: int | None = None) -> Callable[[DataFrame], DataFrame]:
+    """A transformation that applies `function(record batch) -> dict of columns` to Arrow batches.
+
+    With `rows`, to parts of so many rows, where a function's own arrays are much larger than the batch.
+    """
 
     def apply(df: DataFrame) -> DataFrame:
         arrow = arrow_schema(schema)
@@ -80,8 +83,8 @@ def per_batch(function: Callable, schema: str) -> Callable[[DataFrame], DataFram
             import pyarrow as pa
 
             for batch in batches:
-                if batch.num_rows:
-                    columns = function(batch)
+                for start in range(0, batch.num_rows, rows or batch.num_rows):
+                    columns = function(batch.slice(start, rows))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(columns[f.name], f.type) for f in arrow], schema=arrow
                     )

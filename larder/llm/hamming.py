@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from larder.llm.common import arrow_schema, per_batch, whole_text, written
 from larder.llm.hashing import MIXES, mixed
-from larder.llm.jaccard import components, named, needed, shingle_sets, whole_sets
+from larder.llm.jaccard import TEXTS, components, named, needed, shingle_sets, whole_sets
 
 WORDS = 2
 PERCENT = 80
@@ -107,7 +107,7 @@ def _described(texts: DataFrame, words: int) -> DataFrame:
         return out
 
     schema = "doc_id long, n int, a long, b long, signature binary, buckets binary"
-    return per_batch(run, schema)(texts.select("doc_id", "text"))
+    return per_batch(run, schema, TEXTS)(texts.select("doc_id", "text"))
 
 
 def _postings(nodes: DataFrame, errors: int) -> DataFrame:
@@ -119,7 +119,7 @@ def _postings(nodes: DataFrame, errors: int) -> DataFrame:
         signature = _bytes(batch["signature"], PLACES)
         return {"a": batch["a"], "keys": list(keys(signature, errors))} if len(signature) else {"a": [], "keys": np.empty((0, 0))}
 
-    spread = per_batch(run, "a long, keys array<long>")(nodes.select("a", "signature"))
+    spread = per_batch(run, "a long, keys array<long>", TEXTS)(nodes.select("a", "signature"))
     return spread.select(F.explode("keys").alias("key"), "a")
 
 

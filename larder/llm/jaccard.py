@@ -27,6 +27,7 @@ WORDS = 3
 PERCENT = 90  #: two sets are linked when 100 * intersection >= PERCENT * union
 ORDERS = 3
 SHARE = 3  #: lost tokens are counted among one in so many tokens at first
+TEXTS = 512  #: so many texts' sets are held by a task at a time
 BUCKETS = 256  #: of a set's token counts; the sum of the counts' differences is at most what the sets differ by
 
 
@@ -41,7 +42,7 @@ def shingle_sets(texts: list[str], words: int = WORDS) -> list:
     encoded = [t.encode() for t in texts]
     out, block, size = [], [], 0
     for item in [*encoded, None]:
-        if item is None or size + len(item) + 1 > 1 << 21 and block:
+        if item is None or size + len(item) + 1 > 1 << 19 and block:
             out += _block_sets(block, words)
             block, size = [], 0
         if item is not None:
@@ -60,7 +61,7 @@ def _block_sets(block: list[bytes], words: int) -> list:
     space = (data == 32) | ((data >= 9) & (data <= 13))
     edge = np.flatnonzero(np.diff(space.astype(np.int8), prepend=np.int8(1)))
     start, stop = edge[::2], edge[1::2]
-    power, inverse = powers(max(1 << 22, 1 << len(data).bit_length()))
+    power, inverse = powers(max(1 << 20, 1 << len(data).bit_length()))
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:len(data)], out=total[1:])
     word = mixed((total[stop] - total[start]) * inverse[start] + (stop - start).astype(np.uint64))
@@ -94,7 +95,7 @@ def _described(texts: DataFrame, words: int) -> DataFrame:
         names = [[int(mixed(s, k).sum().astype("int64")) if len(s) else 0 for s in sets] for k in (2, 3)]
         return {"doc_id": batch["doc_id"], "n": [len(s) for s in sets], "a": names[0], "b": names[1]}
 
-    return per_batch(run, "doc_id long, n int, a long, b long")(texts.select("doc_id", "text"))
+    return per_batch(run, "doc_id long, n int, a long, b long", TEXTS)(texts.select("doc_id", "text"))
 
 
 def _some_tokens(texts: DataFrame, words: int) -> DataFrame:
@@ -105,8 +106,9 @@ def _some_tokens(texts: DataFrame, words: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
-            for s in shingle_sets(batch["text"].to_pylist(), words):
+        parts = (batch["text"].slice(k, TEXTS) for batch in batches for k in range(0, batch.num_rows, TEXTS))
+        for part in parts:
+            for s in shingle_sets(part.to_pylist(), words):
                 if len(s):
                     some = s[mixed(s, 4) % np.uint64(SHARE) == 0].view(np.int64)
                     name = np.full(len(some), mixed(s, 2).sum().astype(np.int64))
@@ -135,15 +137,16 @@ def whole_sets(texts: DataFrame, names: DataFrame, words: int) -> DataFrame:
     drops the few others.
     """
     marks = bitmap(names.select((F.col("a").bitwiseAND(F.lit(PLACES - 1)) + 1).alias("place"))).collect()  # at most 8 MB
-    there = texts.sparkSession.sparkContext.broadcast({r["bucket"]: bytes(r["bits"]) for r in marks})
+    held = bytearray(PLACES // 8)
+    for r in marks:
+        held[(r["bucket"] - 1) * 4096:r["bucket"] * 4096] = r["bits"]
+    there = texts.sparkSession.sparkContext.broadcast(bytes(held))
     schema = "a long, tokens array<long>, buckets array<short>"
 
     def run(batch):
         import numpy as np
 
-        bits = np.zeros(PLACES // 8, np.uint8)
-        for bucket, part in there.value.items():
-            bits[(bucket - 1) * 4096:bucket * 4096] = np.frombuffer(part, np.uint8)
+        bits = there.value
         out = {"a": [], "tokens": [], "buckets": []}
         for s in shingle_sets(batch["text"].to_pylist(), words):
             if len(s):
@@ -155,7 +158,7 @@ def whole_sets(texts: DataFrame, names: DataFrame, words: int) -> DataFrame:
                         out[k].append(v)
         return out
 
-    found = per_batch(run, schema)(texts.select("text")).join(names.select("a").hint("merge"), "a", "left_semi")
+    found = per_batch(run, schema, TEXTS)(texts.select("text")).join(names.select("a").hint("merge"), "a", "left_semi")
     return found.groupBy("a").agg(F.first("tokens").alias("tokens"), F.first("buckets").alias("buckets"))
 
 
