@@ -29,7 +29,7 @@ CHUNKS = 10
 PLACES_PER_CHUNK = 7
 PLACES = CHUNKS * PLACES_PER_CHUNK
 MISSED = 2e-5  #: the chance that a link at the limit lies beyond the signature distance
-BUCKETS = 64
+PARITIES = 1024  #: bits that say whether an odd number of a set's tokens falls there
 BLOCK = 1024  #: nodes of a key that one task compares with as many others
 
 
@@ -90,23 +90,23 @@ def keys(signature, errors: int):
 
 
 def _described(texts: DataFrame, words: int) -> DataFrame:
-    """Per text (doc_id, n, a, b, signature, buckets); the last two are null for a text without words."""
+    """Per text (doc_id, n, a, b, signature, parities); the last two are null for a text without words."""
 
     def run(batch):
         import numpy as np
 
         sets = shingle_sets(batch["text"].to_pylist(), words)
         some = [k for k, s in enumerate(sets) if len(s)]
-        out = {"doc_id": batch["doc_id"], "n": [len(s) for s in sets], "signature": [None] * len(sets), "buckets": [None] * len(sets)}
+        out = {"doc_id": batch["doc_id"], "n": [len(s) for s in sets], "signature": [None] * len(sets), "parities": [None] * len(sets)}
         for name, turn in (("a", 2), ("b", 3)):
             out[name] = [int(mixed(s, turn).sum().astype(np.int64)) if len(s) else 0 for s in sets]
         for k, row in zip(some, signatures([sets[k] for k in some])):
             out["signature"][k] = row.tobytes()
-            counts = np.bincount((sets[k] >> np.uint64(58)).astype(np.int64), minlength=BUCKETS)
-            out["buckets"][k] = np.minimum(counts, 255).astype(np.uint8).tobytes()
+            counts = np.bincount((sets[k] % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES)
+            out["parities"][k] = np.packbits(counts & 1).tobytes()
         return out
 
-    schema = "doc_id long, n int, a long, b long, signature binary, buckets binary"
+    schema = "doc_id long, n int, a long, b long, signature binary, parities binary"
     return per_batch(run, schema, TEXTS)(texts.select("doc_id", "text"))
 
 
@@ -130,14 +130,15 @@ def _bytes(column, size: int):
 
 
 def near(one: dict, other: dict, errors: int, percent: int):
-    """Which of the pairs are within the signature distance and may be similar by sizes and bucket counts."""
+    """Which of the pairs are within the signature distance and may be similar by sizes and parities."""
     import numpy as np
 
     n, m = one["n"].astype(np.int64), other["n"].astype(np.int64)
     least = -(-(n + m) * percent // (100 + percent))
     able = np.minimum(n, m) >= least
     differ = (one["signature"] != other["signature"]).sum(1) < CHUNKS * (errors + 1)
-    apart = np.abs(one["buckets"].astype(np.int16) - other["buckets"].astype(np.int16)).sum(1)
+    # a token that only one of the sets holds turns one bit
+    apart = np.bitwise_count(one["parities"] ^ other["parities"]).sum(1, dtype=np.int64)
     return able & differ & (apart <= n + m - 2 * least)
 
 
@@ -146,7 +147,7 @@ def _tried(pairs: DataFrame, nodes: DataFrame, errors: int, percent: int) -> Dat
 
     def run(batch):
         sides = [
-            {"n": batch[f"{s}_n"].to_numpy(), "signature": _bytes(batch[f"{s}_signature"], PLACES), "buckets": _bytes(batch[f"{s}_buckets"], BUCKETS)}
+            {"n": batch[f"{s}_n"].to_numpy(), "signature": _bytes(batch[f"{s}_signature"], PLACES), "parities": _bytes(batch[f"{s}_parities"], PARITIES // 8)}
             for s in "ab"
         ]
         keep = near(*sides, errors, percent)
@@ -154,7 +155,7 @@ def _tried(pairs: DataFrame, nodes: DataFrame, errors: int, percent: int) -> Dat
 
     both = pairs
     for s in "ab":
-        both = both.join(nodes.select(F.col("a").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("n", "signature", "buckets")]), s)
+        both = both.join(nodes.select(F.col("a").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("n", "signature", "parities")]), s)
     return per_batch(run, "a long, b long")(both)
 
 
@@ -200,7 +201,7 @@ def _compared(rows: DataFrame, errors: int, percent: int) -> DataFrame:
                     mask = (differ[np.arange(len(i)), chunk] * weights).sum(1)
                     once = few[np.arange(len(i)), chunk] & (which[i] == chunk * count + first_choice[mask])
                     i, j = i[once], j[once]
-                    keep = near(*[{c: t[c][x] for c in ("n", "signature", "buckets")} for x in (i, j)], errors, percent)
+                    keep = near(*[{c: t[c][x] for c in ("n", "signature", "parities")} for x in (i, j)], errors, percent)
                     if keep.any():
                         a, b = t["a"][i[keep]], t["a"][j[keep]]
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=arrow)
@@ -211,7 +212,7 @@ def _compared(rows: DataFrame, errors: int, percent: int) -> DataFrame:
                 if not batch.num_rows:
                     continue
                 t = {c: batch[c].to_numpy() for c in ("key", "lo", "hi", "block", "a", "root", "n")}
-                t |= {"signature": _bytes(batch["signature"], PLACES), "buckets": _bytes(batch["buckets"], BUCKETS)}
+                t |= {"signature": _bytes(batch["signature"], PLACES), "parities": _bytes(batch["parities"], PARITIES // 8)}
                 if held is not None:
                     t = {c: np.concatenate((held[c], t[c])) for c in t}
                     held = None
@@ -237,9 +238,9 @@ def _blocks(placed: DataFrame, nodes: DataFrame) -> DataFrame:
     block = F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")
     rows = placed.join(held, "key").select("key", "a", "root", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rows = rows.select("key", "a", "root", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    rows = rows.join(nodes.select("a", "n", "signature", "buckets"), "a")
+    rows = rows.join(nodes.select("a", "n", "signature", "parities"), "a")
     order = ("key", "lo", "hi")
-    return rows.repartition(*order).sortWithinPartitions(*order).select("key", "lo", "hi", "block", "a", "root", "n", "signature", "buckets")
+    return rows.repartition(*order).sortWithinPartitions(*order).select("key", "lo", "hi", "block", "a", "root", "n", "signature", "parities")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
@@ -264,7 +265,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     errors = allowed_errors(percent)
     rows = written(_described(texts, words), "described")
     nodes = rows.where("n > 0").groupBy("n", "a", "b").agg(
-        F.min("doc_id").alias("least"), F.first("signature").alias("signature"), F.first("buckets").alias("buckets")
+        F.min("doc_id").alias("least"), F.first("signature").alias("signature"), F.first("parities").alias("parities")
     )
     nodes = written(nodes, "nodes")
 

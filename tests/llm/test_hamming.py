@@ -59,8 +59,8 @@ def test_each_pair_of_a_key_comes_once(spark, rng):
     for k in range(40):
         row = base.copy()
         row[rng.sample(range(hamming.PLACES), 6)] += np.uint8(1 + k)
-        nodes.append((k, 100, bytes(row), bytes(hamming.BUCKETS), k))
-    table = spark.createDataFrame(nodes, "a long, n int, signature binary, buckets binary, root long")
+        nodes.append((k, 100, bytes(row), bytes(hamming.PARITIES // 8), k))
+    table = spark.createDataFrame(nodes, "a long, n int, signature binary, parities binary, root long")
     placed = hamming._postings(table, 2).join(table.select("a", "root"), "a")
     got = [(r["a"], r["b"]) for r in hamming._compared(hamming._blocks(placed, table), 2, 80).collect()]
     assert sorted(got) == list(itertools.combinations(range(40), 2))
