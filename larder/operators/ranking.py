@@ -6,13 +6,14 @@ keeps the same rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder import constants as K
 from larder.functions import metrics as M
 from larder.functions import predicates as P
 from larder.operators.skew import top_k
+from larder.session import scratch_path
 
 
 def ranked(df: DataFrame, k: int | None, *order: Column) -> DataFrame:
@@ -21,6 +22,30 @@ def ranked(df: DataFrame, k: int | None, *order: Column) -> DataFrame:
     return df.orderBy(*keys) if k is None else top_k(df, keys, k)
 
 
+def numbered(df: DataFrame, *order: Column) -> DataFrame:
+    """The rows with their ``position`` in order, from 0, by a distributed sort.
+
+    The sorted rows are written. A row's number is its place in its sorted part and the size of the parts
+    before; the sizes are one row per part.
+    """
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "ordered")
+    keys = [*order, *[F.asc_nulls_last(name) for name in df.columns]]
+    placed = df.orderBy(*keys).withColumn("_at", F.monotonically_increasing_id())
+    placed.write.parquet(path)
+    rows = spark.read.schema(placed.schema).parquet(path).withColumn("_part", F.shiftright("_at", 33))
+    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    position = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.join(before, "_part").withColumn("position", position).drop("_at", "_part", "_before")
+
+
+def joined_text(numbered_rows: DataFrame, entry: str, alias: str, size: int = 100) -> DataFrame:
+    """(part, text): the entries in order, joined, so many to a part."""
+    part = F.floor(F.col("position") / size).alias("part")
+    entries = F.sort_array(F.collect_list(F.struct("position", entry)))
+    return numbered_rows.groupBy(part).agg(F.array_join(F.transform(entries, lambda e: e[entry]), ", ").alias(alias))
+
+
 def top_critical_items(health: DataFrame, k: int = 10) -> DataFrame:
     columns = (
         "sku_name", "location", "category", "abc_class", "quantity_on_hand", "reorder_point",

@@ -17,7 +17,7 @@ from larder.functions.numeric import (
     ratio,
     round_to,
 )
-from larder.operators.ranking import ranked
+from larder.operators.ranking import joined_text, numbered, ranked
 from larder.operators.skew import amount_counts, exact_median
 
 
@@ -251,19 +251,9 @@ def _scarcity(name: Column, location: Column, quantity: Column) -> Column:
     return F.concat(name, F.lit(" at "), location, F.lit(" has only "), quantity.cast("string"), F.lit(" units left"))
 
 
-def critical_item_list(inventory: DataFrame, k: int = 10) -> DataFrame:
-    """The ``k`` scarcest critical items as one sentence.
-
-    The list is cut before it is joined, so the text has a fixed length whatever the table.
-    """
-    scarce = ranked(
-        inventory.where(M.at_safety()).select("quantity_on_hand", "sku_name", "warehouse_location"),
-        k,
-        F.asc("quantity_on_hand"),
-    )
-    entries = F.sort_array(F.collect_list(F.struct("quantity_on_hand", "sku_name", "warehouse_location")))
-    sentence = F.transform(entries, lambda e: _scarcity(e["sku_name"], e["warehouse_location"], e["quantity_on_hand"]))
-    return scarce.agg(F.array_join(sentence, ", ").alias("critical_items"))
+def critical_item_list(inventory: DataFrame) -> DataFrame:
+    """All critical items as sentences, scarcest first, a hundred to a row (part, critical_items)."""
+    return joined_text(numbered(critical_item_entries(inventory), F.asc("quantity_on_hand")), "entry", "critical_items")
 
 
 def critical_item_entries(inventory: DataFrame) -> DataFrame:
@@ -274,8 +264,9 @@ def critical_item_entries(inventory: DataFrame) -> DataFrame:
 
 
 def critical_categories(inventory: DataFrame) -> DataFrame:
-    names = F.sort_array(F.collect_set("category"))
-    return inventory.where(M.at_safety()).agg(F.array_join(names, ", ").alias("critical_categories"))
+    """The categories with critical items by name, a hundred to a row (part, critical_categories)."""
+    names = inventory.where(M.at_safety() & F.col("category").isNotNull()).select("category").distinct()
+    return joined_text(numbered(names), "category", "critical_categories")
 
 
 def _insight(per_category: DataFrame, date: Column) -> DataFrame:

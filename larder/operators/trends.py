@@ -27,26 +27,6 @@ def snapshot_history(inventory: DataFrame) -> DataFrame:
     )
 
 
-def back_cast(health: DataFrame, as_of: str, days: int = K.HISTORY_DAYS) -> DataFrame:
-    """Daily series that ends at today's stock, adding average sales for each day back.
-
-    A narrow, fixed fan-out of ``days + 1`` rows per item.
-    """
-    dated = health.select("*", F.explode(F.sequence(F.lit(days), F.lit(0), F.lit(-1))).alias("days_ago"))
-    sales = as_double("avg_daily_sales")
-    return dated.select(
-        F.date_sub(F.to_date(F.lit(as_of)), F.col("days_ago")).alias("snapshot_date"),
-        "sku_id",
-        F.col("sku_name").alias("item_name"),
-        "location",
-        "category",
-        F.greatest(F.lit(0.0), as_double("quantity_on_hand") + sales * F.col("days_ago")).alias("current_stock"),
-        F.greatest(F.lit(0.0), sales).alias("consumption"),
-        as_double("reorder_point").alias("reorder_point"),
-        as_double("safety_stock").alias("safety_stock"),
-    )
-
-
 def trend_by_category(snapshots: DataFrame, measure: str, as_of: str, days: int = K.HISTORY_DAYS) -> DataFrame:
     """Daily total of ``current_stock`` or ``consumption`` per category."""
     recent = snapshots.where(P.within_days("snapshot_date", as_of, days))

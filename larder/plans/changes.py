@@ -2,25 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEY = ("sku_id", "batch_id")
+BUCKETS = 1024  #: of row digests; as many rows are broadcast at most
+PIECE = 1 << 15
 
 
-def inventory_changes(old: DataFrame, new: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
-    """Rows to take out of ``old`` and to put in to reach ``new``, with copy counts.
+def _digested(df: DataFrame, columns: list[str], buckets: int) -> DataFrame:
+    """Rows with two 64-bit digests of their columns, which tell NULLs apart, and a bucket."""
+    marked = [*columns, *[F.isnull(c) for c in columns]]
+    rows = df.select("*", F.xxhash64(*marked).alias("_d"), F.xxhash64(F.lit(1), *marked).alias("_e"))
+    return rows.withColumn("_b", F.pmod("_d", F.lit(buckets)).cast("int"))
 
-    A multiset difference: both states are stacked with weights -1 and +1 and summed per
-    distinct row. The sum combines map-side, so neither a key with very many rows nor a
-    pile of equal rows gathers anywhere, and repeated keys never multiply as they would
-    in a full outer join. ``is_update`` marks rows whose key leaves and enters at once.
-    """
+
+def _stacked(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Both states with weights. Digests come after the union, which gives both the same types."""
     columns = old.columns
-    weighed = old.withColumn("_w", F.lit(-1).cast("long")).unionByName(
-        new.select(*columns).withColumn("_w", F.lit(1).cast("long"))
-    )
-    net = weighed.groupBy(*columns).agg(F.sum("_w").alias("_net")).where(F.col("_net") != 0)
+    weighed = old.withColumn("_w", F.lit(-1).cast("long")).unionByName(new.select(*columns).withColumn("_w", F.lit(1).cast("long")))
+    return _digested(weighed, columns, BUCKETS)
+
+
+def _changed_buckets(stacked: DataFrame) -> DataFrame:
+    """Buckets whose rows differ as a whole: digests are added up with their weights, in any order."""
+    sums = [F.sum(F.col(c).cast("decimal(20,0)") * F.col("_w")).alias(c) for c in ("_d", "_e")]
+    totals = stacked.groupBy("_b").agg(F.sum("_w").alias("_w"), *sums)
+    return totals.where((F.col("_w") != 0) | (F.col("_d") != 0) | (F.col("_e") != 0)).select("_b")
+
+
+def _difference(stacked: DataFrame, columns: list[str], key: tuple[str, ...]) -> DataFrame:
+    net = stacked.groupBy("_d", "_e").agg(F.sum("_w").alias("_net")).where(F.col("_net") != 0)
+    found = stacked.select(F.struct(*columns).alias("_row"), "_d", "_e").join(net, ["_d", "_e"])
+    net = found.groupBy("_d", "_e").agg(F.first("_row").alias("_row"), F.first("_net").alias("_net")).select("_row.*", "_net")
     both = (
         net.groupBy(*[F.col(k).alias(f"_{k}") for k in key])
         .agg(F.min("_net").alias("_low"), F.max("_net").alias("_high"))
@@ -38,10 +52,45 @@ def inventory_changes(old: DataFrame, new: DataFrame, key: tuple[str, ...] = KEY
     )
 
 
+def inventory_changes(old: DataFrame, new: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
+    """Rows to take out of ``old`` and to put in to reach ``new``, with copy counts.
+
+    A multiset difference by 128-bit row digests. Buckets of digests are compared as sums first; of those that
+    differ, (digests, weight) are added up, map-side too, so that neither a key with very many rows nor a pile
+    of equal rows gathers anywhere; only rows that changed are fetched. Repeated keys never multiply as they
+    would in a full outer join. ``is_update`` marks rows whose key leaves and enters at once.
+    """
+    stacked = _stacked(old, new)
+    touched = stacked.join(F.broadcast(_changed_buckets(stacked)), "_b", "left_semi")
+    return _difference(touched, old.columns, key)
+
+
 def has_changes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """One row: does the table differ at all?"""
-    found = inventory_changes(old, new).limit(1)
-    return found.agg((F.count(F.lit(1)) > 0).alias("has_data"))
+    """One row: does the table differ at all? Sums per bucket tell."""
+    return _changed_buckets(_stacked(old, new)).agg((F.count(F.lit(1)) > 0).alias("has_data"))
+
+
+def write_state(df: DataFrame, path: str, buckets: int = 64) -> None:
+    """A state with its digests, laid out by their buckets. States to be compared need the same column types and buckets."""
+    rows = _digested(df, df.columns, buckets).hint("rebalance", F.col("_b"))
+    rows.write.mode("errorifexists").partitionBy("_b").parquet(path)
+
+
+def state_changes(spark: SparkSession, old_path: str, new_path: str, key: tuple[str, ...] = KEY) -> DataFrame:
+    """``inventory_changes`` of two written states: digests are read whole, rows only of buckets that differ."""
+    old, new = spark.read.parquet(old_path), spark.read.parquet(new_path)
+    columns = [c for c in old.columns if c not in ("_d", "_e", "_b")]
+    stacked = old.withColumn("_w", F.lit(-1).cast("long")).unionByName(new.withColumn("_w", F.lit(1).cast("long")))
+    buckets = [r["_b"] for r in _changed_buckets(stacked).collect()]  # a number per folder at most
+    return _difference(stacked.where(F.col("_b").isin(buckets)), columns, key)
+
+
+def repeated(df: DataFrame, count: str) -> DataFrame:
+    """Each row as often as its count says, without the count; in pieces, so that no large array is made."""
+    names, n = [c for c in df.columns if c != count], F.col(count)
+    pieces = df.select(*names, count, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / PIECE))).alias("_piece"))
+    size = F.least(F.lit(PIECE).cast("long"), n - F.col("_piece") * PIECE)
+    return pieces.select(*names, F.explode(F.sequence(F.lit(1).cast("long"), size)).alias("_i")).drop("_i")
 
 
 def apply_changes(old: DataFrame, changes: DataFrame) -> DataFrame:
@@ -50,4 +99,4 @@ def apply_changes(old: DataFrame, changes: DataFrame) -> DataFrame:
     signed = F.when(F.col("change_action") == "INSERT", F.col("copies")).otherwise(-F.col("copies"))
     weighed = old.withColumn("_w", F.lit(1).cast("long")).unionByName(changes.select(*columns, signed.alias("_w")))
     net = weighed.groupBy(*columns).agg(F.sum("_w").alias("_net")).where(F.col("_net") > 0)
-    return net.select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_net"))).alias("_i")).drop("_i")
+    return repeated(net, "_net")

@@ -168,11 +168,15 @@ def _one_per_key(changes: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return changes.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(folded)
 
 
-def _join_changes(log: DataFrame, changes: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+def _match(keys: tuple[str, ...]) -> Column:
     match = F.lit(True)
     for k in keys:
         match = match & (F.col(k) == F.col(f"_{k}"))
-    return log.join(_one_per_key(changes, keys), match, "left")
+    return match
+
+
+def _join_changes(log: DataFrame, changes: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    return log.join(_one_per_key(changes, keys), _match(keys), "left")
 
 
 def resolve_alerts(
@@ -192,16 +196,39 @@ def resolve_alerts(
     )
 
 
-def move_reorders(log: DataFrame, moves: DataFrame, as_of: str, keys: tuple[str, ...] = ("action_id",)) -> DataFrame:
-    """Set the status named in ``moves`` (keys, status); stamp the order or delivery day."""
-    hit = F.col("_change").isNotNull()
-    to = F.col("_change.status")
+def _last_moves(moves: DataFrame, keys: tuple[str, ...], sequence: str | None) -> DataFrame:
+    """(keys, _first, _other): the least and the greatest status of each key's last moves, in any order of arrival."""
+    at = F.col(sequence) if sequence else F.lit(0)
+    dated = moves.groupBy(*[F.col(k).alias(f"_{k}") for k in keys], at.alias("_at")).agg(
+        F.min("status").alias("_first"), F.max("status").alias("_other")
+    )
+    last = dated.groupBy(*[f"_{k}" for k in keys]).agg(F.max(F.struct("_at", "_first", "_other")).alias("_last"))
+    return last.select(*[f"_{k}" for k in keys], "_last._first", "_last._other")
+
+
+def clashing_moves(moves: DataFrame, keys: tuple[str, ...] = ("action_id",), sequence: str | None = None) -> DataFrame:
+    """Keys that are moved to different statuses at once: (keys, first_status, other_status). They aren't moved."""
+    clashes = _last_moves(moves, keys, sequence).where(F.col("_first") != F.col("_other"))
+    return clashes.select(
+        *[F.col(f"_{k}").alias(k) for k in keys], F.col("_first").alias("first_status"), F.col("_other").alias("other_status")
+    )
+
+
+def move_reorders(
+    log: DataFrame, moves: DataFrame, as_of: str, keys: tuple[str, ...] = ("action_id",), sequence: str | None = None
+) -> DataFrame:
+    """Set the status named in ``moves`` (keys, status); stamp the order or delivery day.
+
+    With a ``sequence``, a column of ``moves`` such as a number or a time, a key's last move counts. Moves that
+    nothing tells apart and that disagree are left alone; ``clashing_moves`` lists them.
+    """
+    to = F.when(F.col("_first") == F.col("_other"), F.col("_first"))
     today = F.to_date(F.lit(as_of))
     _, ordered, delivered, _ = K.REORDER_STATES
     new = {
-        "status": F.when(hit, to).otherwise(F.col("status")),
-        "order_date": F.when(hit & (to == ordered), today).otherwise(F.col("order_date")),
-        "actual_delivery_date": F.when(hit & (to == delivered), today).otherwise(F.col("actual_delivery_date")),
+        "status": F.coalesce(to, "status"),
+        "order_date": F.when(to == ordered, today).otherwise(F.col("order_date")),
+        "actual_delivery_date": F.when(to == delivered, today).otherwise(F.col("actual_delivery_date")),
     }
-    joined = _join_changes(log, moves, keys)
+    joined = log.join(_last_moves(moves, keys, sequence), _match(keys), "left")
     return joined.select(*[new[c].alias(c) if c in new else F.col(c) for c in log.columns])

@@ -33,6 +33,7 @@ from larder.streaming import changes as stream
 
 AS_OF = derived.AS_OF
 NEXT_DAY = "2001-08-02 01:00:00"  #: 25 hours after AS_OF
+DAY_BEFORE = "2001-07-31 00:00:00"
 LONG_LOOKBACK = 3650
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -199,10 +200,6 @@ def _register_projection_and_trends() -> None:
         _add(f"trend_stock{suffix}", _on(lambda s, d=days: trends.trend_by_category(s, "current_stock", AS_OF, d), history))
         _add(f"trend_consumption{suffix}", _on(lambda s, d=days: trends.trend_by_category(s, "consumption", AS_OF, d), history))
 
-    def back_cast_trend(health: DataFrame) -> DataFrame:
-        return trends.trend_by_category(trends.back_cast(health, AS_OF), "current_stock", AS_OF)
-
-    _add("trend_back_cast", _on(back_cast_trend, _health))
     _add("stock_by_location", _on(trends.stock_by_location, history))
     _add("status_by_location", _on(trends.status_by_location, history))
     _add("item_snapshot_stats", _on(trends.item_snapshot_stats, history))
@@ -297,9 +294,9 @@ def _register_jobs() -> None:
     )
     _add(
         "purge_resolved",
-        lambda s, d: logs.keep_after_purge(history(s, d), AS_OF)
-        .groupBy("location", "resolved")
-        .agg(F.count(F.lit(1)).alias("kept_alerts")),
+        lambda s, d: logs.keep_after_purge(history(s, d), AS_OF).select(
+            "sku_id", "location", "resolved", F.to_date("alert_timestamp").alias("alerted_on"), F.to_date("resolved_timestamp").alias("resolved_on")
+        ),
     )
 
     def resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -319,21 +316,21 @@ def _register_jobs() -> None:
 
     _add("resolve_alerts", resolve)
 
-    def move(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def moved(spark: SparkSession, sf_dir: str) -> DataFrame:
+        status = F.when(F.col("abc_class") == "A", "ORDERED").when(F.col("abc_class") == "B", "DELIVERED")
+        rows = derived.inventory(spark, sf_dir).select("sku_id", F.col("warehouse_location").alias("location"), status.alias("status"), "audit_date")
+        return rows.where(F.col("status").isNotNull()).distinct()
+
+    def move(spark: SparkSession, sf_dir: str, sequence: str | None = None) -> DataFrame:
         actions = log(spark, sf_dir).withColumns(
             {"order_date": F.lit(None).cast("date"), "actual_delivery_date": F.lit(None).cast("date")}
         )
-        status = F.when(F.col("abc_class") == "A", "ORDERED").when(F.col("abc_class") == "B", "DELIVERED")
-        moves = (
-            derived.inventory(spark, sf_dir)
-            .select("sku_id", F.col("warehouse_location").alias("location"), status.alias("status"))
-            .where(F.col("status").isNotNull())
-            .distinct()
-        )
-        result = logs.move_reorders(actions, moves, AS_OF, ("sku_id", "location"))
+        result = logs.move_reorders(actions, moved(spark, sf_dir), AS_OF, ("sku_id", "location"), sequence)
         return result.withColumn("action_timestamp", F.to_date("action_timestamp")).withColumnRenamed("action_timestamp", "action_date")
 
     _add("move_reorders", move)
+    _add("move_reorders_in_order", lambda s, d: move(s, d, "audit_date"))
+    _add("clashing_moves", lambda s, d: logs.clashing_moves(moved(s, d), ("sku_id", "location")))
 
     def override(inventory: DataFrame) -> DataFrame:
         few = jobs.chosen_items(inventory, "ECONOMY", 3)
@@ -347,6 +344,17 @@ def _register_jobs() -> None:
     _add("has_changes", lambda s, d: changes.has_changes(*states(s, d)))
     _add("applied_changes", lambda s, d: _applied(*states(s, d)))
 
+    def between_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """The same changes from two written states, of which only buckets that differ are read whole."""
+        paths = []
+        old, new = states(spark, sf_dir)
+        for df in (old, new.select(*[F.col(f.name).cast(f.dataType) for f in old.schema])):
+            paths.append(scratch_path(spark, "state"))
+            changes.write_state(df, paths[-1], buckets=16)
+        return changes.state_changes(spark, *paths)
+
+    _add("state_changes", between_states)
+
     def export(reorders: DataFrame) -> DataFrame:
         return sinks.export_frame(reorders, "NATION_1")
 
@@ -383,16 +391,14 @@ def _register_jobs() -> None:
         saved, table = scratch_path(spark, "backup"), scratch_path(spark, "table")
         sinks.backup(derived.inventory(spark, sf_dir), saved)
         back = sinks.restore(spark, saved, table)
-        return rollups.overview_counts(back)
+        return back
 
-    _add("restored_counts", restored)
+    _add("restored_rows", restored)
+    _add("restored_counts", lambda s, d: rollups.overview_counts(restored(s, d)))
 
 
 def _applied(old: DataFrame, new: DataFrame) -> DataFrame:
-    after = changes.apply_changes(old, changes.inventory_changes(old, new))
-    return after.groupBy("warehouse_location", "category").agg(
-        F.count(F.lit(1)).alias("rows"), as_double(F.sum("quantity_on_hand")).alias("units")
-    )
+    return changes.apply_changes(old, changes.inventory_changes(old, new))
 
 
 def later_state(inventory: DataFrame) -> DataFrame:
@@ -404,21 +410,27 @@ def later_state(inventory: DataFrame) -> DataFrame:
 def _register_streams() -> None:
     def refreshed(name: str) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            """Load, then a batch of changes, through the stream; equals the batch table of the later state."""
+            """Load, then a batch of changes, through the stream; equals the batch table of the later state.
+
+            Row-level tables are asked for once before the changes, for the day before.
+            """
             base = scratch_path(spark, f"{name}-stream")
             old = derived.inventory(spark, sf_dir)
-            for publish in (
-                lambda: stream.publish_load(old, f"{base}/feed"),
-                lambda: stream.publish_changes(old, later_state(old), f"{base}/feed"),
-            ):
-                publish()
+
+            def taken_in() -> None:
                 feed = stream.read_changes(spark, f"{base}/feed")
-                stream.stream_refresh(
-                    feed, name, f"{base}/state", f"{base}/table", f"{base}/checkpoint", AS_OF, lag=None
-                ).awaitTermination()
+                stream.stream_refresh(feed, name, f"{base}/state", f"{base}/table", f"{base}/checkpoint", lag=None).awaitTermination()
+
+            stream.publish_load(old, f"{base}/feed")
+            taken_in()
+            if name not in stream.ROLLUPS:
+                stream.publish_items(spark, name, f"{base}/state", DAY_BEFORE, f"{base}/table")
+            stream.publish_changes(old, later_state(old), f"{base}/feed")
+            taken_in()
             if name in stream.ROLLUPS:
                 return stream.current_table(spark, f"{base}/table")
-            return stream.current_items(spark, f"{base}/table")
+            stream.publish_items(spark, name, f"{base}/state", AS_OF, f"{base}/table")
+            return tables.open_table(spark, f"{base}/table")
 
         return run
 
@@ -440,6 +452,21 @@ def _register_streams() -> None:
     _add("stream_alert_log", alerts)
     _add("stream_alert_log_next_day", lambda spark, sf_dir: alerts(spark, sf_dir, NEXT_DAY))
 
+    def heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """All rows enter at once; then only time passes, an hour and a day: what is still critical is alerted again."""
+        base = scratch_path(spark, "heartbeat-stream")
+        stream.publish_load(derived.inventory(spark, sf_dir), f"{base}/feed")
+        clock = (AS_OF, "2001-08-01 01:00:00", NEXT_DAY)
+        for k in range(len(clock)):
+            if k:
+                stream.publish_heartbeat(spark, f"{base}/feed")
+            feed = stream.read_changes(spark, f"{base}/feed")
+            stream.stream_alerts(feed, f"{base}/history", f"{base}/checkpoint", clock.__getitem__, lag=None).awaitTermination()
+        logged = spark.read.parquet(f"{base}/history")
+        return logged.select("batch_id", "sku_id", "location", "alert_type", "priority", "quantity_on_hand")
+
+    _add("stream_alert_log_heartbeat", heartbeats)
+
 
 for _register in (
     _register_items,

@@ -1,7 +1,8 @@
 """Change rows as a stream, and the tables and the alert log kept current from it.
 
 A change row is a full inventory row with a weight: +copies when it enters the table,
--copies when it leaves. Every micro-batch writes under its own batch number with
+-copies when it leaves. A row of weight 0 is a heartbeat: it changes nothing but lets a
+batch run, so that what depends on the time moves on. Every micro-batch writes under its own batch number with
 overwrite, so a batch that runs again after a failure replaces its own output.
 """
 
@@ -16,15 +17,24 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from larder import schema
+from larder.functions import predicates as P
 from larder.operators import rollups
 from larder.plans.changes import inventory_changes
 from larder.plans.jobs import TARGET_LAG, derived_tables
 from larder.plans.logs import new_alerts, recent_days
+from larder.sources import sinks
+from larder.streaming import state
+from larder.streaming.state import WEIGHT
 
-WEIGHT = "change_weight"
 LOGGED_ALERTS = T.StructType([*schema.ALERT_HISTORY.fields, T.StructField("batch_id", T.LongType())])
 CHANGE_ROWS = T.StructType([*schema.INVENTORY.fields, T.StructField(WEIGHT, T.LongType())])
-STOCK_ROWS = T.StructType([*CHANGE_ROWS.fields, T.StructField("stock_batch", T.LongType())])  #: the stock has a batch_id of its own
+
+#: The inventory rows a row-level table is made of; none of the filters depends on the day.
+KEPT = {
+    "stock_health": lambda: P.is_active(),
+    "active_alerts": lambda: P.needs_attention() & P.is_active(),
+    "reorder_recommendations": lambda: P.needs_reorder() & P.is_active(),
+}
 
 
 def weigh(changes: DataFrame) -> DataFrame:
@@ -43,6 +53,18 @@ def publish_changes(old: DataFrame, new: DataFrame, feed_path: str) -> None:
     weigh(inventory_changes(old, new)).write.mode("append").parquet(feed_path)
 
 
+def publish_heartbeat(spark: SparkSession, feed_path: str) -> None:
+    """A batch for the stream although nothing has changed."""
+    spark.createDataFrame([(*[None] * len(schema.INVENTORY.fields), 0)], CHANGE_ROWS).write.mode("append").parquet(feed_path)
+
+
+def with_heartbeat(changes: DataFrame) -> DataFrame:
+    """The change stream with a heartbeat every second: each trigger then finds something to run for."""
+    beats = changes.sparkSession.readStream.format("rate").option("rowsPerSecond", 1).load()
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema.INVENTORY.fields]
+    return changes.unionByName(beats.select(*nothing, F.lit(0).cast("long").alias(WEIGHT)))
+
+
 def read_changes(spark: SparkSession, feed_path: str, files_per_batch: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(CHANGE_ROWS)
     if files_per_batch:
@@ -89,7 +111,7 @@ def stream_rollup(
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        cells = rollup.cells(rollups.located(batch), F.col(WEIGHT))
+        cells = rollup.cells(rollups.located(batch.where(F.col(WEIGHT) != 0)), F.col(WEIGHT))
         cells.write.mode("overwrite").parquet(f"{cells_path}/batch_id={batch_id}")
         known = spark.read.parquet(cells_path).drop("batch_id")
         table = rollup.table(rollups.add_cells(known, rollup.keys))
@@ -112,43 +134,41 @@ def compact_cells(spark: SparkSession, name: str, cells_path: str, new_path: str
     folded.write.mode("errorifexists").parquet(f"{new_path}/batch_id={up_to_batch}")
 
 
-def stream_items(
-    stream: DataFrame, name: str, table_path: str, checkpoint: str, as_of: str, lag: str | None = None
-) -> StreamingQuery:
-    """Keep a row-level table as weighted rows: a narrow map over the changed rows alone.
+def stream_items(stream: DataFrame, name: str, state_path: str, checkpoint: str, lag: str | None = None) -> StreamingQuery:
+    """Keep the inventory rows behind a row-level table, net of what has left.
 
-    ``as_of`` dates what depends on the day; start anew when the day must move on.
+    What depends on the day isn't kept: ``current_items`` works it out for the day it is asked for, so a row
+    that entered on one day and leaves on another is gone.
     """
-    build = derived_tables(as_of)[name]
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        build(batch).write.mode("overwrite").parquet(f"{table_path}/batch_id={batch_id}")
+        state.absorb(batch.where(KEPT[name]()), state_path, batch_id)
 
     return _start(stream, step, checkpoint, lag)
 
 
-def current_items(spark: SparkSession, table_path: str) -> DataFrame:
-    """The rows a weighted table stands for; sums combine map-side."""
-    return _net_rows(spark.read.parquet(table_path).drop("batch_id"))
+def current_items(spark: SparkSession, name: str, state_path: str, as_of: str) -> DataFrame:
+    """A row-level table as of a moment, from the rows kept for it."""
+    return derived_tables(as_of)[name](state.current(spark, state_path, CHANGE_ROWS))
 
 
-def _net_rows(weighted: DataFrame) -> DataFrame:
-    columns = [c for c in weighted.columns if c != WEIGHT]
-    net = weighted.groupBy(*columns).agg(F.sum(WEIGHT).alias("_net")).where(F.col("_net") > 0)
-    return net.select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_net"))).alias("_i")).drop("_i")
+def publish_items(spark: SparkSession, name: str, state_path: str, as_of: str, table_path: str) -> None:
+    """Write the table as of a moment where the table readers look for it."""
+    sinks.materialize(current_items(spark, name, state_path, as_of), table_path)
 
 
 def stream_refresh(
-    stream: DataFrame, name: str, state_path: str, table_path: str, checkpoint: str, as_of: str, lag: str | None = ""
+    stream: DataFrame, name: str, state_path: str, table_path: str, checkpoint: str, lag: str | None = ""
 ) -> StreamingQuery:
     """Keep one of the five derived tables current, by default at its target lag.
 
-    ``lag=None`` takes in what is there and stops.
+    ``lag=None`` takes in what is there and stops. Scorecards publish versions at ``table_path``; row-level
+    tables are read with ``current_items`` or written with ``publish_items``.
     """
     lag = TARGET_LAG[name] if lag == "" else lag
     if name in ROLLUPS:
         return stream_rollup(stream, name, state_path, table_path, checkpoint, lag)
-    return stream_items(stream, name, table_path, checkpoint, as_of, lag)
+    return stream_items(stream, name, state_path, checkpoint, lag)
 
 
 def stream_alerts(
@@ -161,11 +181,12 @@ def stream_alerts(
 ) -> StreamingQuery:
     """Log alerts for the stock of each batch, quiet for 24 hours per item and location.
 
-    The rows of all batches so far are the stock, so an item that stays critical is alerted again when a day
-    has passed, and one that has left is not. They are kept with their weights at ``stock_path``, beside the
-    log unless named. Spark runs no batch while no change arrives: until the next one nothing is alerted.
+    The rows that need attention after the batch are the stock, so an item that stays critical is alerted
+    again when a day has passed, and one that has left is not. Only they are kept, at ``stock_path``, beside
+    the log unless named. With heartbeats (``with_heartbeat``, ``publish_heartbeat``) batches also run while
+    nothing changes.
 
-    The log itself is the state: each batch is checked against the alerts of earlier
+    The log itself is the other state: each batch is checked against the alerts of earlier
     batches, so a resolved alert re-arms its item, which dropping duplicates within a
     watermark could not do. Only the log of today and yesterday is opened. ``clock``
     gives the time of a batch and must give the same time when the batch runs again.
@@ -174,12 +195,11 @@ def stream_alerts(
     stock = stock_path or f"{history_path.rstrip('/')}-stock"
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        as_of = clock(batch_id)
-        log = recent_days(batch.sparkSession, history_path, LOGGED_ALERTS, as_of, 1)
+        as_of, spark = clock(batch_id), batch.sparkSession
+        log = recent_days(spark, history_path, LOGGED_ALERTS, as_of, 1)
         history = log.where(F.col("batch_id") < batch_id)
-        batch.write.mode("overwrite").parquet(f"{stock}/stock_batch={batch_id}")
-        weighted = batch.sparkSession.read.schema(STOCK_ROWS).parquet(stock).where(F.col("stock_batch") <= batch_id)
-        alerts = new_alerts(_net_rows(weighted.drop("stock_batch")), history, as_of)
+        state.absorb(batch.where(KEPT["active_alerts"]()), stock, batch_id)
+        alerts = new_alerts(state.after_batch(spark, stock, CHANGE_ROWS, batch_id), history, as_of)
         alerts.write.mode("overwrite").parquet(f"{history_path}/log_date={as_of[:10]}/batch_id={batch_id}")
 
     return _start(stream, step, checkpoint, lag)

@@ -433,6 +433,7 @@ FROM x WHERE active GROUP BY location, abc_class, category"""
         "(SELECT count(*) FROM (SELECT DISTINCT category FROM inventory)) AS total_categories, (SELECT count(*) FROM (SELECT DISTINCT sku_id FROM inventory)) AS total_skus"
     )
     s["restored_counts"] = s["overview_counts"]
+    s["restored_rows"] = plain("SELECT * FROM inventory")
     s["table_row_counts"] = over(
         " UNION ALL ".join(
             f"SELECT '{name}' AS table_name, count(*) AS row_count FROM {view}"
@@ -450,14 +451,18 @@ FROM x WHERE active GROUP BY location, abc_class, category"""
     s["mean_days_all"] = over(f"SELECT {tally('q <= ss')} AS critical_items, count(*) AS total_items, {rnd('avg(CASE WHEN ads > 0 THEN q / ads ELSE 999 END)', 1)} AS avg_days_until_stockout FROM x")
     s["duplicate_keys"] = plain("SELECT sku_id, batch_id, count(*) AS copies FROM inventory GROUP BY sku_id, batch_id HAVING count(*) > 1")
     s["critical_item_list"] = over(
-        """SELECT string_agg(sku_name || ' at ' || location || ' has only ' || CAST(quantity_on_hand AS VARCHAR) || ' units left', ', ' ORDER BY quantity_on_hand, sku_name, location) AS critical_items
-FROM (SELECT quantity_on_hand, sku_name, location FROM x WHERE q <= ss ORDER BY quantity_on_hand, sku_name, location LIMIT 10)"""
+        """SELECT place // 100 AS part, string_agg(entry, ', ' ORDER BY place) AS critical_items
+FROM (SELECT entry, row_number() OVER (ORDER BY quantity_on_hand, entry) - 1 AS place
+  FROM (SELECT quantity_on_hand, sku_name || ' at ' || location || ' has only ' || CAST(quantity_on_hand AS VARCHAR) || ' units left' AS entry FROM x WHERE q <= ss) WHERE entry IS NOT NULL) GROUP BY 1"""
     )
     s["critical_item_entries"] = over(
         "SELECT quantity_on_hand, entry FROM (SELECT quantity_on_hand, sku_name || ' at ' || location || ' has only ' || CAST(quantity_on_hand AS VARCHAR) || ' units left' AS entry "
         "FROM x WHERE q <= ss) WHERE entry IS NOT NULL"
     )
-    s["critical_categories"] = over("SELECT string_agg(category, ', ' ORDER BY category) AS critical_categories FROM (SELECT DISTINCT category FROM x WHERE q <= ss)")
+    s["critical_categories"] = over(
+        """SELECT place // 100 AS part, string_agg(category, ', ' ORDER BY place) AS critical_categories
+FROM (SELECT category, row_number() OVER (ORDER BY category) - 1 AS place FROM (SELECT DISTINCT category FROM x WHERE q <= ss AND category IS NOT NULL)) GROUP BY 1"""
+    )
     s["daily_insight_row"] = over(
         f"""SELECT {DAY} AS insight_date, CAST((SELECT sum(n) FROM c) AS BIGINT) AS critical_count, CAST((SELECT sum(v) FROM c) AS DOUBLE) AS total_value,
   (SELECT string_agg(category, ', ' ORDER BY category) FROM (SELECT category FROM c ORDER BY n DESC, category LIMIT 5)) AS top_categories"""
@@ -576,9 +581,6 @@ FROM (SELECT *, {rnd("total_value / (sum(total_value) OVER ()) * 100", 1)} AS va
     for suffix, days in (("", 30), ("_long", 3650)):
         for name, measure in (("trend_stock", "current_stock"), ("trend_consumption", "consumption")):
             s[f"{name}{suffix}"] = over(f"SELECT snapshot_date, category, sum({measure}) AS {measure} FROM snap WHERE snapshot_date >= {DAY} - {days} GROUP BY snapshot_date, category", "snap")
-    s["trend_back_cast"] = over(
-        f"SELECT {DAY} - CAST(d AS INTEGER) AS snapshot_date, category, sum(greatest(CAST(0 AS DOUBLE), q + ads * d)) AS current_stock FROM x, range(0, 31) r(d) WHERE active GROUP BY d, category"
-    )
     s["stock_by_location"] = over("SELECT location, sum(current_stock) AS current_stock FROM snap GROUP BY location", "snap")
     s["status_by_location"] = s["latest_by_location_category"].replace("SELECT * EXCLUDE (place) FROM (SELECT *, row_number()", "SELECT location, CASE WHEN current_stock <= safety_stock THEN 'CRITICAL' WHEN current_stock <= reorder_point THEN 'LOW' ELSE 'HEALTHY' END AS stock_status, count(*) AS item_count FROM (SELECT *, row_number()") + " GROUP BY 1, 2"
     level = rnd("avg(current_stock / nullif(reorder_point, 0) * 100)", 1)
@@ -673,6 +675,12 @@ SELECT 1 AS batch_id, * FROM x WHERE active AND attention AND stock_age_days % 2
         """SELECT batch_id, sku_id, location, alert_type, priority, quantity_on_hand FROM (
 SELECT 0 AS batch_id, * FROM x WHERE active AND attention AND stock_age_days % 2 = 0 UNION ALL
 SELECT 1 AS batch_id, * FROM x WHERE active AND attention AND stock_age_days IS NOT NULL)"""
+    )
+    s["stream_alert_log_heartbeat"] = over(
+        """SELECT batch_id, sku_id, location, alert_type, priority, quantity_on_hand FROM (
+SELECT 0 AS batch_id, * FROM x WHERE active AND attention UNION ALL
+SELECT 1 AS batch_id, * FROM x WHERE active AND attention AND (sku_id IS NULL OR location IS NULL) UNION ALL
+SELECT 2 AS batch_id, * FROM x WHERE active AND attention)"""
     )
     s["generate_reorders"] = over(
         f"""SELECT sku_id, sku_name, category, location, order_qty AS recommended_qty, eoq AS economic_order_qty, score AS priority_score, unit_cost_usd, whole_order_value AS total_order_value_usd,
@@ -680,7 +688,7 @@ SELECT 1 AS batch_id, * FROM x WHERE active AND attention AND stock_age_days IS
         before=_LOG,
     )
     s["purge_resolved"] = plain(
-        f"SELECT location, resolved, count(*) AS kept_alerts FROM history WHERE NOT coalesce(resolved AND resolved_timestamp < {NOW} - INTERVAL 90 DAY, false) GROUP BY location, resolved", _HISTORY
+        f"SELECT sku_id, location, resolved, CAST(alert_timestamp AS DATE) AS alerted_on, CAST(resolved_timestamp AS DATE) AS resolved_on FROM history WHERE NOT coalesce(resolved AND resolved_timestamp < {NOW} - INTERVAL 90 DAY, false)", _HISTORY
     )
     s["resolve_alerts"] = plain(
         f"""SELECT sku_id, location, resolved OR hit AS resolved, CASE WHEN hit AND NOT resolved THEN {DAY} ELSE CAST(resolved_timestamp AS DATE) END AS resolved_on, CAST(alert_timestamp AS DATE) AS alerted_on,
@@ -688,12 +696,19 @@ SELECT 1 AS batch_id, * FROM x WHERE active AND attention AND stock_age_days IS
 FROM (SELECT *, EXISTS (SELECT 1 FROM inventory i WHERE i.abc_class = 'A' AND i.sku_id = history.sku_id AND i.warehouse_location = history.location) AS hit FROM history)""",
         _HISTORY,
     )
-    s["move_reorders"] = plain(
-        f"""SELECT l.sku_id, l.location, CAST(l.action_timestamp AS DATE) AS action_date, coalesce(k.status, l.status) AS status, CASE WHEN k.status = 'ORDERED' THEN {DAY} END AS order_date,
+    status = "CASE abc_class WHEN 'A' THEN 'ORDERED' WHEN 'B' THEN 'DELIVERED' END"
+    for name, rows in (("move_reorders", ""), ("move_reorders_in_order", "QUALIFY audit_date = max(audit_date) OVER (PARTITION BY sku_id, warehouse_location)")):
+        s[name] = plain(
+            f"""SELECT l.sku_id, l.location, CAST(l.action_timestamp AS DATE) AS action_date, coalesce(k.status, l.status) AS status, CASE WHEN k.status = 'ORDERED' THEN {DAY} END AS order_date,
   CASE WHEN k.status = 'DELIVERED' THEN {DAY} END AS actual_delivery_date
-FROM log l LEFT JOIN (SELECT sku_id, warehouse_location AS location, max(CASE abc_class WHEN 'A' THEN 'ORDERED' WHEN 'B' THEN 'DELIVERED' END) AS status FROM inventory WHERE abc_class IN ('A', 'B') GROUP BY ALL) k
+FROM log l LEFT JOIN (SELECT sku_id, location, CASE WHEN count(DISTINCT status) = 1 THEN max(status) END AS status
+  FROM (SELECT sku_id, warehouse_location AS location, {status} AS status FROM inventory WHERE abc_class IN ('A', 'B') {rows}) GROUP BY ALL) k
   ON l.sku_id = k.sku_id AND l.location = k.location""",
-        _LOG,
+            _LOG,
+        )
+    s["clashing_moves"] = plain(
+        f"""SELECT sku_id, warehouse_location AS location, min({status}) AS first_status, max({status}) AS other_status FROM inventory WHERE abc_class IN ('A', 'B')
+GROUP BY sku_id, warehouse_location HAVING count(DISTINCT abc_class) > 1"""
     )
     s["stock_override"] = plain("SELECT * FROM trial", _TRIAL)
     s["stock_override_critical"] = over("SELECT stock_status, count(*) AS item_count FROM health GROUP BY stock_status", "health", source="trial", before=_TRIAL)
@@ -703,7 +718,8 @@ FROM log l LEFT JOIN (SELECT sku_id, warehouse_location AS location, max(CASE ab
         _OLD, _NEW, _NET,
     )
     s["has_changes"] = plain("SELECT count(*) > 0 AS has_data FROM net", _OLD, _NEW, _NET)
-    s["applied_changes"] = plain(f"SELECT warehouse_location, category, count(*) AS rows, {total('quantity_on_hand')} AS units FROM new_state GROUP BY warehouse_location, category", _NEW)
+    s["applied_changes"] = plain(f"SELECT {_STATE_COLUMNS} FROM new_state", _NEW)
+    s["state_changes"] = s["inventory_changes"]
     headings = ", ".join(f'{name} AS "{heading}"' for name, heading in sinks.EXPORT_HEADINGS.items())
     s["export_reorder"] = over(f"SELECT {headings} FROM reorders WHERE location = 'NATION_1'", "reorders")
     shown = (
