@@ -2,33 +2,43 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-# One task sorts and buffers this many narrow rows without trouble. A key with more is
-# "hot", so there are at most (rows of the table / ROWS_PER_TASK) hot keys.
+from larder.functions.numeric import ratio
+
+# One task sorts and buffers this many narrow rows without trouble.
 ROWS_PER_TASK = 4_000_000
 
+# Keys are counted by hash bucket, so what is known about hot keys has at most this many
+# rows of two numbers (some 12 MB), whatever the table: the bound behind the broadcast.
+KEY_BUCKETS = 1 << 20
+
 SLICE, LEAD_IN, COPY, WEIGHT = "_slice", "_lead_in", "_copy", "_weight"
+_BUCKET, _DIGITS = "_bucket", "_digits"
 
+# Copies that are laid out from one array at a time
+_COPIES_AT_ONCE = 4096
 
-def hot_values(df: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK) -> list:
-    """Key values with more rows than one task should take.
 
-    The count combines map-side over one narrow column. What comes back is bounded by
-    rows / rows_per_task values, whatever the data look like.
-    """
-    counted = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    hot = counted.where((F.col("n") > rows_per_task) & F.col(key).isNotNull())
-    return [row[0] for row in hot.select(key).collect()]
+def _bucket(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(KEY_BUCKETS)).cast("int")
 
 
-def is_one_of(key: str, values: Sequence) -> Column:
-    return F.coalesce(F.col(key).isin(*values), F.lit(False))
+def hot_buckets(df: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Buckets of keys with more rows than one task should take, and how finely to cut them.
+
+    The count combines map-side over one narrow column; NULL is a key like any other. The
+    hexadecimal ``_digits`` are enough even if all rows of the bucket are of one key and day.
+    """
+    counted = df.groupBy(_bucket(key).alias(_BUCKET)).agg(F.count(F.lit(1)).alias("_rows"))
+    digits = F.ceil(F.log(16.0, F.col("_rows") / rows_per_task))
+    return counted.where(F.col("_rows") > rows_per_task).select(
+        _BUCKET, F.greatest(F.lit(1), digits).cast("int").alias(_DIGITS)
+    )
 
 
 def row_digest(*columns: str) -> Column:
@@ -37,31 +47,35 @@ def row_digest(*columns: str) -> Column:
 
 
 @dataclass(frozen=True)
-class Prepared:
-    """Rows laid out for a trailing window, the window to use, and whether any key was cut.
+class Parts:
+    """Rows for a trailing window: items left ``whole``, and hot ones ``cut`` into slices.
 
-    Only when a key was cut do the rows carry the bookkeeping columns.
+    Both have a ``_weight``, the number of original rows a row stands for. They stay two
+    frames, so that the plan of whole items is the plain window by key.
     """
 
-    rows: DataFrame
-    order: WindowSpec
-    sliced: bool
+    whole: DataFrame
+    cut: DataFrame
+    whole_order: WindowSpec
+    cut_order: WindowSpec
+
+    def compute(self, step: Callable[[DataFrame, WindowSpec], DataFrame]) -> Parts:
+        """Window columns on both; afterwards the rows that only led in a slice are gone."""
+        cut = step(self.cut, self.cut_order).where(~F.col(LEAD_IN)).drop(LEAD_IN, SLICE, COPY)
+        return replace(self, whole=step(self.whole, self.whole_order), cut=cut)
 
-    def finish(self, df: DataFrame) -> DataFrame:
-        """Drop the rows that only led in a slice."""
-        return df.where(~F.col(LEAD_IN)) if self.sliced else df
+    def filtered(self, condition: Column) -> Parts:
+        return replace(self, whole=self.whole.where(condition), cut=self.cut.where(condition))
 
-    def weighed(self, column: Column) -> Column:
-        """A summand, counted once per original row."""
-        return column * F.col(WEIGHT) if self.sliced else column
+    def with_column(self, name: str, value: Column) -> Parts:
+        return replace(self, whole=self.whole.withColumn(name, value), cut=self.cut.withColumn(name, value))
 
-    def counted(self, column: Column) -> Column:
-        """How many original rows have the column."""
-        return F.sum(F.when(column.isNotNull(), F.col(WEIGHT))) if self.sliced else F.count(column)
+    def weighted(self) -> DataFrame:
+        return self.whole.unionByName(self.cut)
 
-    def repeat(self, df: DataFrame) -> DataFrame:
-        """Back to one output row per original row."""
-        return repeat_by_weight(df) if self.sliced else df
+    def repeated(self) -> DataFrame:
+        """One output row per original row."""
+        return self.whole.drop(WEIGHT).unionByName(repeat_by_weight(self.cut))
 
 
 def windowed(
@@ -71,10 +85,12 @@ def windowed(
     tie: str,
     before: int,
     rows_per_task: int = ROWS_PER_TASK,
-) -> Prepared:
+) -> Parts:
     """Rows prepared for a window that looks back at most ``before`` rows within ``key``.
 
-    Without hot keys this is the plain window by key. The rows of hot keys are
+    One plan at every size: nothing runs while it is built. Which keys are cut is known from
+    ``hot_buckets`` while the query runs; where there are none, the adaptive planner drops
+    that branch. The rows of hot keys are
 
     * collapsed to distinct rows with a copy count. Only ``before + 1`` copies are laid
       out: from the last of them on, every further copy sees the same window, so that
@@ -83,29 +99,20 @@ def windowed(
       the window order, so a slice is an unbroken run of rows;
     * led in by the ``before`` rows that precede each slice, marked ``_lead_in``.
 
-    After computing the window the caller drops ``_lead_in`` rows and counts each row
-    ``_weight`` times, both through ``Prepared``.
+    Rows of one day and digest are ordered by all their columns: equal rows alone share a place.
     """
     names = df.columns
-    order = [F.col(day), F.col(tie), F.col(COPY)]
-    hot = hot_values(df, key, rows_per_task)
-    if not hot:
-        return Prepared(df, Window.partitionBy(key).orderBy(F.col(day), F.col(tie)), False)
-
-    cold = df.where(~is_one_of(key, hot)).select(
-        "*",
-        F.lit("").alias(SLICE),
-        F.lit(1).alias(COPY),
-        F.lit(1).cast("long").alias(WEIGHT),
-        F.lit(False).alias(LEAD_IN),
-    )
-    distinct = df.where(is_one_of(key, hot)).groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
-    busiest_day = distinct.groupBy(key, day).count().agg(F.max("count")).first()[0]
-    digits = max(0, math.ceil(math.log(max(1.0, busiest_day / rows_per_task), 16)))
+    rest = [n for n in names if n not in (key, day, tie)]
+    order = [F.col(day), F.col(tie), *[F.col(n) for n in rest]]
+    graded = df.withColumn(_BUCKET, _bucket(key))
+    hot = F.broadcast(hot_buckets(df, key, rows_per_task))
+
+    whole = graded.join(hot, _BUCKET, "left_anti").select(*names, F.lit(1).cast("long").alias(WEIGHT))
+    distinct = graded.join(hot, _BUCKET).groupBy(*names, _DIGITS).agg(F.count(F.lit(1)).alias("_n"))
     laid_out = F.least(F.col("_n"), F.lit(before + 1)).cast("int")
     sliced = distinct.select(
         *names,
-        F.concat_ws("/", F.col(day).cast("string"), F.substring(tie, 1, digits)).alias(SLICE),
+        F.concat_ws("/", F.col(day).cast("string"), F.col(tie).substr(F.lit(1), F.col(_DIGITS))).alias(SLICE),
         F.explode(F.sequence(F.lit(1), laid_out)).alias(COPY),
         "_n",
     ).select(
@@ -116,8 +123,9 @@ def windowed(
         F.lit(False).alias(LEAD_IN),
     )
 
-    newest_first = Window.partitionBy(key, SLICE).orderBy(*[c.desc() for c in order])
-    row = F.struct(day, tie, COPY, *[n for n in names if n not in (day, tie)])
+    cut_order = [*order, F.col(COPY)]
+    newest_first = Window.partitionBy(key, SLICE).orderBy(*[c.desc() for c in cut_order])
+    row = F.struct(day, tie, *rest, COPY)
     ends = (
         sliced.withColumn("_back", F.row_number().over(newest_first))
         .where(F.col("_back") <= before)
@@ -128,24 +136,45 @@ def windowed(
     gathered = F.flatten(F.collect_list("_rows").over(earlier))
     last_rows = F.when(F.size(gathered) > before, F.slice(gathered, -before, before)).otherwise(gathered)
     lead_in = (
-        ends.select(SLICE, last_rows.alias("_rows"))
-        .select(SLICE, F.explode("_rows").alias("_row"))
+        ends.select(key, SLICE, last_rows.alias("_rows"))
+        .select(key, SLICE, F.explode("_rows").alias("_row"))
         .select(
-            *[F.col("_row")[name].alias(name) for name in names],
+            *[F.col(key) if name == key else F.col("_row")[name].alias(name) for name in names],
             SLICE,
             F.col("_row")[COPY].alias(COPY),
             F.lit(0).cast("long").alias(WEIGHT),
             F.lit(True).alias(LEAD_IN),
         )
     )
-    rows = cold.unionByName(sliced).unionByName(lead_in)
-    return Prepared(rows, Window.partitionBy(key, SLICE).orderBy(*order), True)
+    return Parts(
+        whole,
+        sliced.unionByName(lead_in),
+        Window.partitionBy(key).orderBy(*order),
+        Window.partitionBy(key, SLICE).orderBy(*cut_order),
+    )
 
 
 def repeat_by_weight(df: DataFrame) -> DataFrame:
-    """Undo the copy count: one output row per original row."""
-    names = [n for n in df.columns if n not in (SLICE, LEAD_IN, COPY, WEIGHT)]
-    return df.select(*names, F.explode(F.sequence(F.lit(1).cast("long"), F.col(WEIGHT))).alias(COPY)).select(*names)
+    """Undo the copy count: one output row per original row.
+
+    In two steps, runs of copies and then the copies of a run, so that the array for a pile
+    of equal rows is shorter than the pile by that factor.
+    """
+    names = [n for n in df.columns if n != WEIGHT]
+    runs = F.sequence(F.lit(0).cast("long"), F.floor((F.col(WEIGHT) - 1) / _COPIES_AT_ONCE))
+    left = F.col(WEIGHT) - F.col("_run") * _COPIES_AT_ONCE
+    copies = F.sequence(F.lit(1).cast("long"), F.least(left, F.lit(_COPIES_AT_ONCE)))
+    return (
+        df.select(*names, WEIGHT, F.explode(runs).alias("_run"))
+        .select(*names, F.explode(copies).alias(COPY))
+        .select(*names)
+    )
+
+
+def weighted_mean(name: str) -> Column:
+    """Mean over the original rows that have the column."""
+    value, weight = F.col(name), F.col(WEIGHT)
+    return ratio(F.sum(value * weight), F.sum(F.when(value.isNotNull(), weight)))
 
 
 def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:

@@ -1,12 +1,14 @@
 """Change anomalies, demand volatility and latest-row operators.
 
-The order within an item is (audit date, digest of the row's identifying fields): total
-and reproducible, where audit date alone leaves rows of one day in any order.
+The order within an item is (audit date, digest of the row's identifying fields, the other
+columns in use): total and reproducible, where audit date alone leaves rows of one day in any order.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import replace
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from larder import constants as K
@@ -28,16 +30,14 @@ def _recent(inventory: DataFrame, as_of: str, lookback_days: int, *columns: str)
     return rows.select("sku_id", "audit_date", skew.row_digest(*TIE_COLUMNS).alias("tie"), *columns)
 
 
-def _changes(
-    inventory: DataFrame, as_of: str, lookback_days: int, rows_per_task: int, *columns: str
-) -> tuple[DataFrame, skew.Prepared]:
+def _changes(inventory: DataFrame, as_of: str, lookback_days: int, rows_per_task: int, *columns: str) -> skew.Parts:
+    def step(rows: DataFrame, order: WindowSpec) -> DataFrame:
+        return rows.withColumn("prev_qty", F.lag("quantity_on_hand").over(order)).withColumn(
+            "qty_change", F.col("quantity_on_hand") - F.col("prev_qty")
+        )
+
     recent = _recent(inventory, as_of, lookback_days, "quantity_on_hand", *columns)
-    prepared = skew.windowed(recent, "sku_id", "audit_date", "tie", 1, rows_per_task)
-    previous = F.lag("quantity_on_hand").over(prepared.order)
-    rows = prepared.rows.withColumn("prev_qty", previous).withColumn(
-        "qty_change", F.col("quantity_on_hand") - F.col("prev_qty")
-    )
-    return prepared.finish(rows), prepared
+    return skew.windowed(recent, "sku_id", "audit_date", "tie", 1, rows_per_task).compute(step)
 
 
 def audit_changes(
@@ -47,58 +47,61 @@ def audit_changes(
     rows_per_task: int = skew.ROWS_PER_TASK,
 ) -> DataFrame:
     """On-hand stock against the item's previous audit row."""
-    rows, prepared = _changes(inventory, as_of, lookback_days, rows_per_task, "warehouse_location")
-    return prepared.repeat(rows.drop("tie")).withColumns(
-        {"prev_qty": as_double("prev_qty"), "qty_change": as_double("qty_change")}
-    )
+    rows = _changes(inventory, as_of, lookback_days, rows_per_task, "warehouse_location").repeated()
+    return rows.drop("tie").withColumns({"prev_qty": as_double("prev_qty"), "qty_change": as_double("qty_change")})
 
 
-def _weighted_spread() -> tuple[dict[str, Column], Column, Column]:
-    """Exact sums per item, and mean and sample deviation made from them."""
+def _moments() -> dict[str, Column]:
+    """What an item's changes add up to: exact, so that they merge to the same bits in any order."""
     change, weight = F.col("qty_change").cast("decimal(16,2)"), F.col(skew.WEIGHT)
-    sums = {
-        "n": F.sum(weight),
-        "total": F.sum(change * weight),
-        "squares": F.sum(change * change * weight),
+    return {
+        "_n": F.sum(weight),
+        "_total": F.sum(change * weight),
+        "_squares": F.sum(change * change * weight),
+        "_least": F.min(change),
+        "_most": F.max(change),
     }
-    n, total, squares = as_double("n"), as_double("total"), as_double("squares")
-    variance = F.greatest(F.lit(0.0), ratio(squares - total * total / n, n - 1))
-    return sums, total / n, F.when(n > 1, F.sqrt(variance))
 
 
-def _with_item_statistics(changes: DataFrame, sliced: bool) -> DataFrame:
-    """Mean and sample deviation of the change per item, on every row.
+def _mean_and_spread() -> tuple[Column, Column]:
+    """Mean and sample deviation from the moments.
 
-    Where an item lies in one task a second window reuses its partitioning. Sliced items
-    get weighted sums that combine map-side; they come to one row per hot item, a number
-    that ``skew.hot_values`` bounds, so that side may be broadcast.
+    The difference of squares is taken in decimals, where nothing cancels, unless it needs
+    more digits than they have; changes that are all the same have no deviation.
+    """
+    n, total, squares = as_double("_n"), as_double("_total"), as_double("_squares")
+    whole_n = F.col("_n").cast("decimal(18,0)")
+    exact = F.try_subtract(F.try_multiply(whole_n, F.col("_squares")), F.try_multiply(F.col("_total"), F.col("_total")))
+    scatter = F.coalesce(as_double(exact), n * squares - total * total)
+    variance = F.greatest(F.lit(0.0), ratio(scatter, n * (n - 1)))
+    same = F.col("_least") == F.col("_most")
+    return ratio(total, n), F.when(n > 1, F.when(same, F.lit(0.0)).otherwise(F.sqrt(variance)))
+
+
+def _with_item_statistics(changes: skew.Parts) -> skew.Parts:
+    """Mean and sample deviation of the change per item, on every row, by one formula.
+
+    A whole item's moments are summed where its rows already are. Those of items in slices
+    combine map-side and are joined back; Spark picks the join by size and splits hot keys.
     """
-    change = as_double("qty_change")
     whole_item = Window.partitionBy("sku_id")
-    here = changes.where(F.col(skew.SLICE) == "") if sliced else changes
-    result = here.withColumns(
-        {"mean_change": F.avg(change).over(whole_item), "stddev_change": F.stddev_samp(change).over(whole_item)}
-    )
-    if not sliced:
-        return result
-    sums, mean, spread = _weighted_spread()
-    spread_out = changes.where(F.col(skew.SLICE) != "")
-    per_item = spread_out.groupBy(F.col("sku_id").alias("_sku")).agg(*[v.alias(k) for k, v in sums.items()])
-    statistics = per_item.select("_sku", mean.alias("mean_change"), spread.alias("stddev_change"))
-    joined = spread_out.join(F.broadcast(statistics), F.col("sku_id") == F.col("_sku")).drop("_sku")
-    return result.unionByName(joined)
-
-
-def _scored(
-    inventory: DataFrame, as_of: str, lookback_days: int, rows_per_task: int
-) -> tuple[DataFrame, skew.Prepared]:
+    whole = changes.whole.withColumns({name: m.over(whole_item) for name, m in _moments().items()})
+    per_item = changes.cut.groupBy(F.col("sku_id").alias("_sku")).agg(*[m.alias(n) for n, m in _moments().items()])
+    cut = changes.cut.join(per_item, F.col("sku_id").eqNullSafe(F.col("_sku"))).drop("_sku")
+    mean, spread = _mean_and_spread()
+
+    def described(rows: DataFrame) -> DataFrame:
+        return rows.withColumns({"mean_change": mean, "stddev_change": spread}).drop(*_moments())
+
+    return replace(changes, whole=described(whole), cut=described(cut))
+
+
+def _scored(inventory: DataFrame, as_of: str, lookback_days: int, rows_per_task: int) -> skew.Parts:
     """Every change with its item's mean, deviation and z-score."""
-    rows, prepared = _changes(
-        inventory, as_of, lookback_days, rows_per_task, "sku_name", "category", "warehouse_location"
-    )
-    scored = _with_item_statistics(rows.where(F.col("qty_change").isNotNull()), prepared.sliced)
+    changes = _changes(inventory, as_of, lookback_days, rows_per_task, "sku_name", "category", "warehouse_location")
     score = ratio(as_double("qty_change") - F.col("mean_change"), F.col("stddev_change"))
-    return scored.withColumn("z_score", _settled(score)), prepared
+    known = changes.filtered(F.col("qty_change").isNotNull())
+    return _with_item_statistics(known).with_column("z_score", _settled(score))
 
 
 def change_statistics(
@@ -108,8 +111,7 @@ def change_statistics(
     rows_per_task: int = skew.ROWS_PER_TASK,
 ) -> DataFrame:
     """All changes, usual or not, beside the statistics of their item."""
-    rows, prepared = _scored(inventory, as_of, lookback_days, rows_per_task)
-    return prepared.repeat(rows).select(
+    return _scored(inventory, as_of, lookback_days, rows_per_task).repeated().select(
         "sku_id",
         "audit_date",
         as_double("qty_change").alias("qty_change"),
@@ -127,11 +129,11 @@ def inventory_anomalies(
 
     An item whose changes never vary has no z-score and is left out.
     """
-    scored, prepared = _scored(inventory, as_of, lookback_days, rows_per_task)
     z = F.abs("z_score")
     severe, moderate, normal = K.ANOMALY_SEVERITIES
     rise, fall = K.CHANGE_TEXT
-    return prepared.repeat(scored.where(z > K.Z_MODERATE)).select(
+    unusual = _scored(inventory, as_of, lookback_days, rows_per_task).filtered(z > K.Z_MODERATE)
+    return unusual.repeated().select(
         "sku_id",
         "sku_name",
         "category",
@@ -152,17 +154,16 @@ _FORECAST_GROUP = (
 )
 
 
-def _trailing(
-    inventory: DataFrame, as_of: str, lookback_days: int, rows_per_task: int, *columns: str
-) -> tuple[DataFrame, skew.Prepared]:
+def _trailing(inventory: DataFrame, as_of: str, lookback_days: int, rows_per_task: int, *columns: str) -> skew.Parts:
+    def step(rows: DataFrame, order: WindowSpec) -> DataFrame:
+        trailing = order.rowsBetween(1 - K.TRAILING_ROWS, Window.currentRow)
+        sales = as_double("avg_daily_sales")
+        return rows.withColumns(
+            {"moving_avg_30d": F.avg(sales).over(trailing), "demand_volatility": F.stddev_samp(sales).over(trailing)}
+        )
+
     recent = _recent(inventory, as_of, lookback_days, *columns)
-    prepared = skew.windowed(recent, "sku_id", "audit_date", "tie", K.TRAILING_ROWS - 1, rows_per_task)
-    trailing = prepared.order.rowsBetween(1 - K.TRAILING_ROWS, Window.currentRow)
-    sales = as_double("avg_daily_sales")
-    rows = prepared.rows.withColumns(
-        {"moving_avg_30d": F.avg(sales).over(trailing), "demand_volatility": F.stddev_samp(sales).over(trailing)}
-    )
-    return prepared.finish(rows), prepared
+    return skew.windowed(recent, "sku_id", "audit_date", "tie", K.TRAILING_ROWS - 1, rows_per_task).compute(step)
 
 
 def trailing_demand(
@@ -172,8 +173,8 @@ def trailing_demand(
     rows_per_task: int = skew.ROWS_PER_TASK,
 ) -> DataFrame:
     """Mean and deviation of daily sales over the last 30 audit rows of the item."""
-    rows, prepared = _trailing(inventory, as_of, lookback_days, rows_per_task, "avg_daily_sales", "warehouse_location")
-    return prepared.repeat(rows.drop("tie")).withColumns(
+    rows = _trailing(inventory, as_of, lookback_days, rows_per_task, "avg_daily_sales", "warehouse_location").repeated()
+    return rows.drop("tie").withColumns(
         {
             "avg_daily_sales": as_double("avg_daily_sales"),
             "moving_avg_30d": round_to(F.col("moving_avg_30d"), 4),
@@ -193,14 +194,13 @@ def demand_forecast(
     The grouping has three keys that are not shown, so equal rows can appear; the final
     ``distinct`` folds them.
     """
-    rows, prepared = _trailing(
+    rows = _trailing(
         inventory, as_of, lookback_days, rows_per_task,
         *_FORECAST_GROUP[1:], "avg_daily_sales", "forecast_next_30d",
-    )
-    sales, volatility = F.col("avg_daily_sales"), F.col("demand_volatility")
+    ).weighted()
     grouped = rows.groupBy(*_FORECAST_GROUP).agg(
-        ratio(F.sum(prepared.weighed(sales)), prepared.counted(sales)).alias("demand"),
-        ratio(F.sum(prepared.weighed(volatility)), prepared.counted(volatility)).alias("spread"),
+        skew.weighted_mean("avg_daily_sales").alias("demand"),
+        skew.weighted_mean("demand_volatility").alias("spread"),
         F.max("forecast_next_30d").alias("forecast_30d"),
     )
     variation = _settled(ratio(F.col("spread"), F.col("demand")))

@@ -53,10 +53,21 @@ def test_counts_of_items_and_categories_copy_no_rows(inventory, table):
     assert "Expand" not in plan(table(inventory))
 
 
-def test_anomalies_sort_and_shuffle_once(inventory):
-    df = windows.inventory_anomalies(inventory, AS_OF, 3650)
-    assert shuffles(df) == 1
-    assert plan(df).count("Sort [") == 1
+def _final_plan(df):
+    """The plan that ran, after the adaptive planner's last decision."""
+    df.collect()
+    text = plan(df)
+    assert "isFinalPlan=true" in text
+    return text.split("== Initial Plan ==")[0]
+
+
+@pytest.mark.parametrize("table", [windows.inventory_anomalies, windows.change_statistics, windows.trailing_demand])
+def test_item_windows_sort_and_shuffle_once_without_hot_items(inventory, table):
+    """Beside the count by key bucket, which is one row per bucket."""
+    text = _final_plan(table(inventory, AS_OF, 3650))
+    assert text.count(" Sort [") == 1
+    assert text.count("hashpartitioning(sku_id") == 1
+    assert "SortMergeJoin" not in text
 
 
 def test_quiet_period_is_an_anti_join(inventory, spark):

@@ -89,17 +89,86 @@ def test_cut_tables_equal_plain_tables(skewed, table, rows_per_task):
 
 
 def test_only_frequent_keys_are_hot(skewed):
-    assert skew.hot_values(skewed, "sku_id", 100) == ["HOT"]
-    assert skew.hot_values(skewed, "sku_id", 10_000) == []
+    def items_of(hot):
+        named = skewed.withColumn(skew._BUCKET, skew._bucket("sku_id")).join(hot, skew._BUCKET)
+        return {(r.sku_id, r._digits) for r in named.select("sku_id", skew._DIGITS).collect()}
+
+    assert items_of(skew.hot_buckets(skewed, "sku_id", 100)) == {("HOT", 1)}
+    assert items_of(skew.hot_buckets(skewed, "sku_id", 10)) == {("HOT", 2)}
+    assert items_of(skew.hot_buckets(skewed, "sku_id", 10_000)) == set()
 
 
 def test_slices_of_a_hot_item_stay_small(skewed):
     recent = windows._recent(skewed, AS_OF, 90, "quantity_on_hand")
-    prepared = skew.windowed(recent, "sku_id", "audit_date", "tie", 1, 20)
-    sizes = prepared.rows.groupBy("sku_id", skew.SLICE).count().agg(F.max("count")).first()[0]
-    assert prepared.sliced
+    parts = skew.windowed(recent, "sku_id", "audit_date", "tie", 1, 20)
+    sizes = parts.cut.groupBy("sku_id", skew.SLICE).count().agg(F.max("count")).first()[0]
     assert sizes <= 2 * 20
-    assert prepared.rows.agg(F.sum(skew.WEIGHT)).first()[0] == skewed.count()
+    assert {r.sku_id for r in parts.whole.collect()} == {"COLD"}
+    assert parts.compute(lambda rows, order: rows).weighted().agg(F.sum(skew.WEIGHT)).first()[0] == skewed.count()
+
+
+@pytest.fixture(scope="module")
+def unnamed(spark, skewed):
+    """The hot item without its name, a pile of rows of one tie that differ elsewhere, and a steady item."""
+    from larder.session import scratch_path
+
+    sku = F.when(F.col("sku_id") != "HOT", F.col("sku_id"))
+    alike = skewed.where("batch_id = 'PILE'").limit(1).crossJoin(spark.range(40))
+    # the same identifying fields, other sales
+    alike = alike.withColumn("avg_daily_sales", F.col("id").cast("decimal(18,2)")).select(skewed.columns)
+    steady = skewed.where("batch_id = 'LAST'").crossJoin(spark.range(12).toDF("n"))
+    steady = steady.withColumns({
+        "sku_id": F.lit("STEADY"),
+        "audit_date": F.expr("date_add(audit_date, -cast(n as int))"),
+        "quantity_on_hand": (F.col("n") * 0 + 900 - F.col("n") * 3).cast(skewed.schema["quantity_on_hand"].dataType),
+    }).select(skewed.columns)
+    path = scratch_path(spark, "unnamed")
+    skewed.unionByName(alike.to(skewed.schema)).withColumn("sku_id", sku).unionByName(steady.to(skewed.schema)).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@pytest.mark.parametrize(
+    "table", [windows.audit_changes, windows.change_statistics, windows.trailing_demand, windows.demand_forecast]
+)
+def test_items_without_a_name_are_cut_too(unnamed, table):
+    plain = _rows(table(unnamed, AS_OF, 90), 4)
+    assert sum(plain.values()) and any(row[0] is None for row in plain)
+    assert _rows(table(unnamed, AS_OF, 90, 8), 4) == plain
+
+
+@pytest.mark.parametrize("rows_per_task", [5, 10_000])
+def test_statistics_match_brute_force(unnamed, rows_per_task):
+    expected = Counter()
+    for sku, items in _ordered(unnamed).items():
+        pairs = [(b.audit_date, float(b.quantity_on_hand) - float(a.quantity_on_hand)) for a, b in zip(items, items[1:])]
+        changes = [c for _, c in pairs]
+        mean, spread = statistics.fmean(changes), statistics.stdev(changes) if len(changes) > 1 else None
+        for day, change in pairs:
+            score = round((change - mean) / spread, 4) if spread else None
+            expected[(sku, day, change, round(mean, 4), None if spread is None else round(spread, 4), score)] += 1
+    got = _rows(windows.change_statistics(unnamed, AS_OF, 90, rows_per_task), 4)
+    assert got == expected
+    assert any(row[0] == "STEADY" and row[4] == 0.0 and row[5] is None for row in got)
+
+
+@pytest.mark.parametrize(
+    "table",
+    [windows.audit_changes, windows.inventory_anomalies, windows.trailing_demand, windows.demand_forecast],
+)
+def test_building_a_window_query_starts_no_job(spark, skewed, table):
+    group = f"building {table.__name__}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        table(skewed, AS_OF, 90, 5)
+        assert list(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_large_piles_come_back_from_short_runs(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 4096), ("c", 4097), ("d", 20_001)], f"k string, {skew.WEIGHT} bigint")
+    got = {r.k: r["count"] for r in skew.repeat_by_weight(df).groupBy("k").count().collect()}
+    assert got == {"a": 1, "b": 4096, "c": 4097, "d": 20_001}
 
 
 @pytest.mark.parametrize("k", [3, 10, 1500])
