@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder import constants as K
 from larder.functions import metrics as M
 from larder.functions import predicates as P
-from larder.functions.numeric import as_double, exact_sum, ratio, round_to
+from larder.functions.numeric import as_double, exact_sum, mean, ratio, round_to
 from larder.operators.windows import latest_by_location_category, latest_snapshot
 
 
@@ -44,7 +44,8 @@ def status_by_location(snapshots: DataFrame) -> DataFrame:
 
 
 def _level() -> Column:
-    return ratio(F.col("current_stock"), F.col("reorder_point")) * 100
+    """Stock in percent of the reorder point, as a decimal: sums do not depend on row order."""
+    return (ratio(F.col("current_stock"), F.col("reorder_point")) * 100).cast("decimal(28,6)")
 
 
 def item_snapshot_stats(snapshots: DataFrame, item: str | None = None) -> DataFrame:
@@ -54,7 +55,7 @@ def item_snapshot_stats(snapshots: DataFrame, item: str | None = None) -> DataFr
         latest = latest.where(F.col("item_name") == item)
     return latest.groupBy("item_name").agg(
         F.sum("current_stock").alias("total_stock"),
-        round_to(F.avg(_level()), 1).alias("avg_stock_pct"),
+        round_to(mean(_level()), 1).alias("avg_stock_pct"),
         F.count_if(F.col("current_stock") <= F.col("safety_stock")).alias("critical_locations"),
     )
 
@@ -67,9 +68,22 @@ def item_stock_by_location(snapshots: DataFrame, item: str | None = None) -> Dat
 
 
 def trend_summary(snapshots: DataFrame) -> DataFrame:
-    return latest_snapshot(snapshots).agg(
-        F.count_distinct("item_name").alias("unique_items"),
-        F.count_distinct("location").alias("locations"),
-        round_to(F.avg(_level()), 1).alias("avg_stock_pct"),
-        F.count_if(F.col("current_stock") < F.col("reorder_point") * K.RESTOCK_SHARE).alias("items_needing_restock"),
+    """Items, places, level and needs of the latest snapshot in one row.
+
+    Rows fold to one cell per item and place. An item counts at its first place alone, so
+    both distinct counts come from sums over the places and no row is copied.
+    """
+    below = F.col("current_stock") < F.col("reorder_point") * K.RESTOCK_SHARE
+    cells = latest_snapshot(snapshots).groupBy("item_name", "location").agg(
+        F.sum(_level()).alias("level"), F.count(_level()).alias("levels"), F.count_if(below).alias("needy")
+    )
+    first_place = F.row_number().over(Window.partitionBy("item_name").orderBy("location")) == 1
+    places = cells.withColumn("first", first_place & F.col("item_name").isNotNull()).groupBy("location").agg(
+        F.count_if("first").alias("items"), *[F.sum(n).alias(n) for n in ("level", "levels", "needy")]
+    )
+    return places.agg(
+        F.coalesce(F.sum("items"), F.lit(0)).alias("unique_items"),
+        F.count("location").alias("locations"),
+        round_to(ratio(F.sum("level"), F.sum("levels")), 1).alias("avg_stock_pct"),
+        F.coalesce(F.sum("needy"), F.lit(0)).alias("items_needing_restock"),
     )
