@@ -17,7 +17,7 @@ from larder import constants as K
 from larder.functions import metrics as M
 from larder.functions import predicates as P
 from larder.functions.numeric import as_double, count_when, ladder, ratio, round_to
-
+from larder.operators.distinct import is_first
 
 
 def located(inventory: DataFrame) -> DataFrame:
@@ -261,12 +261,20 @@ def category_heatmap(inventory: DataFrame) -> DataFrame:
 
 def overview_counts(inventory: DataFrame) -> DataFrame:
     """Table size and number of distinct values, NULL counting as a value."""
-    cells = inventory.groupBy("warehouse_location", "category", "sku_id").agg(F.count(F.lit(1)).alias("rows"))
-    return cells.agg(
+    places = ("warehouse_location", "category")
+    cells = inventory.groupBy(*places, "sku_id").agg(F.count(F.lit(1)).alias("rows"))
+    folded = cells.withColumn("item", is_first(["sku_id"], *places)).groupBy(*places).agg(
+        F.sum("rows").alias("rows"), F.count_if("item").alias("items")
+    )
+    marked = folded.withColumns({
+        "first_location": is_first(["warehouse_location"], "category"),
+        "first_category": is_first(["category"], "warehouse_location"),
+    })
+    return marked.agg(
         F.coalesce(F.sum("rows"), F.lit(0)).alias("total_records"),
-        F.count_distinct(F.struct("warehouse_location")).alias("total_locations"),
-        F.count_distinct(F.struct("category")).alias("total_categories"),
-        F.count_distinct(F.struct("sku_id")).alias("total_skus"),
+        F.count_if("first_location").alias("total_locations"),
+        F.count_if("first_category").alias("total_categories"),
+        F.coalesce(F.sum("items"), F.lit(0)).alias("total_skus"),
     )
 
 
@@ -281,12 +289,16 @@ def table_row_counts(inventory: DataFrame) -> DataFrame:
             count_when(P.needs_reorder()).alias("reorders"),
         )
     )
-    counts = cells.agg(
+    marked = cells.withColumns({
+        "first_place": is_first(("location", "warehouse_id"), "category"),
+        "first_cell": is_first(("location", "category"), "warehouse_id"),
+    })
+    counts = marked.agg(
         F.struct(F.lit("stock_health").alias("t"), F.coalesce(F.sum("health"), F.lit(0)).alias("n")).alias("a"),
         F.struct(F.lit("active_alerts").alias("t"), F.coalesce(F.sum("alerts"), F.lit(0)).alias("n")).alias("b"),
         F.struct(F.lit("reorder_recommendations").alias("t"), F.coalesce(F.sum("reorders"), F.lit(0)).alias("n")).alias("c"),
-        F.struct(F.lit("location_performance").alias("t"), F.count_distinct(F.struct("location", "warehouse_id")).alias("n")).alias("d"),
-        F.struct(F.lit("category_heatmap").alias("t"), F.count_distinct(F.struct("location", "category")).alias("n")).alias("e"),
+        F.struct(F.lit("location_performance").alias("t"), F.count_if("first_place").alias("n")).alias("d"),
+        F.struct(F.lit("category_heatmap").alias("t"), F.count_if("first_cell").alias("n")).alias("e"),
     )
     return counts.select(F.inline(F.array("a", "b", "c", "d", "e")).alias("table_name", "row_count"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larder import constants as K
 from larder.functions import metrics as M
+from larder.functions import predicates as P
 from larder.functions.numeric import (
     as_double,
     count_when,
@@ -17,6 +18,8 @@ from larder.functions.numeric import (
     ratio,
     round_to,
 )
+from larder.operators import items
+from larder.operators.distinct import counted_once, first_places
 from larder.operators.ranking import joined_text, numbered, ranked
 from larder.operators.skew import amount_counts, exact_median
 
@@ -52,7 +55,7 @@ def alerts_by_priority(alerts: DataFrame) -> DataFrame:
 
 
 def inventory_summary(health: DataFrame) -> DataFrame:
-    """One-row overview. Three distinct counts run over (location, category, sku) cells."""
+    """One-row overview. Three distinct counts over (location, category, sku) cells, without copied rows."""
     cells = health.groupBy("location", "category", "sku_id").agg(
         F.sum("total_inventory_value_usd").alias("value"),
         count_when(_is(K.CRITICAL)).alias("critical"),
@@ -69,10 +72,11 @@ def inventory_summary(health: DataFrame) -> DataFrame:
     def summed(column: str) -> Column:
         return F.coalesce(F.sum(column), F.lit(0))
 
-    return cells.agg(
-        F.count_distinct("sku_id").alias("total_items"),
-        F.count_distinct("location").alias("total_locations"),
-        F.count_distinct("category").alias("total_categories"),
+    places = counted_once(cells, "sku_id", ("location", "category"), "items")
+    return first_places(places, ("location", "category"), ("locations", "categories")).agg(
+        summed("items").alias("total_items"),
+        F.count_if("locations").alias("total_locations"),
+        F.count_if("categories").alias("total_categories"),
         as_double(F.sum("value")).alias("total_value"),
         summed("critical").alias("critical_count"),
         summed("low").alias("low_count"),
@@ -300,72 +304,145 @@ def insights_by_audit_date(inventory: DataFrame) -> DataFrame:
     return _insight(per_category.groupBy("audit_date"), F.max("audit_date")).drop("audit_date")
 
 
-def insight_context(health: DataFrame, reorders: DataFrame) -> DataFrame:
-    """Everything an insight text needs, as one nested row.
-
-    Each part is a small aggregate, brought together by scalar subqueries.
-    """
-    overview = inventory_summary(health)
+_STATES = (K.CRITICAL, K.LOW, K.MODERATE, K.HEALTHY)
+_INSIGHT_KEYS = ("location", "category", "abc_class")
+_LISTED = 10
+
+
+def _insight_cells(inventory: DataFrame) -> DataFrame:
+    """One row per (location, category, class) with the summed measures of active rows; an item counts once."""
+    needs = P.needs_reorder()
+    rows = inventory.where(P.is_active()).select(
+        F.col("warehouse_location").alias("location"),
+        "category",
+        "abc_class",
+        "sku_id",
+        F.col("total_inventory_value_usd").alias("value"),
+        M.stock_status().alias("stock_status"),
+        M.days_until_stockout(no_demand=K.NO_DEMAND_DAYS).alias("days_until_stockout"),
+        M.risk_score().cast("decimal(18,0)").alias("risk"),
+        needs.alias("due"),
+        F.when(needs, M.priority_score()).alias("score"),
+        F.when(needs, M.estimated_order_value().cast("decimal(18,2)")).alias("order_value"),
+    )
+    cells = rows.groupBy(*_INSIGHT_KEYS, "sku_id").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum("value").alias("value"),
+        *[count_when(_is(s)).alias(s.lower()) for s in _STATES],
+        *[count_when(_within(d)).alias(f"d{d}") for d in (3, 7, 14)],
+        F.sum(_known_days().cast("decimal(18,1)")).alias("days"),
+        F.count(_known_days()).alias("days_n"),
+        F.sum("risk").alias("risk"),
+        F.count("risk").alias("risk_n"),
+        count_when(F.col("due")).alias("due"),
+        count_when(F.col("score") >= K.URGENT_SCORE).alias("urgent"),
+        F.sum("order_value").alias("order_value"),
+    )
+    return counted_once(cells, "sku_id", _INSIGHT_KEYS, "items")
 
-    def one_row(df: DataFrame) -> Column:
-        return df.select(F.struct(*df.columns)).scalar()
 
-    def in_order(df: DataFrame, *sort: Column) -> Column:
-        """Rows of a short list as an array, in the order of ``sort``."""
-        keyed = F.struct(*[s.alias(f"_s{i}") for i, s in enumerate(sort)], F.struct(*df.columns).alias("row"))
-        return df.agg(F.transform(F.sort_array(F.collect_list(keyed)), lambda e: e["row"])).scalar()
+def insight_context(inventory: DataFrame) -> DataFrame:
+    """Everything an insight text needs, as one nested row.
 
-    top_items = ranked(
-        health.select("sku_name", "location", "category", "quantity_on_hand", "days_until_stockout", "risk_score"),
-        10,
-        F.desc("risk_score"),
+    All figures come from one scan: rows fold to cells, and one pass of grouping sets over the cells gives the
+    whole, the classes, the locations and the categories. Only the ten worst places of a kind reach the row. The
+    worst items are a second scan. An empty table gives counts of 0 and empty lists.
+    """
+    cells = _insight_cells(inventory)
+    measures = [c for c in cells.columns if c not in _INSIGHT_KEYS]
+    marked = first_places(cells, ("location", "category"), ("locations", "categories"), "abc_class")
+    sets = marked.groupingSets([[], ["abc_class"], ["location"], ["category"]], *_INSIGHT_KEYS).agg(
+        F.grouping_id().alias("kind"),
+        F.count_if("locations").alias("locations"),
+        F.count_if("categories").alias("categories"),
+        *[F.sum(m).alias(m) for m in measures],
     )
-    spark = health.sparkSession
-    parts = spark.range(1).select(
-        one_row(overview).alias("overview"),
-        in_order(abc_summary(health), F.col("abc_class")).alias("abc_classes"),
-        in_order(location_breakdown(health), -F.col("critical"), F.col("location")).alias("locations"),
-        in_order(category_breakdown(health), -F.col("critical"), F.col("category")).alias("categories"),
-        one_row(reorder_stats(reorders)).alias("reorders"),
-        in_order(
-            top_items,
-            -F.col("risk_score"), F.col("sku_name"), F.col("location"), F.col("category"), F.col("quantity_on_hand"),
-        ).alias("top_items"),
+    whole, by_class, by_location, by_category = (F.col("kind") == kind for kind in (0b111, 0b110, 0b011, 0b101))
+    name = F.coalesce("location", "category")
+    worst_first = Window.partitionBy("kind", "abc_class").orderBy(F.desc("critical"), F.asc_nulls_last(name))
+    kept = sets.withColumn("place", F.row_number().over(worst_first)).where(F.col("place") <= _LISTED)
+
+    def value(column: str) -> Column:
+        return F.max(F.when(whole, F.col(column)))
+
+    def count(column: str) -> Column:
+        return F.coalesce(value(column), F.lit(0))
+
+    def listed(kind: Column, sort: Column, *columns: Column) -> Column:
+        entries = F.collect_list(F.when(kind, F.struct(sort.alias("_sort"), F.struct(*columns).alias("row"))))
+        return F.transform(F.sort_array(entries), lambda e: e["row"])
+
+    class_order = F.struct(F.col("abc_class").isNull(), F.col("abc_class"))
+    figures = kept.agg(
+        F.struct(
+            count("items").alias("total_items"),
+            count("locations").alias("total_locations"),
+            count("categories").alias("total_categories"),
+            as_double(value("value")).alias("total_value"),
+            *[count(s.lower()).alias(f"{s.lower()}_count") for s in _STATES],
+            *[count(f"d{d}").alias(f"days_{d}_count") for d in (3, 7, 14)],
+            round_to(ratio(value("days"), value("days_n")), 1).alias("avg_days_to_stockout"),
+        ).alias("overview"),
+        listed(
+            by_class, class_order,
+            F.col("abc_class"), F.col("rows").alias("item_count"),
+            as_double("value").alias("value"), F.col("critical").alias("critical_count"),
+        ).alias("abc_classes"),
+        listed(by_location, F.col("place"), *[F.col(c) for c in ("location", "critical", "low", "healthy")]).alias("locations"),
+        listed(
+            by_category, F.col("place"),
+            F.col("category"), F.col("critical"), round_to(ratio(F.col("risk"), F.col("risk_n")), 1).alias("avg_risk"),
+        ).alias("categories"),
+        F.struct(
+            count("due").alias("items_to_reorder"),
+            count("urgent").alias("urgent_items"),
+            F.coalesce(as_double(value("order_value")), F.lit(0.0)).alias("total_order_value"),
+        ).alias("reorders"),
     )
 
     def status(name: str) -> Column:
-        count = F.col(f"overview.{name.lower()}_count")
-        pct = F.coalesce(round_to(ratio(count, F.col("overview.total_items")) * 100, 1), F.lit(0.0))
-        return F.struct(F.lit(name).alias("status"), count.alias("count"), pct.alias("pct"))
+        n = F.col(f"overview.{name.lower()}_count")
+        pct = F.coalesce(round_to(ratio(n, F.col("overview.total_items")) * 100, 1), F.lit(0.0))
+        return F.struct(F.lit(name).alias("status"), n.alias("count"), pct.alias("pct"))
+
+    return figures.select("*", _worst_items(inventory).alias("top_items"), F.array(*[status(s) for s in _STATES]).alias("statuses"))
 
-    return parts.withColumn("statuses", F.array(*[status(s) for s in (K.CRITICAL, K.LOW, K.MODERATE, K.HEALTHY)]))
+
+def _worst_items(inventory: DataFrame) -> Column:
+    """The ten items of the highest risk, worst first, as an array."""
+    columns = ("sku_name", "location", "category", "quantity_on_hand", "days_until_stockout", "risk_score")
+    top = ranked(items.stock_health(inventory).select(*columns), _LISTED, F.desc("risk_score"))
+    rows = F.struct((-F.col("risk_score")).alias("_risk"), *[F.col(c).alias(f"_{c}") for c in columns[:-1]], F.struct(*columns).alias("row"))
+    return top.agg(F.transform(F.sort_array(F.collect_list(rows)), lambda e: e["row"])).scalar()
 
 
 def insight_facts(context: DataFrame) -> DataFrame:
-    """The nested row laid out as (section, place, name, measure, value)."""
-
-    def facts(section: str, rows: Column, name: str, *measures: str) -> DataFrame:
-        flat = context.select(F.posexplode(rows).alias("place", "r"))
-        return flat.select(
-            F.lit(section).alias("section"),
-            (F.col("place") + 1).alias("place"),
-            F.col(f"r.{name}").alias("name") if name else F.lit("").alias("name"),
-            F.explode(F.map_from_arrays(
-                F.array(*[F.lit(m) for m in measures]),
-                F.array(*[as_double(F.col(f"r.{m}")) for m in measures]),
-            )).alias("measure", "value"),
-        )
+    """The nested row laid out as (section, place, name, measure, value), from one pass over it."""
+
+    def facts(section: str, rows: Column, name: str, *measures: str) -> Column:
+        def of_row(row: Column, at: Column) -> Column:
+            named = row[name].cast("string") if name else F.lit("")
+            return F.array(*[
+                F.struct(
+                    F.lit(section).alias("section"), (at + 1).alias("place"), named.alias("name"),
+                    F.lit(m).alias("measure"), as_double(row[m]).alias("value"),
+                )
+                for m in measures
+            ])
+
+        return F.flatten(F.transform(rows, of_row))
 
     overview = (
         "total_items", "total_locations", "total_categories", "total_value", "avg_days_to_stockout",
         "days_3_count", "days_7_count", "days_14_count",
     )
-    return (
-        facts("overview", F.array("overview"), "", *overview)
-        .unionByName(facts("status", F.col("statuses"), "status", "count", "pct"))
-        .unionByName(facts("abc", F.col("abc_classes"), "abc_class", "item_count", "value", "critical_count"))
-        .unionByName(facts("location", F.col("locations"), "location", "critical", "low", "healthy"))
-        .unionByName(facts("category", F.col("categories"), "category", "critical", "avg_risk"))
-        .unionByName(facts("reorder", F.array("reorders"), "", "items_to_reorder", "urgent_items", "total_order_value"))
-        .unionByName(facts("top_item", F.col("top_items"), "sku_name", "quantity_on_hand", "days_until_stockout", "risk_score"))
+    parts = (
+        facts("overview", F.array("overview"), "", *overview),
+        facts("status", F.col("statuses"), "status", "count", "pct"),
+        facts("abc", F.col("abc_classes"), "abc_class", "item_count", "value", "critical_count"),
+        facts("location", F.col("locations"), "location", "critical", "low", "healthy"),
+        facts("category", F.col("categories"), "category", "critical", "avg_risk"),
+        facts("reorder", F.array("reorders"), "", "items_to_reorder", "urgent_items", "total_order_value"),
+        facts("top_item", F.col("top_items"), "sku_name", "quantity_on_hand", "days_until_stockout", "risk_score"),
     )
+    return context.select(F.inline(F.concat(*parts)))

@@ -165,12 +165,7 @@ def _register_rollups() -> None:
     for metric in ("risk", "cover", "critical_pct"):
         _add(f"heatmap_pivot_{metric}", pivot(metric))
 
-    def insight_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-        inventory = derived.inventory(spark, sf_dir)
-        context = summaries.insight_context(_health(inventory), items.reorder_recommendations(inventory))
-        return summaries.insight_facts(context)
-
-    _add("insight_context", insight_context)
+    _add("insight_context", _on(summaries.insight_facts, summaries.insight_context))
 
 
 def _register_windows() -> None:

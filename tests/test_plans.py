@@ -8,7 +8,7 @@ import re
 
 import pytest
 
-from larder.operators import items, rollups, summaries, windows
+from larder.operators import items, rollups, summaries, trends, windows
 from larder.plans import logs
 from larder.plans.registry import QUERIES
 from larder.sources import derived
@@ -81,9 +81,22 @@ def test_top_list_keeps_k_rows_per_task(inventory):
     assert "TakeOrderedAndProject" in plan(ranking.top_critical_items(items.stock_health(inventory)))
 
 
-def test_insight_context_shares_no_cross_join(inventory):
-    df = summaries.insight_context(items.stock_health(inventory), items.reorder_recommendations(inventory))
-    assert "CartesianProduct" not in plan(df) and "BroadcastNestedLoopJoin" not in plan(df)
+def test_insight_context_reads_the_inventory_twice(inventory):
+    df = summaries.insight_facts(summaries.insight_context(inventory))
+    text = plan(df)
+    assert text.count("FileScan") <= 2 and shuffles(df) <= 10
+    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+    assert "WindowGroupLimit" in text  # no task sorts all places to list ten
+
+
+def test_distinct_counts_in_one_row_copy_no_rows(inventory):
+    health = items.stock_health(inventory)
+    history = trends.snapshot_history(inventory)
+    for df in (
+        summaries.inventory_summary(health), rollups.overview_counts(inventory),
+        rollups.table_row_counts(inventory), trends.trend_summary(history),
+    ):
+        assert "Expand" not in plan(df)
 
 
 def test_writes_bring_rows_together_by_rebalancing(inventory):
