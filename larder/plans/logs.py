@@ -140,10 +140,14 @@ def generate_reorders(spark: SparkSession, inventory: DataFrame, log_path: str,
     return _append(new_reorders(inventory, log, as_of), log_path, "action_timestamp")
 
 
+def due_for_purge(as_of: str, days: int = K.ALERT_KEEP_DAYS) -> Column:
+    """Resolved more than ``days`` ago; an unknown resolution time is not."""
+    return F.col("resolved") & (F.col("resolved_timestamp") < _before(as_of, days=days))
+
+
 def keep_after_purge(history: DataFrame, as_of: str, days: int = K.ALERT_KEEP_DAYS) -> DataFrame:
     """Drop alerts resolved more than ``days`` ago; an unknown resolution time is kept."""
-    due = F.col("resolved") & (F.col("resolved_timestamp") < _before(as_of, days=days))
-    return history.where(~F.coalesce(due, F.lit(False)))
+    return history.where(~F.coalesce(due_for_purge(as_of, days), F.lit(False)))
 
 
 def rewrite_log(rows: DataFrame, new_path: str, stamp: str) -> None:

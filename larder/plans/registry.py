@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder import constants as K
+from larder import schema
 from larder.functions import metrics as M
 from larder.functions import predicates as P
 from larder.functions.numeric import as_double
@@ -26,7 +27,7 @@ from larder.operators import (
     trends,
     windows,
 )
-from larder.plans import changes, jobs, logs
+from larder.plans import changes, days, jobs, logs
 from larder.session import scratch_path
 from larder.sources import delimited, derived, sinks, tables
 from larder.streaming import changes as stream
@@ -294,12 +295,28 @@ def _register_jobs() -> None:
         .select(*_REORDER_COLUMNS)
         .withColumns({c: as_double(c) for c in ("recommended_qty", "economic_order_qty", "total_order_value_usd")}),
     )
-    _add(
-        "purge_resolved",
-        lambda s, d: logs.keep_after_purge(history(s, d), AS_OF).select(
+    def kept_alerts(rows: DataFrame) -> DataFrame:
+        return rows.select(
             "sku_id", "location", "resolved", F.to_date("alert_timestamp").alias("alerted_on"), F.to_date("resolved_timestamp").alias("resolved_on")
-        ),
-    )
+        )
+
+    _add("purge_resolved", lambda s, d: kept_alerts(logs.keep_after_purge(history(s, d), AS_OF)))
+
+    def purged_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+        root = scratch_path(spark, "alert-days")
+        logs.rewrite_log(schema.conform(history(spark, sf_dir), schema.ALERT_HISTORY), root, "alert_timestamp")
+        manifest = days.purge_resolved(spark, days.manifest_of(spark, root), scratch_path(spark, "alert-days-kept"), AS_OF)
+        return kept_alerts(days.open_days(spark, manifest, schema.ALERT_HISTORY))
+
+    _add("purged_days", purged_days)
+
+    def newest_snapshot_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+        snapshots = trends.snapshot_history(derived.inventory(spark, sf_dir))
+        root = scratch_path(spark, "snapshot-days")
+        logs.rewrite_log(snapshots, root, "snapshot_date")
+        return days.open_days(spark, days.newest(days.manifest_of(spark, root)), snapshots.schema)
+
+    _add("newest_snapshot_folder", newest_snapshot_folder)
 
     def resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
         alerts = history(spark, sf_dir).withColumns(

@@ -555,6 +555,7 @@ FROM (SELECT *, {rnd("total_value / (sum(total_value) OVER ()) * 100", 1)} AS va
     )
     newest = "snapshot_date = (SELECT max(snapshot_date) FROM snap)"
     s["latest_snapshot"] = over(f"SELECT * FROM snap WHERE {newest}", "snap")
+    s["newest_snapshot_folder"] = s["latest_snapshot"]
 
     # projection and trends
     s["stock_projection"] = over("SELECT * FROM projection", "projection")
@@ -690,6 +691,7 @@ SELECT 2 AS batch_id, * FROM x WHERE active AND attention)"""
     s["purge_resolved"] = plain(
         f"SELECT sku_id, location, resolved, CAST(alert_timestamp AS DATE) AS alerted_on, CAST(resolved_timestamp AS DATE) AS resolved_on FROM history WHERE NOT coalesce(resolved AND resolved_timestamp < {NOW} - INTERVAL 90 DAY, false)", _HISTORY
     )
+    s["purged_days"] = s["purge_resolved"]
     s["resolve_alerts"] = plain(
         f"""SELECT sku_id, location, resolved OR hit AS resolved, CASE WHEN hit AND NOT resolved THEN {DAY} ELSE CAST(resolved_timestamp AS DATE) END AS resolved_on, CAST(alert_timestamp AS DATE) AS alerted_on,
   CASE WHEN hit AND NOT resolved THEN 'planner' END AS resolved_by, CASE WHEN hit AND NOT resolved THEN 'restocked' END AS resolution_notes
