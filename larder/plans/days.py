@@ -27,12 +27,22 @@ MANIFEST = T.StructType([T.StructField("day", T.DateType()), T.StructField("fold
 NO_DAY = "__HIVE_DEFAULT_PARTITION__"
 
 
+def _folders(days: DataFrame, root: str) -> DataFrame:
+    """A manifest of the ``day`` column's values, all below ``root``."""
+    name = F.coalesce(F.col("day").cast("string"), F.lit(NO_DAY))
+    return days.distinct().select("day", F.concat(F.lit(f"{root.rstrip('/')}/log_date="), name).alias("folder"))
+
+
 def manifest_of(spark: SparkSession, root: str) -> DataFrame:
-    """The days below one root; an empty or new root has none. Reads no column of the files."""
+    """The days below one root; an empty or new root has none. Lists the root and reads no column of the files."""
     day = T.StructType([T.StructField("log_date", T.DateType())])
-    days = logs.open_log(spark, root, day).select(F.col("log_date").alias("day")).distinct()
-    name = F.coalesce(F.col("day").cast("string"), F.lit(NO_DAY))
-    return days.select("day", F.concat(F.lit(f"{root.rstrip('/')}/log_date="), name).alias("folder"))
+    return _folders(logs.open_log(spark, root, day).select(F.col("log_date").alias("day")), root)
+
+
+def write_days(rows: DataFrame, root: str, stamp: str) -> DataFrame:
+    """Write stored rows by the day of ``stamp`` and return their manifest, from that column alone: nothing is listed."""
+    logs.rewrite_log(rows, root, stamp)
+    return _folders(rows.select(F.to_date(stamp).alias("day")), root)
 
 
 def save_manifest(manifest: DataFrame, path: str) -> None:
@@ -45,7 +55,8 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def newest(manifest: DataFrame) -> DataFrame:
     """The folders of the last day."""
-    return manifest.where(F.col("day") == manifest.agg(F.max("day")).scalar())
+    last = manifest.groupBy("day").agg(F.collect_set("folder").alias("folders")).where(F.col("day").isNotNull())
+    return last.orderBy(F.desc("day")).limit(1).select("day", F.explode("folders").alias("folder"))
 
 
 def _open(spark: SparkSession, folders: Iterable[str], contract: T.StructType) -> DataFrame:
@@ -64,7 +75,7 @@ def purge_resolved(
     """Drop alerts resolved more than ``days`` ago and return the next manifest.
 
     Only days with due rows are written again, below ``new_root``. Which days these are comes from three columns,
-    with the test pushed to the files. A day that keeps no row leaves the manifest.
+    with the test pushed to the files. A day that keeps no row leaves the manifest. Save the manifest to keep it.
     """
     contract = schema.ALERT_HISTORY
     live = manifest.collect()
@@ -76,5 +87,4 @@ def purge_resolved(
     if not stale:
         return rest
     kept = logs.keep_after_purge(_open(spark, stale, contract), as_of, days)
-    logs.rewrite_log(kept, new_root, "alert_timestamp")
-    return rest.unionByName(manifest_of(spark, new_root))
+    return rest.unionByName(write_days(kept, new_root, "alert_timestamp"))

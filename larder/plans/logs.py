@@ -155,9 +155,11 @@ def rewrite_log(rows: DataFrame, new_path: str, stamp: str) -> None:
 
     Parquet cannot delete or update in place, and a job must not overwrite what it is
     reading: a lost executor would then find its input gone. Readers move to the new
-    path once it is complete.
+    path once it is complete. Rows of one day come together first, so a day has few files;
+    a day that holds much is split over tasks.
     """
-    rows.withColumn("log_date", F.to_date(stamp)).write.mode("errorifexists").partitionBy("log_date").parquet(new_path)
+    dated = rows.withColumn("log_date", F.to_date(stamp)).hint("rebalance", "log_date")
+    dated.write.mode("errorifexists").partitionBy("log_date").parquet(new_path)
 
 
 def purge_resolved(spark: SparkSession, path: str, new_path: str, as_of: str, days: int = K.ALERT_KEEP_DAYS) -> None:

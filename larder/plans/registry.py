@@ -303,18 +303,17 @@ def _register_jobs() -> None:
     _add("purge_resolved", lambda s, d: kept_alerts(logs.keep_after_purge(history(s, d), AS_OF)))
 
     def purged_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-        root = scratch_path(spark, "alert-days")
-        logs.rewrite_log(schema.conform(history(spark, sf_dir), schema.ALERT_HISTORY), root, "alert_timestamp")
-        manifest = days.purge_resolved(spark, days.manifest_of(spark, root), scratch_path(spark, "alert-days-kept"), AS_OF)
-        return kept_alerts(days.open_days(spark, manifest, schema.ALERT_HISTORY))
+        alerts = _stored(schema.conform(history(spark, sf_dir), schema.ALERT_HISTORY))
+        manifest = days.write_days(alerts, scratch_path(spark, "alert-days"), "alert_timestamp")
+        after = days.purge_resolved(spark, manifest, scratch_path(spark, "alert-days-kept"), AS_OF)
+        return kept_alerts(days.open_days(spark, after, schema.ALERT_HISTORY))
 
     _add("purged_days", purged_days)
 
     def newest_snapshot_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
-        snapshots = trends.snapshot_history(derived.inventory(spark, sf_dir))
-        root = scratch_path(spark, "snapshot-days")
-        logs.rewrite_log(snapshots, root, "snapshot_date")
-        return days.open_days(spark, days.newest(days.manifest_of(spark, root)), snapshots.schema)
+        snapshots = _stored(trends.snapshot_history(derived.inventory(spark, sf_dir)))
+        manifest = days.write_days(snapshots, scratch_path(spark, "snapshot-days"), "snapshot_date")
+        return days.open_days(spark, days.newest(manifest), snapshots.schema)
 
     _add("newest_snapshot_folder", newest_snapshot_folder)
 

@@ -16,8 +16,10 @@ OLD, NEW = datetime.datetime(2001, 2, 1), datetime.datetime(2001, 7, 30)
 def _log(spark, root, *alerts):
     shape = "sku_id string, alert_timestamp timestamp_ntz, resolved boolean, resolved_timestamp timestamp_ntz"
     rows = schema.conform(spark.createDataFrame(list(alerts), shape), schema.ALERT_HISTORY)
-    logs.rewrite_log(rows, root, "alert_timestamp")
-    return days.manifest_of(spark, root)
+    manifest = days.write_days(rows, root, "alert_timestamp")
+    listed = days.manifest_of(spark, root)
+    assert sorted(map(str, manifest.collect())) == sorted(map(str, listed.collect()))
+    return listed
 
 
 def _files(root):
