@@ -155,16 +155,8 @@ def _register_rollups() -> None:
     )
     _add("category_by_location", _on(summaries.category_by_location, _health))
 
-    def pivot(metric: str) -> Query:
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            heatmap = rollups.category_heatmap(derived.inventory(spark, sf_dir))
-            places = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_name").orderBy("n_name")
-            return summaries.heatmap_pivot(heatmap, metric, [r[0] for r in places.collect()])  # the table of places
-
-        return run
-
     for metric in ("risk", "cover", "critical_pct"):
-        _add(f"heatmap_pivot_{metric}", pivot(metric))
+        _add(f"heatmap_pivot_{metric}", _on(lambda h, m=metric: summaries.heatmap_pivot(h, m), rollups.category_heatmap))
 
     _add("insight_context", _on(summaries.insight_facts, summaries.insight_context))
 
