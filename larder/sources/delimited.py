@@ -23,6 +23,6 @@ def with_load_time(df: DataFrame, loaded_at: str) -> DataFrame:
 
 
 def write_raw(df: DataFrame, path: str) -> None:
-    """Write raw columns in the same format (NULL as the token ``NULL``)."""
+    """Write raw columns in the same format (NULL as the token ``NULL``), a compressed file per task."""
     text = df.select(*[F.col(n).cast("string").alias(n) for n in schema.RAW_TEXT.fieldNames()])
-    text.write.mode("overwrite").options(sep="\t", header="true", quote='"', nullValue="NULL", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path)
+    text.write.mode("overwrite").options(sep="\t", header="true", quote='"', nullValue="NULL", compression="gzip", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path)
