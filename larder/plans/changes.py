@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEY = ("sku_id", "batch_id")
 BUCKETS = 1024  #: of row digests; as many rows are broadcast at most
 PIECE = 1 << 15
+PLACES = 1 << 28  #: of the bitmap of digests: 32 MB at most
+
+
+def may_be_among(df: DataFrame, digest: Column, wanted: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows of ``df`` whose digest is in ``wanted``, one column, and few others; all the rest with ``left_anti``.
+
+    Rows are told apart where they are read, so those that nothing is to be done for are not sent anywhere.
+    Digests are dealt out by their part of the bitmap first: each part is made once, not once a task.
+    """
+    place = (F.pmod(wanted.columns[0], F.lit(PLACES)) + 1).alias("_wanted")
+    parts = wanted.select(place).select(F.bitmap_bucket_number("_wanted").alias("_of"), F.bitmap_bit_position("_wanted").alias("_bit"))
+    bits = parts.repartition("_of").groupBy("_of").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    at = F.bitmap_bit_position("_place")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    there = df.withColumn("_place", F.pmod(digest, F.lit(PLACES)) + 1).withColumn("_part", F.bitmap_bucket_number("_place"))
+    hit = F.getbit(byte, (at % 8).cast("int")) == 1
+    return there.join(F.broadcast(bits), (F.col("_part") == F.col("_of")) & hit, how).drop("_part", "_place")
 
 
 def _digested(df: DataFrame, columns: list[str], buckets: int) -> DataFrame:
@@ -33,7 +50,8 @@ def _changed_buckets(stacked: DataFrame) -> DataFrame:
 
 def _difference(stacked: DataFrame, columns: list[str], key: tuple[str, ...]) -> DataFrame:
     net = stacked.groupBy("_d", "_e").agg(F.sum("_w").alias("_net")).where(F.col("_net") != 0)
-    found = stacked.select(F.struct(*columns).alias("_row"), "_d", "_e").join(net, ["_d", "_e"])
+    some = may_be_among(stacked.select(F.struct(*columns).alias("_row"), "_d", "_e"), F.col("_d"), net.select("_d"))
+    found = some.join(net, ["_d", "_e"])
     net = found.groupBy("_d", "_e").agg(F.first("_row").alias("_row"), F.first("_net").alias("_net")).select("_row.*", "_net")
     both = (
         net.groupBy(*[F.col(k).alias(f"_{k}") for k in key])
@@ -57,8 +75,8 @@ def inventory_changes(old: DataFrame, new: DataFrame, key: tuple[str, ...] = KEY
 
     A multiset difference by 128-bit row digests. Buckets of digests are compared as sums first; of those that
     differ, (digests, weight) are added up, map-side too, so that neither a key with very many rows nor a pile
-    of equal rows gathers anywhere; only rows that changed are fetched. Repeated keys never multiply as they
-    would in a full outer join. ``is_update`` marks rows whose key leaves and enters at once.
+    of equal rows gathers anywhere; only rows that changed are fetched, and a bitmap of their digests tells them
+    apart where they lie. Repeated keys never multiply as they would in a full outer join. ``is_update`` marks rows whose key leaves and enters at once.
     """
     stacked = _stacked(old, new)
     touched = stacked.join(F.broadcast(_changed_buckets(stacked)), "_b", "left_semi")
@@ -93,6 +111,19 @@ def repeated(df: DataFrame, count: str) -> DataFrame:
     return pieces.select(*names, F.explode(F.sequence(F.lit(1).cast("long"), size)).alias("_i")).drop("_i")
 
 
+def standing(weighted: DataFrame, weight: str, leaving: DataFrame) -> DataFrame:
+    """The rows that weights add up to, each as often as it is there; ``leaving`` holds the rows of negative weight.
+
+    Only rows that may equal one of those are added up. All others stand as they are, wherever they lie.
+    """
+    columns = [c for c in weighted.columns if c != weight]
+    digest = F.xxhash64(*columns)
+    gone = leaving.select(digest.alias("_gone"))
+    met = may_be_among(weighted, digest, gone).groupBy(*columns).agg(F.sum(weight).alias(weight))
+    apart = may_be_among(weighted, digest, gone, "left_anti").select(*columns, weight)
+    return repeated(apart.unionByName(met).where(F.col(weight) > 0), weight)
+
+
 def apply_changes(old: DataFrame, changes: DataFrame) -> DataFrame:
     """Bring ``old`` up to date with a change frame; the inverse of ``inventory_changes``."""
     columns = old.columns

@@ -69,6 +69,8 @@ SELECT concat('SKU', CAST(pk AS STRING)) AS sku_id, p_name AS sku_name, p_type A
 FROM d
 """
 
+_LINES, _ORDERS = "FROM {lineitem} l", "  JOIN {orders} o ON l.l_orderkey = o.o_orderkey\n"
+
 # every payload column of the stock-count file as dirty text
 RAW_SQL = """
 SELECT concat('  ', lower(sku_id), ' ') AS sku_id, concat(' ', sku_name) AS sku_name, lower(category) AS category,
@@ -115,7 +117,8 @@ SELECT DISTINCT sku_id, warehouse_location AS location,
 FROM {inventory} WHERE stock_age_days % 4 = 0 AND inventory_status = 'In Stock'
 """
 
-# an earlier and a later state of the stock table
+# an earlier and a later state of the stock table, and the columns they are made of
+STATE_COLUMNS = ("sku_id", "batch_id", "warehouse_location", "category", "quantity_on_hand", "stock_age_days")
 OLD_SQL = "SELECT sku_id, batch_id, warehouse_location, category, quantity_on_hand FROM {inventory}"
 NEW_SQL = """
 SELECT sku_id, batch_id, warehouse_location, category, CASE WHEN stock_age_days % 13 = 0 THEN quantity_on_hand + 5 ELSE quantity_on_hand END AS quantity_on_hand
@@ -129,7 +132,9 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
         name: spark.read.schema(columns).parquet(f"{sf_dir}/{name}.parquet")
         for name, columns in _TABLES.items()
     }
-    return spark.sql(INVENTORY_SQL, **frames)
+    # the same joins, orders first: they meet the line items while these are narrow, and names come after the shuffle
+    text = INVENTORY_SQL.replace(_ORDERS, "").replace(_LINES, f"{_LINES} {_ORDERS.strip()}")
+    return spark.sql(text, **frames)
 
 
 def from_inventory(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
