@@ -70,9 +70,11 @@ def laid_out(df: DataFrame, partition_by: str | None, clustered_by: tuple[str, .
     return df.sortWithinPartitions(*together) if clustered_by else df
 
 
-def materialize(df: DataFrame, path: str, partition_by: str | None = "location", clustered_by: tuple[str, ...] = ()) -> None:
-    """Replace a derived table."""
-    writer = laid_out(df, partition_by, clustered_by).write.mode("overwrite").option("partitionOverwriteMode", "static")
+def materialize(
+    df: DataFrame, path: str, partition_by: str | None = "location", clustered_by: tuple[str, ...] = (), gather: bool = True
+) -> None:
+    """Replace a derived table; without ``gather`` rows are written by the tasks that hold them, a file per value."""
+    writer = (laid_out(df, partition_by, clustered_by) if gather else df).write.mode("overwrite").option("partitionOverwriteMode", "static")
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)

@@ -29,6 +29,9 @@ from larder.streaming.state import WEIGHT
 LOGGED_ALERTS = T.StructType([*schema.ALERT_HISTORY.fields, T.StructField("batch_id", T.LongType())])
 CHANGE_ROWS = T.StructType([*schema.INVENTORY.fields, T.StructField(WEIGHT, T.LongType())])
 
+#: With more locations than these the rows of one are brought together before they are written.
+FEW_PLACES = 64
+
 #: The inventory rows a row-level table is made of; none of the filters depends on the day.
 KEPT = {
     "stock_health": lambda: P.is_active(),
@@ -46,11 +49,16 @@ def weigh(changes: DataFrame) -> DataFrame:
 def publish_load(inventory: DataFrame, feed_path: str) -> None:
     """First load of the feed: every row enters once."""
     rows = inventory.select(*schema.INVENTORY.fieldNames(), F.lit(1).cast("long").alias(WEIGHT))
-    rows.write.mode("append").parquet(feed_path)
+    rows.write.mode("append").option("compression", "zstd").parquet(feed_path)
+
+
+def loaded(spark: SparkSession, feed_path: str) -> DataFrame:
+    """The inventory as the feed's files hold it before any change; files that come later are not seen."""
+    return spark.read.schema(CHANGE_ROWS).parquet(feed_path).drop(WEIGHT)
 
 
 def publish_changes(old: DataFrame, new: DataFrame, feed_path: str) -> None:
-    weigh(inventory_changes(old, new)).write.mode("append").parquet(feed_path)
+    weigh(inventory_changes(old, new)).write.mode("append").option("compression", "zstd").parquet(feed_path)
 
 
 def publish_heartbeat(spark: SparkSession, feed_path: str) -> None:
@@ -153,8 +161,12 @@ def current_items(spark: SparkSession, name: str, state_path: str, as_of: str) -
 
 
 def publish_items(spark: SparkSession, name: str, state_path: str, as_of: str, table_path: str) -> None:
-    """Write the table as of a moment where the table readers look for it."""
-    sinks.materialize(current_items(spark, name, state_path, as_of), table_path)
+    """Write the table as of a moment where the table readers look for it.
+
+    With few locations each task writes its own rows of each; nothing is shuffled for the layout.
+    """
+    scattered = state.has_few(spark, state_path, CHANGE_ROWS, "warehouse_location", FEW_PLACES)
+    sinks.materialize(current_items(spark, name, state_path, as_of), table_path, gather=not scattered)
 
 
 def stream_refresh(
