@@ -8,30 +8,48 @@ from pyspark.sql import functions as F
 KEY = ("sku_id", "batch_id")
 BUCKETS = 1024  #: of row digests; as many rows are broadcast at most
 PIECE = 1 << 15
-PLACES = 1 << 28  #: of the bitmap of digests: 32 MB at most
+PART = 1 << 15  #: places of one part of the bitmap of digests
+PARTS = 1 << 14  #: 4 KB each, so 64 MB at most
+
+
+def _places(digest: Column) -> tuple[Column, list[Column]]:
+    """A digest's part of the bitmap and its two places there."""
+    # no remainders: these may be null to the planner, which then filters by the digest and makes it once more
+    return digest.bitwiseAND(PARTS - 1), [F.shiftright(digest, by).bitwiseAND(PART - 1) for by in (20, 40)]
 
 
 def may_be_among(df: DataFrame, digest: Column, wanted: DataFrame, how: str = "left_semi") -> DataFrame:
     """Rows of ``df`` whose digest is in ``wanted``, one column, and few others; all the rest with ``left_anti``.
 
     Rows are told apart where they are read, so those that nothing is to be done for are not sent anywhere.
-    Digests are dealt out by their part of the bitmap first: each part is made once, not once a task.
+    Digests are dealt out by their part of the bitmap first: each part is made once, not once a task. A digest
+    has two places; with a twelfth as many digests as places one other row in fifty is taken for one of them.
+    A part is looked up as 64-bit words, which are read where they lie.
     """
-    place = (F.pmod(wanted.columns[0], F.lit(PLACES)) + 1).alias("_wanted")
-    parts = wanted.select(place).select(F.bitmap_bucket_number("_wanted").alias("_of"), F.bitmap_bit_position("_wanted").alias("_bit"))
-    bits = parts.repartition("_of").groupBy("_of").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
-    at = F.bitmap_bit_position("_place")
-    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    there = df.withColumn("_place", F.pmod(digest, F.lit(PLACES)) + 1).withColumn("_part", F.bitmap_bucket_number("_place"))
-    hit = F.getbit(byte, (at % 8).cast("int")) == 1
-    return there.join(F.broadcast(bits), (F.col("_part") == F.col("_of")) & hit, how).drop("_part", "_place")
+    part, places = _places(F.col(wanted.columns[0]))
+    dealt = wanted.select(part.alias("_of"), F.explode(F.array(*places)).alias("_bit")).repartition("_of")
+    bits = dealt.groupBy("_of").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+
+    def word(k: Column) -> Column:
+        return F.conv(F.hex(F.substring("_bits", k * 8 + 1, F.lit(8))), 16, -10).cast("long")
+
+    words = bits.select("_of", F.transform(F.sequence(F.lit(0), F.lit(PART // 64 - 1)), word).alias("_words"))
+    part, places = _places(digest)
+    names = [f"_place{k}" for k in range(len(places))]
+    there = df.withColumns({"_part": part, **{n: p.cast("int") for n, p in zip(names, places, strict=True)}})
+    hit = F.lit(True)
+    for at in map(F.col, names):
+        # a word's first byte is its highest one
+        bit = 56 - at.bitwiseAND(56) + at.bitwiseAND(7)
+        hit = hit & (F.getbit(F.get("_words", F.shiftright(at, 6)), bit) == 1)
+    return there.join(F.broadcast(words), (F.col("_part") == F.col("_of")) & hit, how).drop("_part", *names)
 
 
 def _digested(df: DataFrame, columns: list[str], buckets: int) -> DataFrame:
     """Rows with two 64-bit digests of their columns, which tell NULLs apart, and a bucket."""
     marked = [*columns, *[F.isnull(c) for c in columns]]
     rows = df.select("*", F.xxhash64(*marked).alias("_d"), F.xxhash64(F.lit(1), *marked).alias("_e"))
-    return rows.withColumn("_b", F.pmod("_d", F.lit(buckets)).cast("int"))
+    return rows.withColumn("_b", F.coalesce(F.pmod("_d", F.lit(buckets)).cast("int"), F.lit(0)))  # never null to the planner
 
 
 def _stacked(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -50,20 +68,22 @@ def _changed_buckets(stacked: DataFrame) -> DataFrame:
 
 def _difference(stacked: DataFrame, columns: list[str], key: tuple[str, ...]) -> DataFrame:
     net = stacked.groupBy("_d", "_e").agg(F.sum("_w").alias("_net")).where(F.col("_net") != 0)
-    some = may_be_among(stacked.select(F.struct(*columns).alias("_row"), "_d", "_e"), F.col("_d"), net.select("_d"))
-    found = some.join(net, ["_d", "_e"])
-    net = found.groupBy("_d", "_e").agg(F.first("_row").alias("_row"), F.first("_net").alias("_net")).select("_row.*", "_net")
+    some = may_be_among(stacked.select(*columns, "_d", "_e"), F.col("_d"), net.select("_d"))
+    found = some.select(F.struct(*columns).alias("_row"), "_d", "_e").join(net, ["_d", "_e"])
+    net = found.groupBy("_d", "_e").agg(F.first("_row").alias("_row"), F.first("_net").alias("_net"))
+    # rows stay where their digests brought them: keys are compared, and updates marked, by narrow rows
+    keyed = net.select("_d", "_e", "_net", *[F.col("_row")[k].alias(f"_{k}") for k in key])
     both = (
-        net.groupBy(*[F.col(k).alias(f"_{k}") for k in key])
+        keyed.groupBy(*[F.col(f"_{k}").alias(f"_of_{k}") for k in key])
         .agg(F.min("_net").alias("_low"), F.max("_net").alias("_high"))
         .where((F.col("_low") < 0) & (F.col("_high") > 0))
-        .select(*[f"_{k}" for k in key], F.lit(True).alias("_both"))
     )
     same_key = F.lit(True)
     for k in key:
-        same_key = same_key & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    return net.join(both, same_key, "left").select(
-        *columns,
+        same_key = same_key & F.col(f"_{k}").eqNullSafe(F.col(f"_of_{k}"))
+    updates = keyed.join(both, same_key, "left_semi").select("_d", "_e", F.lit(True).alias("_both"))
+    return net.join(updates, ["_d", "_e"], "left").select(
+        *[F.col("_row")[c].alias(c) for c in columns],
         F.when(F.col("_net") > 0, "INSERT").otherwise("DELETE").alias("change_action"),
         F.coalesce("_both", F.lit(False)).alias("is_update"),
         F.abs("_net").alias("copies"),

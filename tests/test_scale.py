@@ -41,3 +41,30 @@ def test_raw_files_are_compressed(spark, tmp_path):
     names = delimited.schema.RAW_TEXT.fieldNames()
     delimited.write_raw(spark.createDataFrame([tuple(names)], delimited.schema.RAW_TEXT), str(tmp_path / "out"))
     assert list(Path(tmp_path / "out").glob("*.gz")) and delimited.read_raw(spark, str(tmp_path / "out")).count() == 1
+
+
+def test_digests_are_made_once_and_changed_rows_sent_once(spark, tmp_path):
+    old = [("a", None, 1), ("a", None, 2), (None, None, 1), ("c", "1", 1), ("d", "1", 1), ("d", "1", 1)]
+    new = [("a", None, 1), ("a", None, 3), (None, None, 2), ("c", "1", 1), ("d", "1", 1), ("e", "1", 7)]
+    fields = "sku_id string, batch_id string, n long"
+    for name, rows in (("old", old), ("new", new)):
+        spark.createDataFrame(rows, fields).write.parquet(f"{tmp_path}/{name}")
+    diff = changes.inventory_changes(*[spark.read.parquet(f"{tmp_path}/{name}") for name in ("old", "new")])
+    got = {(*tuple(r)[:3], r["change_action"], r["is_update"], r["copies"]) for r in diff.collect()}
+    assert got == {
+        ("a", None, 2, "DELETE", True, 1), ("a", None, 3, "INSERT", True, 1), (None, None, 1, "DELETE", True, 1),
+        (None, None, 2, "INSERT", True, 1), ("d", "1", 1, "DELETE", False, 1), ("e", "1", 7, "INSERT", False, 1),
+    }
+    lines = plan(diff).splitlines()
+    assert not any("Filter" in line and "xxhash64" in line for line in lines)
+    # whole rows are dealt by their digests alone, not by their keys too
+    assert "struct(sku_id" in plan(diff) and not any("Exchange hashpartitioning(sku_id" in line for line in lines)
+
+
+def test_bitmap_keeps_what_is_wanted_and_little_else(spark):
+    df = spark.range(20000).selectExpr("id", "xxhash64(id) h")
+    wanted = df.where("id % 4 = 0").select("h")
+    kept = {r["id"] for r in changes.may_be_among(df, df["h"], wanted).collect()}
+    rest = {r["id"] for r in changes.may_be_among(df, df["h"], wanted, "left_anti").collect()}
+    assert set(range(0, 20000, 4)) <= kept and len(kept) < 5010 and kept | rest == set(range(20000)) and not kept & rest
+    assert "_words" in plan(changes.may_be_among(df, df["h"], wanted))
