@@ -13,6 +13,7 @@ from larder import constants as K
 from larder import schema
 from larder.functions import metrics as M
 from larder.functions import predicates as P
+from larder.plans.changes import may_be_among
 
 
 def _instant(as_of: str) -> Column:
@@ -36,12 +37,21 @@ def _not_quiet(rows: DataFrame, quiet: DataFrame) -> DataFrame:
 
     The log is read as it was before the run, so several batches of one item all pass;
     a NULL location equals nothing and passes too. The log side is reduced to its
-    distinct keys; it is broadcast if Spark finds it small at run time, and else the
-    adaptive join splits a hot item on the stock side.
+    distinct keys. A bitmap of their digests tells most rows apart where they lie: rows that
+    aren't in it pass. Of the others only the distinct keys are compared with the log, and
+    the few that were taken for one of its keys pass too, so no whole rows are sent to meet the log.
     """
-    keys = quiet.select(F.col("sku_id").alias("_sku"), F.col("location").alias("_loc")).distinct()
-    matches = (F.col("sku_id") == F.col("_sku")) & (F.col("warehouse_location") == F.col("_loc"))
-    return rows.join(keys, matches, "left_anti")
+    at = ("sku_id", "warehouse_location")
+    keyed = F.col(at[0]).isNotNull() & F.col(at[1]).isNotNull()
+    digest = F.xxhash64(*at)
+    keys = quiet.select(F.col("sku_id").alias(at[0]), F.col("location").alias(at[1])).where(keyed).distinct()
+    held = keys.select(digest.alias("_held"))
+    unkeyed = rows.where(~keyed)
+    apart = may_be_among(rows.where(keyed), digest, held, "left_anti")
+    met = may_be_among(rows.where(keyed), digest, held)
+    mistaken = met.select(*at).distinct().join(keys, [*at], "left_anti")
+    some = may_be_among(met, digest, mistaken.select(digest.alias("_mistaken")))
+    return unkeyed.unionByName(apart).unionByName(some.join(mistaken, [*at], "left_semi"))
 
 
 def new_alerts(inventory: DataFrame, history: DataFrame, as_of: str) -> DataFrame:

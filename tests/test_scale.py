@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from pathlib import Path
 
-from larder.plans import changes
+from larder.plans import changes, logs
 from larder.sources import delimited
 from larder.streaming import state
 
@@ -68,3 +68,16 @@ def test_bitmap_keeps_what_is_wanted_and_little_else(spark):
     rest = {r["id"] for r in changes.may_be_among(df, df["h"], wanted, "left_anti").collect()}
     assert set(range(0, 20000, 4)) <= kept and len(kept) < 5010 and kept | rest == set(range(20000)) and not kept & rest
     assert "_words" in plan(changes.may_be_among(df, df["h"], wanted))
+
+
+def test_whole_alert_rows_are_not_sent_to_meet_the_log(spark, rows):
+    stock = rows(*[{"quantity_on_hand": 5, "sku_id": k, "warehouse_location": at, "batch_id": b} for k, at, b in (
+        ("S1", "North", "1"), ("S1", "North", "2"), ("S1", "South", "1"), ("S2", "North", "1"), (None, "North", "1"), ("S1", None, "1"),
+    )])
+    first = logs.new_alerts(stock.where("batch_id = '2'"), stock.sparkSession.createDataFrame([], logs.schema.ALERT_HISTORY), "2001-08-01 00:00:00")
+    assert first.count() == 1
+    unnamed = first.withColumn("location", first["location"].substr(9, 1)).withColumn("sku_id", first["sku_id"].substr(9, 1))
+    due = logs.new_alerts(stock, first.union(first).union(unnamed), "2001-08-01 05:00:00")
+    got = Counter((r["sku_id"], r["location"]) for r in due.collect())
+    assert got == {("S1", "South"): 1, ("S2", "North"): 1, (None, "North"): 1, ("S1", None): 1}
+    assert "bitmap_construct_agg" in plan(due)
