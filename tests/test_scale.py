@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections import Counter
 from pathlib import Path
 
+from pyspark.sql import DataFrameWriter
+
 from larder.plans import changes, logs
-from larder.sources import delimited
+from larder.sources import delimited, sinks
 from larder.streaming import state
 
 FIELDS = "name string, n long, change_weight long"
@@ -81,3 +83,18 @@ def test_whole_alert_rows_are_not_sent_to_meet_the_log(spark, rows):
     got = Counter((r["sku_id"], r["location"]) for r in due.collect())
     assert got == {("S1", "South"): 1, ("S2", "North"): 1, (None, "North"): 1, ("S1", None): 1}
     assert "bitmap_construct_agg" in plan(due)
+
+
+def test_scattered_tables_are_written_without_a_sort(spark, tmp_path, monkeypatch):
+    seen, write = [], DataFrameWriter.parquet
+
+    def watched(self, *args, **kwargs):
+        seen.append(int(spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")))
+        return write(self, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", watched)
+    df = spark.range(100).selectExpr("id", "concat('L', id % 80) location")  # more values than files kept open
+    for gather in (False, True):
+        sinks.materialize(df, f"{tmp_path}/{gather}", gather=gather)
+        assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/{gather}").select("id", "location").collect())) == sorted(map(tuple, df.collect()))
+    assert seen == [sinks.OPEN_FILES, 0] and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
