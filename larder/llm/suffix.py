@@ -204,10 +204,27 @@ def repeated_windows(parts: list[tuple[int, int, int, int, bytes]], length: int
     return out
 
 
+def sharing(parts: list[tuple], length: int = LENGTH) -> list[tuple]:
+    """The parts of one key that may share a window with another; the others hold no repeat.
+
+    Parts are (key, doc, row, at, bytes, place, low, high): their windows start low..high from the anchor at `place`. Equal
+    windows start equally far from it, so in the same half of that range, and hold what all windows of the half share.
+    """
+    cores: dict[tuple[int, bytes], list[int]] = {}
+    for k, (_, _, _, at, part, place, low, high) in enumerate(parts):
+        middle, last, base = (low + high) // 2, at + len(part) - length, place - at
+        if max(at, place + low) <= min(place + middle, last):
+            cores.setdefault((0, part[base + middle:base + low + length]), []).append(k)
+        if max(at, place + middle + 1) <= min(place + high, last):
+            cores.setdefault((1, part[base + high:base + middle + 1 + length]), []).append(k)
+    return [parts[k] for k in sorted({k for held in cores.values() if len(held) > 1 for k in held})]
+
+
 def _solved(sifted: DataFrame, length: int) -> DataFrame:
     """(row, start, stop) from the suffix arrays of all keys, keys side by side in each partition."""
     schema = "row long, start int, stop int"
     arrow = arrow_schema(schema)
+    columns = ("key", "doc", "row", "at", "part", "place", "low", "high")
 
     def run(batches):
         import pyarrow as pa
@@ -218,18 +235,28 @@ def _solved(sifted: DataFrame, length: int) -> DataFrame:
                 [pa.array([s[k] for s in spans], f.type) for k, f in enumerate(arrow)], schema=arrow
             )
 
-        waiting, size = [], 0
+        waiting, size, own = [], 0, []
+
+        def settle():
+            nonlocal size
+            some = sharing(own, length)
+            waiting.extend(p[:5] for p in some)
+            size += sum(len(p[4]) for p in some)
+            own.clear()
+
         for batch in batches:
-            for p in zip(*(batch[c].to_pylist() for c in ("key", "doc", "row", "at", "part"))):
-                if size > BATCH_BYTES and p[0] != waiting[-1][0]:
-                    yield solved(waiting)
-                    waiting, size = [], 0
-                waiting.append(p)
-                size += len(p[4])
+            for p in zip(*(batch[c].to_pylist() for c in columns)):
+                if own and p[0] != own[-1][0]:
+                    settle()
+                    if size > BATCH_BYTES:
+                        yield solved(waiting)
+                        waiting, size = [], 0
+                own.append(p)
+        settle()
         if waiting:
             yield solved(waiting)
 
-    return sifted.select("key", "doc", "row", "at", "part").repartition("key").sortWithinPartitions("key").mapInArrow(run, schema)
+    return sifted.select(*columns).repartition("key").sortWithinPartitions("key").mapInArrow(run, schema)
 
 
 def repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST) -> DataFrame:

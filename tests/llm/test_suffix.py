@@ -64,3 +64,18 @@ def test_what_is_left(make_docs, no_docs, rng):
     kept = {r["doc_id"]: bytes(r["kept"]) for r in suffix.deduplicated(make_docs([(1, text), (2, "head " + text + " tail")])).collect()}
     assert kept == {1: text.encode(), 2: b"head  tail"}
     assert suffix.deduplicated(no_docs).count() == 0
+
+
+def test_parts_without_a_shared_half_do_not_reach_the_suffix_arrays(rng):
+    grams = "one anchor of 24 bytes.."
+    random = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    left, right = random(40), random(40)
+    texts = [random(76) + grams + random(76) for _ in range(5)]
+    texts += [random(36) + left + grams + random(76), random(36) + left + grams + random(76)]  # one half alike, no window
+    texts += [random(76 - 40) + left + grams + right + random(20), random(10) + left + grams + right]  # windows alike
+    texts += [grams + random(30), grams + right[:20]]  # too short for a window
+    parts = [(7, k, k, 0, t.encode(), t.index(grams), -76, 0) for k, t in enumerate(texts)]
+    kept = suffix.sharing(parts)
+    assert [p[1] for p in kept] == [5, 6, 7, 8]
+    found = suffix.repeated_windows([p[:5] for p in parts if len(p[4]) >= suffix.LENGTH])
+    assert suffix.repeated_windows([p[:5] for p in kept]) == found and [f[0] for f in found] == [8]
